@@ -27,8 +27,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.quality import Suite, between, in_set, matches, not_null
 from strata.plans.layers import Geography
-from strata.plans.water import Domain
+from strata.plans.water import CATEGORIES, CONFORMITY_CODES, Domain
 
 # Binding rules for the part names of the test tables (overlapping on purpose:
 # "red ring" matches the first two rules, order decides). Labels reuse the
@@ -39,9 +40,27 @@ BINDING_CATEGORY_RULES: tuple[tuple[str, str], ...] = (
     ("organoleptique", r"gizmo|widget"),
 )
 
+# The domain suite with code shapes of the test tables (numeric keys).
+BINDING_SILVER_SUITE = Suite(
+    "silver_controles_sanitaires",
+    (
+        not_null("code_commune"),
+        not_null("date_prelevement"),
+        not_null("libelle_parametre"),
+        not_null("code_departement", mostly=0.95),
+        in_set("categorie_parametre", CATEGORIES),
+        in_set("conformite_bact_limites", CONFORMITY_CODES + (None,)),
+        in_set("conformite_pc_limites", CONFORMITY_CODES + (None,)),
+        between("resultat_numerique", min_value=0, mostly=0.95),
+        matches("code_commune", r"^\d{1,9}$", mostly=0.90),
+        matches("code_departement", r"^\d{1,3}$"),
+    ),
+)
+
 BINDING = Domain(
     source_label="driver-tables",
     category_rules=BINDING_CATEGORY_RULES,
+    silver_suite=BINDING_SILVER_SUITE,
 )
 
 TABLES = (

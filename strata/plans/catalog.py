@@ -1,44 +1,516 @@
 """Registered queries: one callable ``(spark, sf_dir) -> DataFrame`` per
-operator group of the survey, bound to the driver's test tables."""
+operator group of the survey, bound to the driver's test tables
+(``strata.plans.bindings``). Every query reads whole tables.
+
+Queries that land files (pages, CSV, partitioned tables, versioned tables,
+stream checkpoints) write under a fresh directory below the session's shared
+checkpoint root and return a DataFrame over what they read back.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.functions import extract_number, month_of, parse_date, to_double, year_of
+from strata.functions.classify import classify
+from strata.functions.flags import conforming, globally_conforming
+from strata.operators.aggregates import rollup_of_counts
+from strata.operators.dedupe import dedupe_by_key, upsert
+from strata.operators.filters import drop_null_keys
+from strata.operators.joins import fanout_left, join_coverage
+from strata.operators.profile import distinct_rows, null_profile, top_counts, value_distribution
+from strata.operators.quality import evaluate_all, expect_or_drop, violation_counts
 from strata.plans import bindings as B
 from strata.plans import layers as L
+from strata.plans import serving as V
+from strata.plans import water as W
+from strata.plans.runner import LayerConfig, run_medallion
+from strata.session import scratch_dir
+from strata.sources.csv import read_csv_dimension, write_csv
+from strata.sources.pages import read_pages, write_pages
+from strata.sources.sinks import write_table
+from strata.sources.tables import schema_inventory
+from strata.sources.versioned import VersionedTable
+from strata.streaming.upsert import stream_upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed parameters of the serving / top-k / split queries.
+SERVE_AREA = {"annee": 1997, "code_departement": 7}
+SERVE_REGION = {"annee": 1998, "code_region": 2}
+SERVE_EVOLUTION = {"annee": 1999, "categorie": "microbiologie"}
+PARTITION_YEAR = 1996
+UPSERT_SPLIT_TS = "2024-01-16 00:00:00"
+PAGE_SIZE = 500
+PAGES_READ = 2
+PAGES_SINCE_TS = "2024-01-10 00:00:00"
+EVENT_KEYS = ("user_id", "event_type")
+EVENT_VERSION = ("ts", "event_id")
+NULL_PROFILE_COLUMNS = (
+    W.BACT_CODE,
+    W.PC_CODE,
+    W.AREA,
+    W.RAW_DATE,
+    W.LABEL,
+    W.RAW_LIMIT,
+    W.RAW_REFERENCE,
+)
+
+
+# ------------------------------------------------------------- helpers ----
+
+
+def bronze_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.bronze(B.raw_facts(spark, sf_dir), B.BINDING)
+
 
 def bound_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.silver(bronze_of(spark, sf_dir), B.geography(spark, sf_dir), B.BINDING)
+
+
+def _without_ingest_time(df: DataFrame) -> DataFrame:
+    return df.drop("_ingested_at")
+
+
+def dated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample dates as delivered by an inconsistent source: ISO date-times
+    for finished orders, unparseable text for urgent ones, plain dates else."""
+    o = B.table(spark, sf_dir, "orders")
+    d = o.o_orderdate.cast("date").cast("string")
+    text = (
+        F.when(o.o_orderpriority == "1-URGENT", F.lit("non renseignee"))
+        .when(o.o_orderstatus == "F", F.concat(d, F.lit("T08:30:00Z")))
+        .otherwise(d)
+    )
+    return o.select(F.col("o_orderkey").alias("code_prelevement"), text.alias("date_brute"))
+
+
+# ------------------------------------------------------------- columns ----
+
+
+def bronze_metadata(spark, sf_dir):
+    """bronze = raw records + lineage + partition year."""
+    return _without_ingest_time(bronze_of(spark, sf_dir))
+
+
+def date_parts(spark, sf_dir):
+    """Tolerant date parsing, year/month, rows without a date dropped."""
+    parsed = dated_samples(spark, sf_dir).withColumn("date_prelevement", parse_date("date_brute"))
+    kept = drop_null_keys(parsed, ["code_prelevement", "date_prelevement"])
+    return kept.select(
+        "code_prelevement",
+        "date_brute",
+        "date_prelevement",
+        year_of("date_prelevement").alias("annee_prelevement"),
+        month_of("date_prelevement").alias("mois_prelevement"),
+    )
+
+
+def extract_threshold(spark, sf_dir):
+    """Thresholds out of text ("17,5 mg/L" -> 17.5), tolerant casts."""
+    part = B.table(spark, sf_dir, "part")
+    limit_text = F.when(part.p_size % 5 == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(part.p_size.cast("string"), F.lit(",5 mg/L"))
+    )
+    return part.select(
+        "p_partkey",
+        limit_text.alias("limite_qualite_parametre"),
+        extract_number(limit_text).alias("limite_qualite"),
+        to_double(part.p_size.cast("string")).alias("taille_num"),
+        to_double("p_name").alias("nom_num"),
+    )
+
+
+def extract_props(spark, sf_dir):
+    """P7 on event payloads: first number of ``{"k": n}``."""
+    ev = B.table(spark, sf_dir, "events")
+    return ev.select("event_id", "props", extract_number("props").alias("k"))
+
+
+def classify_labels(spark, sf_dir):
+    """Ordered first-match classification (binding rules and the
+    domain's own rules), counted per class."""
+    part = B.table(spark, sf_dir, "part")
+    return (
+        part.select(
+            classify("p_name", B.BINDING_CATEGORY_RULES, W.DEFAULT_CATEGORY).alias("categorie_parametre"),
+            classify("p_name", W.CATEGORY_RULES, W.DEFAULT_CATEGORY).alias("categorie_eau"),
+        )
+        .groupBy("categorie_parametre", "categorie_eau")
+        .agg(F.count(F.lit(1)).alias("nb"))
+    )
+
+
+def exceedance_flags(spark, sf_dir):
+    """NULL-propagating exceedance flags, counted per flag pair."""
+    typed = L.typed_facts(bronze_of(spark, sf_dir), B.BINDING)
+    return typed.groupBy("depasse_limite_qualite", "depasse_reference_qualite").agg(
+        F.count(F.lit(1)).alias("nb")
+    )
+
+
+def conformity_flags(spark, sf_dir):
+    """Three-valued conformity per sample."""
+    smp = B.samples(spark, sf_dir)
+    return smp.select(
+        "code_prelevement",
+        F.col(W.BACT_CODE).alias("conformite_bact_limites"),
+        F.col(W.PC_CODE).alias("conformite_pc_limites"),
+        conforming(W.BACT_CODE).alias("est_conforme_bact_limites"),
+        conforming(W.PC_CODE).alias("est_conforme_pc_limites"),
+        globally_conforming([W.BACT_CODE, W.PC_CODE]).alias("est_conforme_global"),
+    )
+
+
+# --------------------------------------------------------------- joins ----
+
+
+def silver_enriched(spark, sf_dir):
+    """The silver layer (24-column contract)."""
+    return _without_ingest_time(bound_silver(spark, sf_dir))
+
+
+def bridge_fanout(spark, sf_dir):
+    """Samples x sample->network bridge (orders x distinct suppliers of
+    their lines); bounded fan-out, every sample kept."""
+    smp = B.samples(spark, sf_dir).select(
+        "code_prelevement",
+        "code_commune",
+        globally_conforming([W.BACT_CODE, W.PC_CODE]).alias("est_conforme_global"),
+    )
+    links = B.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("code_prelevement"), F.col("l_suppkey").alias("code_reseau")
+    ).distinct()
+    supplier = B.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("code_reseau"), F.col("s_name").alias("nom_reseau")
+    )
+    bridge = links.join(supplier, "code_reseau", "left")
+    return fanout_left(smp, bridge, "code_prelevement")
+
+
+def dedupe_dimension(spark, sf_dir):
+    """One row per (order, line number) — key repeats in the source."""
+    li = B.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+    )
+    return dedupe_by_key(
+        li,
+        ["l_orderkey", "l_linenumber"],
+        order_by=["l_partkey", "l_suppkey"],
+        prefer_non_null=["l_suppkey"],
+    )
+
+
+def join_coverage_query(spark, sf_dir):
+    """How many facts find their commune."""
     raw = B.raw_facts(spark, sf_dir)
-    geo = B.geography(spark, sf_dir)
-    return L.silver(L.bronze(raw, B.BINDING), geo, B.BINDING)
+    communes = B.geography(spark, sf_dir).communes
+    cov = join_coverage(raw, communes, W.AREA, "com")
+    return cov.select(
+        F.col("total"), F.col("matched").alias("avec_cog"), F.col("pct_matched").alias("pct_match_cog")
+    )
 
 
-def gold_area_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+# ---------------------------------------------------------------- gold ----
+
+
+def gold_area_rates(spark, sf_dir):
     return L.gold_area_rates(bound_silver(spark, sf_dir))
 
 
-def gold_parameter_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold_parameter_evolution(spark, sf_dir):
     return L.gold_parameter_evolution(bound_silver(spark, sf_dir))
 
 
-def gold_region_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold_region_quality(spark, sf_dir):
     return L.gold_region_quality(bound_silver(spark, sf_dir))
 
 
-def gold_nonconformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold_nonconformity(spark, sf_dir):
     return L.gold_nonconformity(bound_silver(spark, sf_dir))
 
 
+def nested_aggregate(spark, sf_dir):
+    """MIN / SUM / count of per-(commune, year) sample counts."""
+    return rollup_of_counts(
+        bound_silver(spark, sf_dir), ["code_commune", "annee_prelevement"], W.ENTITY, "nb"
+    )
+
+
+def distinct_categories(spark, sf_dir):
+    """Distinct (parameter, category) pairs."""
+    return distinct_rows(bound_silver(spark, sf_dir), ["libelle_parametre", "categorie_parametre"])
+
+
+# ------------------------------------------------------------- serving ----
+
+
+def serve_area(spark, sf_dir):
+    return V.conformite_communes(gold_area_rates(spark, sf_dir), **SERVE_AREA)
+
+
+def serve_region(spark, sf_dir):
+    return V.qualite_departements(gold_region_quality(spark, sf_dir), **SERVE_REGION)
+
+
+def serve_evolution(spark, sf_dir):
+    return V.evolution_parametres(gold_parameter_evolution(spark, sf_dir), **SERVE_EVOLUTION)
+
+
+def serve_nonconformity(spark, sf_dir):
+    return V.non_conformites(gold_nonconformity(spark, sf_dir))
+
+
+def top_lowest_rates(spark, sf_dir):
+    """O2: the 10 commune-years with the lowest global conformity."""
+    g = gold_area_rates(spark, sf_dir).select(
+        "code_commune",
+        "libelle_commune",
+        "code_departement",
+        "annee_prelevement",
+        "nb_prelevements",
+        "taux_bact_pct",
+        "taux_pc_pct",
+        "taux_global_pct",
+    )
+    return V.top_k(g, 10, [F.col("taux_global_pct").asc_nulls_last()], ["code_commune", "annee_prelevement"])
+
+
+def top_worst_departments(spark, sf_dir):
+    """O2: the 15 département-years with the highest non-conformity rate."""
+    g = gold_nonconformity(spark, sf_dir)
+    return V.top_k(
+        g, 15, [F.col("taux_non_conformite_pct").desc_nulls_last()], ["annee_prelevement", "code_departement"]
+    )
+
+
+# ----------------------------------------------------------- profiling ----
+
+
+def value_distribution_query(spark, sf_dir):
+    """Share of each event type."""
+    return value_distribution(B.table(spark, sf_dir, "events"), "event_type")
+
+
+def code_distribution(spark, sf_dir):
+    """X1 on a conformity code with NULLs (NULL is its own value)."""
+    return value_distribution(B.raw_facts(spark, sf_dir), W.PC_CODE)
+
+
+def null_profile_query(spark, sf_dir):
+    """Null rate of the key raw columns from a single scan."""
+    return null_profile(B.raw_facts(spark, sf_dir), NULL_PROFILE_COLUMNS)
+
+
+def top_nonconforming(spark, sf_dir):
+    """Most frequent parameters in non-conforming samples."""
+    raw = B.raw_facts(spark, sf_dir).select(
+        W.LABEL, F.col(W.BACT_CODE).alias("bact"), F.col(W.PC_CODE).alias("pc")
+    )
+    return top_counts(
+        raw, [W.LABEL, "bact", "pc"], 20, where=(F.col("bact") == "N") | (F.col("pc") == "N")
+    )
+
+
+# ------------------------------------------------------------- quality ----
+
+
+def expect_or_drop_query(spark, sf_dir):
+    """F2/Q1: rows kept by the drop rules (violators counted on the side)."""
+    parsed = dated_samples(spark, sf_dir).withColumn("date_prelevement", parse_date("date_brute"))
+    kept = expect_or_drop(parsed, _drop_rules())
+    return kept.select("code_prelevement", "date_prelevement")
+
+
+def _drop_rules():
+    return {
+        "code non nul": F.col("code_prelevement").isNotNull(),
+        "date valide": F.col("date_prelevement").isNotNull(),
+    }
+
+
+def drop_report(spark, sf_dir):
+    """F2/Q1: violators per drop rule, as rows."""
+    parsed = dated_samples(spark, sf_dir).withColumn("date_prelevement", parse_date("date_brute"))
+    return violation_counts(parsed, _drop_rules())
+
+
+def expectation_report(spark, sf_dir):
+    """Q2-Q6: silver suites and the gold suite, one pass per table."""
+    silver_df = bound_silver(spark, sf_dir)
+    gold = L.gold_area_rates(silver_df)
+    return evaluate_all(
+        [
+            (silver_df, B.BINDING.silver_suite),
+            (silver_df, W.SILVER_SUITE_STRICT),
+            (gold, W.GOLD_AREA_SUITE),
+        ]
+    )
+
+
+def layer_invariants(spark, sf_dir):
+    """Q9: relational invariants between silver and gold, as rows
+    (invariant, value, ok)."""
+    silver_df = bound_silver(spark, sf_dir)
+    g1 = L.gold_area_rates(silver_df)
+    g4 = L.gold_nonconformity(silver_df)
+    join_rate = silver_df.agg(
+        F.round(F.lit(100.0) * F.count("code_departement") / F.count(F.lit(1)), 1).alias("valeur")
+    ).select(F.lit("taux_jointure_departement_pct").alias("invariant"), "valeur", (F.col("valeur") > 95).alias("ok"))
+    out_of_range = g1.agg(
+        F.count_if(
+            (F.col("taux_bact_pct") < 0) | (F.col("taux_bact_pct") > 100)
+            | (F.col("taux_pc_pct") < 0) | (F.col("taux_pc_pct") > 100)
+            | (F.col("taux_global_pct") < 0) | (F.col("taux_global_pct") > 100)
+        ).cast("double").alias("valeur")
+    ).select(F.lit("taux_hors_plage").alias("invariant"), "valeur", (F.col("valeur") == 0).alias("ok"))
+    silver_rows = silver_df.select(F.count(F.lit(1))).scalar()
+    dedup = g1.agg(F.sum("nb_prelevements").cast("double").alias("valeur")).select(
+        F.lit("somme_prelevements_gold").alias("invariant"), "valeur", (F.col("valeur") < silver_rows).alias("ok")
+    )
+    expected = F.round(F.lit(100.0) * F.col("nb_non_conformes_global") / F.col("nb_prelevements"), 2)
+    incoherent = g4.agg(
+        F.count_if(F.abs(F.col("taux_non_conformite_pct") - expected) > 0.01).cast("double").alias("valeur")
+    ).select(F.lit("taux_incoherents").alias("invariant"), "valeur", (F.col("valeur") == 0).alias("ok"))
+    return join_rate.unionByName(out_of_range).unionByName(dedup).unionByName(incoherent)
+
+
+# -------------------------------------------------------------- upserts ----
+
+
+def upsert_latest(spark, sf_dir):
+    """K1: merge a later batch of events into an earlier one by
+    (user_id, event_type); the latest (ts, event_id) wins."""
+    ev = B.table(spark, sf_dir, "events")
+    split = F.col("ts") < F.lit(UPSERT_SPLIT_TS).cast("timestamp_ntz")
+    return upsert(ev.filter(split), ev.filter(~split), EVENT_KEYS, EVENT_VERSION)
+
+
+def stream_upsert_query(spark, sf_dir):
+    """Events landed as several files, drained by a streaming query in
+    micro-batches; each batch merged into a versioned table by key."""
+    ev = B.table(spark, sf_dir, "events")
+    work = scratch_dir(spark, "stream-upsert")
+    landing = f"{work}/landing"
+    ev.repartitionByRange(8, "event_id").write.mode("overwrite").parquet(landing)
+    table = VersionedTable(spark, f"{work}/table")
+    q = stream_upsert(
+        spark,
+        landing,
+        ev.schema,
+        table,
+        EVENT_KEYS,
+        EVENT_VERSION,
+        checkpoint_dir=f"{work}/checkpoint",
+        max_files_per_trigger=3,
+    )
+    q.awaitTermination()
+    return table.read()
+
+
+# ------------------------------------------------------ sources / sinks ----
+
+
+def _land_event_pages(spark, sf_dir) -> tuple[DataFrame, str]:
+    ev = B.table(spark, sf_dir, "events")
+    path = scratch_dir(spark, "pages")
+    write_pages(ev, path, PAGE_SIZE, "event_id")
+    return ev, path
+
+
+def paged_json_source(spark, sf_dir):
+    """Events landed as API page envelopes, read back in
+    parallel, with a source-side date predicate."""
+    ev, path = _land_event_pages(spark, sf_dir)
+    since = F.col("ts") >= F.lit(PAGES_SINCE_TS).cast("timestamp_ntz")
+    return read_pages(spark, path, ev.schema, multi_line=False, where=since)
+
+
+def paged_json_subset(spark, sf_dir):
+    """Only the first pages are read (partition pruning on page)."""
+    ev, path = _land_event_pages(spark, sf_dir)
+    return read_pages(spark, path, ev.schema, multi_line=False, max_pages=PAGES_READ)
+
+
+def csv_dimension(spark, sf_dir):
+    """A dimension published as CSV with upper-case headers, read back as
+    all-string columns with lower-case names."""
+    cust = B.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    path = scratch_dir(spark, "csv")
+    write_csv(cust, path, upper_headers=True)
+    return read_csv_dimension(spark, path)
+
+
+def schema_inventory_query(spark, sf_dir):
+    """Rows and columns per table."""
+    return schema_inventory({t: B.table(spark, sf_dir, t) for t in B.TABLES})
+
+
+def partitioned_write(spark, sf_dir):
+    """Silver written partitioned by (year, département), one year
+    read back (partition pruning)."""
+    silver_df = _without_ingest_time(bound_silver(spark, sf_dir))
+    path = scratch_dir(spark, "silver")
+    write_table(silver_df, path, W.SILVER_PARTITIONS)
+    stored = spark.read.schema(silver_df.schema).parquet(path)
+    return stored.filter(F.col("annee_prelevement") == PARTITION_YEAR)
+
+
+def medallion_run(spark, sf_dir):
+    """The whole run into scratch storage with
+    a passing gate; returns the stored gold G1 table."""
+    result = run_medallion(
+        spark,
+        B.raw_facts(spark, sf_dir),
+        B.geography(spark, sf_dir),
+        LayerConfig(root=scratch_dir(spark, "run")),
+        B.BINDING,
+    )
+    return result.gold["conformite_par_commune"]
+
+
 def queries() -> dict[str, Query]:
     return {
+        "bronze_metadata": bronze_metadata,
+        "date_parts": date_parts,
+        "extract_threshold": extract_threshold,
+        "extract_props": extract_props,
+        "classify_labels": classify_labels,
+        "exceedance_flags": exceedance_flags,
+        "conformity_flags": conformity_flags,
+        "silver_enriched": silver_enriched,
+        "bridge_fanout": bridge_fanout,
+        "dedupe_dimension": dedupe_dimension,
+        "join_coverage": join_coverage_query,
         "gold_area_rates": gold_area_rates,
         "gold_parameter_evolution": gold_parameter_evolution,
         "gold_region_quality": gold_region_quality,
         "gold_nonconformity": gold_nonconformity,
+        "nested_aggregate": nested_aggregate,
+        "distinct_categories": distinct_categories,
+        "serve_area": serve_area,
+        "serve_region": serve_region,
+        "serve_evolution": serve_evolution,
+        "serve_nonconformity": serve_nonconformity,
+        "top_lowest_rates": top_lowest_rates,
+        "top_worst_departments": top_worst_departments,
+        "value_distribution": value_distribution_query,
+        "code_distribution": code_distribution,
+        "null_profile": null_profile_query,
+        "top_nonconforming": top_nonconforming,
+        "expect_or_drop": expect_or_drop_query,
+        "drop_report": drop_report,
+        "expectation_report": expectation_report,
+        "layer_invariants": layer_invariants,
+        "upsert_latest": upsert_latest,
+        "stream_upsert": stream_upsert_query,
+        "paged_json_source": paged_json_source,
+        "paged_json_subset": paged_json_subset,
+        "csv_dimension": csv_dimension,
+        "schema_inventory": schema_inventory_query,
+        "partitioned_write": partitioned_write,
+        "medallion_run": medallion_run,
     }
