@@ -120,8 +120,9 @@ def silver(
 
     Rows without an area code or a parseable date are dropped (counted on
     ``observation`` when given). Three LEFT joins add commune, département and
-    région labels; the two upper levels are broadcast behind a checked row
-    bound, the commune level is left to the planner (it may be large).
+    région labels. A level is broadcast only behind a size check: Spark's
+    (estimated, then measured by AQE) by default, or an explicit row-count
+    bound from ``Domain``; beyond the bound the join is a shuffle join.
     """
     dims = geography.deduplicated()
     probe = raw_geography or geography
@@ -134,6 +135,8 @@ def silver(
                 W.AREA,
                 "com",
                 {"libelle": "libelle_commune", "dep": "code_departement", "reg": "code_region"},
+                broadcast_max_rows=domain.area_dimension_rows,
+                probe=probe.communes,
             ),
             Lookup(
                 dims.departements,
@@ -188,27 +191,44 @@ def gold_parameter_evolution(silver_df: DataFrame) -> DataFrame:
     """G2 evolution_temporelle_parametres: monthly measure trend per parameter.
 
     Measures are row-level on purpose (every analysed value counts); only the
-    sample count is distinct. A single distinct aggregate plans as two hash
-    aggregations (no Expand). ``unite_mesure`` is ``min`` — a deterministic
-    stand-in for an order-dependent ``first`` (T7).
+    sample count is distinct. The unit is ``min`` — a deterministic stand-in
+    for an order-dependent ``first`` (T7) — computed apart: a string ``min``
+    would force the whole aggregation into sort-based mode, so the measures
+    stay in one hash aggregation (a single distinct: two exchanges, no
+    Expand) and the unit is the ``min`` over the distinct (group, unit) pairs,
+    a set no larger than groups x units, joined back on the group keys.
     """
+    keyed = silver_df.withColumn("mois_prelevement", month_of("date_prelevement"))
     flag = F.col("depasse_limite_qualite")
     measure = F.col("resultat_numerique")
-    return (
-        silver_df.withColumn("mois_prelevement", month_of("date_prelevement"))
-        .groupBy(*EVOLUTION_KEYS)
-        .agg(
-            F.count_distinct(W.ENTITY).alias("nb_prelevements"),
-            F.round(F.avg(measure), 4).alias("moyenne"),
-            F.round(F.min(measure), 4).alias("minimum"),
-            F.round(F.max(measure), 4).alias("maximum"),
-            F.min(W.UNIT).alias("unite_mesure"),
-            F.count(flag).alias("nb_mesures_avec_limite"),
-            F.sum(true_as_int(flag)).alias("nb_depassements_limite"),
-        )
-        .withColumn(
-            "taux_depassement_limite_pct", pct("nb_depassements_limite", "nb_mesures_avec_limite")
-        )
+    measures = keyed.groupBy(*EVOLUTION_KEYS).agg(
+        F.count_distinct(W.ENTITY).alias("nb_prelevements"),
+        F.round(F.avg(measure), 4).alias("moyenne"),
+        F.round(F.min(measure), 4).alias("minimum"),
+        F.round(F.max(measure), 4).alias("maximum"),
+        F.count(flag).alias("nb_mesures_avec_limite"),
+        F.sum(true_as_int(flag)).alias("nb_depassements_limite"),
+    )
+    units = (
+        keyed.select(*EVOLUTION_KEYS, W.UNIT)
+        .distinct()
+        .groupBy(*[F.col(k).alias(f"__u_{k}") for k in EVOLUTION_KEYS])
+        .agg(F.min(W.UNIT).alias("unite_mesure"))
+    )
+    same_group = [F.col(k).eqNullSafe(F.col(f"__u_{k}")) for k in EVOLUTION_KEYS]
+    cond = same_group[0]
+    for c in same_group[1:]:
+        cond = cond & c
+    return measures.join(units, cond, "left").select(
+        *EVOLUTION_KEYS,
+        "nb_prelevements",
+        "moyenne",
+        "minimum",
+        "maximum",
+        "unite_mesure",
+        "nb_mesures_avec_limite",
+        "nb_depassements_limite",
+        pct("nb_depassements_limite", "nb_mesures_avec_limite").alias("taux_depassement_limite_pct"),
     )
 
 

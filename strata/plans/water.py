@@ -142,9 +142,13 @@ class Domain:
     failing_code: str = FAILING_CODE
     silver_suite: Suite = SILVER_SUITE
     gold_suite: Suite = GOLD_AREA_SUITE
-    # Geography levels above the area have a fixed, small cardinality
-    # (départements ~100, régions ~20): broadcast them behind this checked bound.
-    bounded_dimension_rows: int = 100_000
+    # Force-broadcast a geography level after checking it holds at most this
+    # many rows (one count job per level). None leaves the choice to Spark's
+    # own size checks: the static threshold on estimated size, then AQE's
+    # switch to a broadcast join when the measured shuffle output is small;
+    # beyond both the join stays a shuffle join.
+    area_dimension_rows: int | None = None
+    bounded_dimension_rows: int | None = None
 
 
 WATER = Domain()

@@ -16,10 +16,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(cores: int | None = None, app: str = "strata") -> SparkSession:
+def build_session(
+    cores: int | None = None, app: str = "strata", extra_conf: dict | None = None
+) -> SparkSession:
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
