@@ -67,13 +67,34 @@ def enrich_left(fact: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     return out
 
 
-def fanout_left(fact: DataFrame, bridge: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def fanout_left(
+    fact: DataFrame,
+    bridge: DataFrame,
+    on: str | Sequence[str],
+    skew_safe: bool = True,
+) -> DataFrame:
     """Deliberate many-to-many LEFT join onto a bridge table.
 
-    Output rows = fact rows x matching bridge rows (1 when none). The bridge
-    must have a bounded number of rows per key; the caller picks the grain.
+    Output rows = fact rows x matching bridge rows (one NULL-extended row
+    when none). With ``skew_safe`` the LEFT join is computed as an INNER join
+    plus the fact rows whose key has no bridge row (anti join against the
+    bridge's distinct keys). AQE can split a hot key on *either* side of an
+    inner join, but only the preserved side of an outer join, so a bridge key
+    holding a large share of rows no longer lands in one task; the distinct
+    keys are combined map-side before their shuffle.
     """
-    return fact.join(bridge, _as_list(on), "left")
+    keys = _as_list(on)
+    fact_cols = [c for c in fact.columns if c not in keys]
+    bridge_cols = [c for c in bridge.columns if c not in keys]
+    if not skew_safe:
+        return fact.join(bridge, keys, "left")
+    matched = fact.join(bridge, keys, "inner").select(*keys, *fact_cols, *bridge_cols)
+    unmatched = fact.join(bridge.select(*keys).distinct(), keys, "left_anti").select(
+        *keys,
+        *fact_cols,
+        *[F.lit(None).cast(bridge.schema[c].dataType).alias(c) for c in bridge_cols],
+    )
+    return matched.unionByName(unmatched)
 
 
 def join_coverage(

@@ -75,17 +75,18 @@ class Suite:
     expectations: tuple[Expectation, ...] = field(default_factory=tuple)
 
 
-def evaluate(df: DataFrame, suite: Suite) -> DataFrame:
-    """One pass over ``df`` -> one report row per expectation (Q2-Q6)."""
-    exps = list(suite.expectations)
+def _report(df: DataFrame, suites: Sequence[Suite]) -> DataFrame:
+    """One aggregate over ``df`` for every expectation of ``suites``."""
+    checks = [(s.name, e) for s in suites for e in s.expectations]
     aggs = []
-    for i, e in enumerate(exps):
+    for i, (_, e) in enumerate(checks):
         evaluated, violations = e.counters()
         aggs += [evaluated.alias(f"__e{i}"), violations.alias(f"__v{i}")]
     counters = df.agg(*aggs)
     stacked: list[Column] = []
-    for i, e in enumerate(exps):
+    for i, (suite_name, e) in enumerate(checks):
         stacked += [
+            F.lit(suite_name),
             F.lit(e.column),
             F.lit(e.rule),
             F.lit(float(e.mostly)),
@@ -93,23 +94,27 @@ def evaluate(df: DataFrame, suite: Suite) -> DataFrame:
             F.col(f"__v{i}"),
         ]
     long = counters.select(
-        F.stack(F.lit(len(exps)), *stacked).alias("colonne", "regle", "mostly", "evaluees", "violations")
+        F.stack(F.lit(len(checks)), *stacked).alias(
+            "suite", "colonne", "regle", "mostly", "evaluees", "violations"
+        )
     )
     passed = F.col("evaluees") - F.col("violations")
-    return long.select(
-        F.lit(suite.name).alias("suite"),
-        "colonne",
-        "regle",
-        "mostly",
-        "evaluees",
-        "violations",
-        (passed >= F.col("mostly") * F.col("evaluees")).alias("succes"),
-    )
+    return long.withColumn("succes", passed >= F.col("mostly") * F.col("evaluees"))
+
+
+def evaluate(df: DataFrame, suite: Suite) -> DataFrame:
+    """One pass over ``df`` -> one report row per expectation (Q2-Q6)."""
+    return _report(df, [suite])
 
 
 def evaluate_all(checks: Sequence[tuple[DataFrame, Suite]]) -> DataFrame:
-    """Reports of several suites (one pass per table), unioned."""
-    reports = [evaluate(df, s) for df, s in checks]
+    """Reports of several suites, unioned. Suites on the same DataFrame are
+    evaluated together, so each table is scanned once whatever the number of
+    suites run on it."""
+    groups: dict[int, tuple[DataFrame, list[Suite]]] = {}
+    for df, suite in checks:
+        groups.setdefault(id(df), (df, []))[1].append(suite)
+    reports = [_report(df, suites) for df, suites in groups.values()]
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)

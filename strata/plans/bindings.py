@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from strata.operators.quality import Suite, between, in_set, matches, not_null
 from strata.plans.layers import Geography
 from strata.plans.water import CATEGORIES, CONFORMITY_CODES, Domain
+from strata.sources.tables import ensure_parallelism
 
 # Binding rules for the part names of the test tables (overlapping on purpose:
 # "red ring" matches the first two rules, order decides). Labels reuse the
@@ -119,7 +120,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed-record shape of the domain: all measure / threshold / date
     fields as text, codes as delivered."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li = ensure_parallelism(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     smp = samples(spark, sf_dir)
     joined = li.join(smp, F.col("l_orderkey") == F.col("code_prelevement")).join(

@@ -19,6 +19,21 @@ def read_table(
     return df.select(*columns) if columns else df
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows round-robin when a scan yields fewer tasks than cores.
+
+    A file stored as one large row group is read by a single task, and all
+    per-row work up to the first shuffle (parsing, regex classification,
+    broadcast-join probes, the wide shuffle write) then runs on one core.
+    Only in that case is the frame — pass it already narrowed to the columns
+    needed — repartitioned; a scan with enough splits (any table at cluster
+    scale) is returned untouched, so no shuffle is added there. Counting
+    partitions only plans the scan; no job runs.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def register_views(frames: Mapping[str, DataFrame]) -> None:
     """Expose frames to SQL as temporary views."""
     for name, df in frames.items():
