@@ -120,11 +120,3 @@ def join_coverage(
         matched.alias("matched"),
         F.round(F.lit(100.0) * matched / F.nullif(total, F.lit(0)), scale).alias("pct_matched"),
     )
-
-
-def key_equals(left: Sequence[str], right: Sequence[str]) -> Column:
-    cond = None
-    for lc, rc in zip(left, right):
-        term = F.col(lc) == F.col(rc)
-        cond = term if cond is None else cond & term
-    return cond

@@ -19,9 +19,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-REPORT_COLUMNS = ["suite", "colonne", "regle", "mostly", "evaluees", "violations", "succes"]
-
-
 @dataclass(frozen=True)
 class Expectation:
     column: str

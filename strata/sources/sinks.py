@@ -41,10 +41,14 @@ def replace_load(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     return write_table(df, path, mode="overwrite", fmt=fmt)
 
 
-def create_table_as(spark: SparkSession, df: DataFrame, name: str, path: str) -> DataFrame:
+def create_table_as(
+    spark: SparkSession, df: DataFrame, name: str, path: str
+) -> tuple[DataFrame, dict]:
     """K5 ``CREATE OR REPLACE TABLE name AS SELECT``: materialise ``df`` at
-    ``path`` and register the stored copy under ``name``."""
-    write_table(df, path)
-    stored = spark.read.parquet(path)
+    ``path`` and register the stored copy under ``name`` (read back with the
+    written schema, so no inference job runs and types cannot drift).
+    Returns the stored frame and the load report."""
+    report = write_table(df, path)
+    stored = spark.read.schema(df.schema).parquet(path)
     stored.createOrReplaceTempView(name)
-    return stored
+    return stored, report

@@ -36,6 +36,10 @@ def test_run_writes_layers_and_passes_gate(spark, tmp_root, all_raw, geography):
     assert all(s["succes"] for s in res.summary)
     assert res.report.count() == len(WATER.silver_suite.expectations) + len(WATER.gold_suite.expectations)
     assert res.silver.select(F.max("_ingested_at")).first()[0] is not None
+    assert res.loads["conformite_par_commune"]["rows_written"] == 3  # 33063/2023, 33063/2024, 2A004/2024
+    # stored layers are queryable by name
+    assert spark.sql("SELECT COUNT(*) FROM silver_controles_sanitaires").first()[0] == 13
+    assert spark.table("conformite_par_commune").count() == 3
 
 
 def test_failing_gate_raises_after_writing_report(spark, tmp_root, all_raw, geography):

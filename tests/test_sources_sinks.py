@@ -93,8 +93,8 @@ def test_write_table_partitioned_and_report(spark, tmp_root, reference_raw):
 
 
 def test_create_table_as_and_inventory(spark, tmp_root, reference_raw):
-    t = create_table_as(spark, reference_raw, "resultats_inline", tmp_root)
-    assert spark.table("resultats_inline").count() == 10 == t.count()
+    t, report = create_table_as(spark, reference_raw, "resultats_inline", tmp_root)
+    assert spark.table("resultats_inline").count() == 10 == t.count() == report["rows_written"]
     inv = {r.nom_table: (r.nb_lignes, r.nb_colonnes) for r in schema_inventory({"r": reference_raw}).collect()}
     assert inv == {"r": (10, 11)}
     assert find_columns(reference_raw, "COMMUNE") == ["code_commune"]
