@@ -21,9 +21,14 @@ def value_distribution(
     pct_name: str = "pct",
     scale: int = 1,
 ) -> DataFrame:
-    """value, count, share of all rows (X1 = A1 + W1 + P20), most frequent first."""
-    total = df.select(F.count(F.lit(1))).scalar()
+    """value, count, share of all rows (X1 = A1 + W1 + P20), most frequent first.
+
+    The total is the sum of the (small) grouped counts, taken as a scalar
+    subquery over the same aggregate, whose shuffle Spark reuses: one scan of
+    ``df``, and no ``sum() over ()`` window funnelling rows into one partition.
+    """
     grouped = df.groupBy(F.col(column).alias(value_name)).agg(F.count(F.lit(1)).alias(count_name))
+    total = grouped.select(F.sum(count_name)).scalar()
     return grouped.withColumn(
         pct_name, F.round(F.lit(100.0) * F.col(count_name) / total, scale)
     ).orderBy(F.col(count_name).desc(), F.col(value_name).asc_nulls_first())
