@@ -52,6 +52,8 @@ def test_read_landed_api_pages(spark, tmp_root):
     assert "PartitionFilters: [isnotnull(page" in first_two._jdf.queryExecution().executedPlan().toString()
     one = read_pages(spark, tmp_root, schema, where=F.col("code_commune") == "33063")
     assert [r.code_prelevement for r in one.collect()] == ["P2"]
+    single = read_pages(spark, os.path.join(tmp_root, "page=1"), schema, max_records=1)
+    assert single.count() == 1
 
 
 def test_write_pages_roundtrip(spark, tmp_root):
