@@ -58,10 +58,15 @@ BINDING_SILVER_SUITE = Suite(
     ),
 )
 
+# Communes are customers here: a level that grows with the data. It is
+# broadcast only while a row count of the customer table proves it small
+# (Spark's own estimate of the customer x nation preparation is a product of
+# both sides, which would otherwise force a shuffle of every fact row).
 BINDING = Domain(
     source_label="driver-tables",
     category_rules=BINDING_CATEGORY_RULES,
     silver_suite=BINDING_SILVER_SUITE,
+    area_dimension_rows=2_000_000,
 )
 
 TABLES = (
@@ -107,7 +112,11 @@ def pc_code(priority):
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sample (order) with its sample-level attributes."""
-    o = table(spark, sf_dir, "orders")
+    o = ensure_parallelism(
+        table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"
+        )
+    )
     return o.select(
         F.col("o_orderkey").alias("code_prelevement"),
         F.col("o_custkey").alias("code_commune"),
@@ -148,6 +157,16 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def geography_probes(spark: SparkSession, sf_dir: str) -> Geography:
+    """Plain scans bounding each geography level from above (for size checks;
+    counted from parquet footers)."""
+    return Geography(
+        communes=table(spark, sf_dir, "customer"),
+        departements=table(spark, sf_dir, "nation"),
+        regions=table(spark, sf_dir, "region"),
+    )
+
+
 def geography(spark: SparkSession, sf_dir: str) -> Geography:
     """communes = customers (with their nation's region), départements =
     nations, régions = regions."""

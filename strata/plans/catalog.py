@@ -68,7 +68,12 @@ def bronze_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.silver(bronze_of(spark, sf_dir), B.geography(spark, sf_dir), B.BINDING)
+    return L.silver(
+        bronze_of(spark, sf_dir),
+        B.geography(spark, sf_dir),
+        B.BINDING,
+        raw_geography=B.geography_probes(spark, sf_dir),
+    )
 
 
 def _without_ingest_time(df: DataFrame) -> DataFrame:
@@ -468,6 +473,7 @@ def medallion_run(spark, sf_dir):
         B.geography(spark, sf_dir),
         LayerConfig(root=scratch_dir(spark, "run")),
         B.BINDING,
+        geography_probes=B.geography_probes(spark, sf_dir),
     )
     return result.gold["conformite_par_commune"]
 
