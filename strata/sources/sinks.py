@@ -36,6 +36,20 @@ def write_table(
     return report
 
 
+def materialize(df: DataFrame, purpose: str = "materialized") -> DataFrame:
+    """Compute ``df`` once and cut its lineage, for plans that consume it
+    several times: it is written as a parquet table in a fresh directory of
+    the shared checkpoint folder and read back. Unlike a local checkpoint the
+    files survive the loss of the executors that wrote them, and unlike a row
+    checkpoint each consumer reads back only the columns it needs."""
+    from strata.session import scratch_dir
+
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def replace_load(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     """K2: full replacement of a table."""
     return write_table(df, path, mode="overwrite", fmt=fmt)
