@@ -34,7 +34,7 @@ from strata.sources.pages import read_pages, write_pages
 from strata.sources.sinks import materialize, write_table
 from strata.sources.tables import schema_inventory
 from strata.sources.versioned import VersionedTable
-from strata.streaming.upsert import stream_upsert
+from strata.streaming.upsert import ChangeLog, stream_changelog, stream_upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -419,6 +419,23 @@ def stream_upsert_query(spark, sf_dir):
     return table.read()
 
 
+def stream_changelog_query(spark, sf_dir):
+    """R1, merge-on-read: each micro-batch appends only its winners to an
+    epoch-partitioned change log; a compaction folds the first epochs into a
+    base table; the current table is merged at read time."""
+    ev = B.table(spark, sf_dir, "events")
+    work = scratch_dir(spark, "stream-changelog")
+    landing = f"{work}/landing"
+    ev.repartitionByRange(8, "event_id").write.mode("overwrite").parquet(landing)
+    log = ChangeLog(spark, f"{work}/log", EVENT_KEYS, EVENT_VERSION)
+    q = stream_changelog(
+        spark, landing, ev.schema, log, checkpoint_dir=f"{work}/checkpoint", max_files_per_trigger=3
+    )
+    q.awaitTermination()
+    log.compact(ev.schema, up_to_epoch=1)
+    return log.read(ev.schema)
+
+
 # ------------------------------------------------------ sources / sinks ----
 
 
@@ -516,6 +533,7 @@ def queries() -> dict[str, Query]:
         "layer_invariants": layer_invariants,
         "upsert_latest": upsert_latest,
         "stream_upsert": stream_upsert_query,
+        "stream_changelog": stream_changelog_query,
         "paged_json_source": paged_json_source,
         "paged_json_subset": paged_json_subset,
         "csv_dimension": csv_dimension,
