@@ -190,3 +190,24 @@ def test_changelog_stream_out_of_order_replay_and_compaction(spark, tmp_root):
     # a restart from the checkpoint adds nothing
     stream_changelog(spark, src, schema, log, ckpt).awaitTermination()
     assert sorted(map(tuple, log.read(schema).collect())) == expected
+
+
+def test_ensure_parallelism_only_when_needed(spark, tmp_root):
+    from strata.sources.tables import ensure_parallelism
+
+    one = spark.range(0, 1000, numPartitions=1)
+    spread = ensure_parallelism(one, 4)
+    assert spread.rdd.getNumPartitions() == 4
+    many = spark.range(0, 1000, numPartitions=8)
+    assert ensure_parallelism(many, 4) is many
+
+
+def test_materialize_cuts_lineage_in_shared_folder(spark, reference_raw):
+    from strata.session import checkpoint_root
+    from strata.sources.sinks import materialize
+
+    m = materialize(reference_raw.filter("conformite_limites_bact_prelevement = 'N'"))
+    assert m.count() == 2
+    files = m.inputFiles()
+    assert files and all(checkpoint_root(spark).split("://")[-1] in f for f in files)
+    assert "FileScan parquet" in m.select("code_prelevement")._jdf.queryExecution().executedPlan().toString()
