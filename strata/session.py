@@ -52,15 +52,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     and registered so later calls agree.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a SparkContext (e.g. Spark Connect)
+        sc = None
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir()
     if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             # executors on other machines cannot see a driver-local folder
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
-        spark.sparkContext.setCheckpointDir(configured)
-        configured = spark.sparkContext.getCheckpointDir() or configured
+        if sc is not None:
+            sc.setCheckpointDir(configured)
+            configured = sc.getCheckpointDir() or configured
+        else:
+            spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 

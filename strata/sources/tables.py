@@ -30,8 +30,12 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     scale) is returned untouched, so no shuffle is added there. Counting
     partitions only plans the scan; no job runs.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without the RDD API (e.g. Spark Connect)
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def register_views(frames: Mapping[str, DataFrame]) -> None:
