@@ -362,7 +362,13 @@ def layer_invariants(spark, sf_dir):
     (invariant, value, ok). Silver feeds four aggregates here, so it is
     materialised once (parquet in the shared checkpoint folder) and each
     invariant reads back only the columns it needs."""
-    silver_df = materialize(bound_silver(spark, sf_dir))
+    needed = sorted(
+        set(L.AREA_KEYS)
+        | set(L.NONCONFORMITY_KEYS)
+        | {W.ENTITY, "est_conforme_bact_limites", "est_conforme_pc_limites", "est_conforme_global"}
+    )
+    # only the columns the invariants read are computed and written
+    silver_df = materialize(bound_silver(spark, sf_dir).select(*needed))
     g1 = L.gold_area_rates(silver_df)
     g4 = L.gold_nonconformity(silver_df)
     join_rate = silver_df.agg(
