@@ -11,8 +11,8 @@ registered query does work that grows with the tables:
 * département / région   = nation / region (through the customer)
 * sample date            = ``o_orderdate`` rendered as ``yyyy-MM-dd`` text
 * measure                = ``l_quantity`` as text (typed back in silver)
-* limit text             = ``"<p_size>,5 mg/L"`` (decimal comma), none when
-  ``p_size`` is a multiple of 5
+* limit text             = ``"<p_size>,5 mg/L"`` (decimal comma), none for the
+  largest parts (``p_size > 40``)
 * reference text         = ``">=<l_linenumber> et <=9"`` (a range: first number)
 * bact code              = N / C / D from ``o_orderstatus`` F / O / other
 * pc code                = N / NULL / C from ``o_orderpriority`` 5-LOW /
@@ -137,7 +137,7 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = li.join(smp, F.col("l_orderkey") == F.col("code_prelevement")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
-    limit_text = F.when(F.col("p_size") % 5 == 0, F.lit(None).cast("string")).otherwise(
+    limit_text = F.when(F.col("p_size") > 40, F.lit(None).cast("string")).otherwise(
         F.concat(F.col("p_size").cast("string"), F.lit(",5 mg/L"))
     )
     return joined.select(

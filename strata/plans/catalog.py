@@ -117,7 +117,7 @@ def date_parts(spark, sf_dir):
 def extract_threshold(spark, sf_dir):
     """Thresholds out of text ("17,5 mg/L" -> 17.5), tolerant casts."""
     part = B.table(spark, sf_dir, "part")
-    limit_text = F.when(part.p_size % 5 == 0, F.lit(None).cast("string")).otherwise(
+    limit_text = F.when(part.p_size > 40, F.lit(None).cast("string")).otherwise(
         F.concat(part.p_size.cast("string"), F.lit(",5 mg/L"))
     )
     return part.select(
