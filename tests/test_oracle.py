@@ -77,3 +77,12 @@ def test_serving_filter_reaches_orders_before_the_join(spark):
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     # the year predicate is evaluated on the orders side, below the joins
     assert "year(try_cast(cast(cast(o_orderdate" in opt
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_plan_has_no_expand_window_or_cartesian(spark, name):
+    """Scale guard: no row-multiplying Expand (multi-distinct), no window that
+    sorts whole groups in one task, no cartesian product anywhere."""
+    plan = _plan(E.queries()[name](spark, SF_DIR))
+    for bad in ("Expand [", "Window [", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert bad not in plan, (name, bad)
