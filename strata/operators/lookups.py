@@ -1,0 +1,42 @@
+"""Evaluate expensive per-value expressions once per distinct value.
+
+Regex classification and threshold extraction depend on one text column
+whose values repeat heavily (thousands of distinct parameter labels over
+billions of analysis rows). ``derive_per_distinct`` computes the expressions
+on the distinct values only and joins the small result back: a map-side
+combined ``distinct`` (tiny shuffle), then a broadcast hash join whose size
+is checked with a row count first; beyond the bound it stays a shuffle join.
+Rows whose source value is NULL evaluate the expression directly.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from strata.operators.joins import bounded_broadcast
+
+
+def derive_per_distinct(
+    df: DataFrame,
+    source: str,
+    derived: Mapping[str, Column],
+    max_distinct: int = 1_000_000,
+) -> DataFrame:
+    """Add ``derived`` columns (expressions of ``source`` only) to ``df``,
+    evaluating each expression once per distinct non-NULL ``source`` value."""
+    key = f"__src_{source}"
+    values = df.select(source).where(F.col(source).isNotNull()).distinct()
+    table = values.select(
+        F.col(source).alias(key),
+        *[expr.alias(f"__d_{name}") for name, expr in derived.items()],
+    )
+    joined = df.join(bounded_broadcast(table, max_distinct), F.col(source) == F.col(key), "left")
+    return joined.withColumns(
+        {
+            name: F.when(F.col(source).isNull(), expr).otherwise(F.col(f"__d_{name}"))
+            for name, expr in derived.items()
+        }
+    ).drop(key, *[f"__d_{name}" for name in derived])

@@ -67,6 +67,9 @@ BINDING = Domain(
     category_rules=BINDING_CATEGORY_RULES,
     silver_suite=BINDING_SILVER_SUITE,
     area_dimension_rows=2_000_000,
+    # the bound facts are a join result; a second pass for distinct values
+    # would recompute the joins, so derive per row here
+    distinct_derivation_max=None,
 )
 
 TABLES = (

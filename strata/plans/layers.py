@@ -27,6 +27,7 @@ from strata.functions import (
 from strata.operators.aggregates import entity_rates
 from strata.operators.dedupe import dedupe_by_key
 from strata.operators.joins import Lookup, enrich_left
+from strata.operators.lookups import derive_per_distinct
 from strata.operators.quality import expect_or_drop
 from strata.plans import water as W
 from strata.plans.water import WATER, Domain
@@ -77,14 +78,27 @@ class Geography:
 
 
 def typed_facts(bronze_df: DataFrame, domain: Domain = WATER) -> DataFrame:
-    """Tolerant typing, classification and row-level flags."""
-    typed = bronze_df.withColumns(
+    """Tolerant typing, classification and row-level flags.
+
+    The regex-heavy derivations (category from the label, thresholds from
+    their text) depend on one repeated text column each; with
+    ``domain.distinct_derivation_max`` set they run once per distinct value.
+    """
+    per_value = {
+        W.LABEL: {"categorie_parametre": classify(W.LABEL, domain.category_rules, domain.default_category)},
+        W.RAW_LIMIT: {"limite_qualite": extract_number(W.RAW_LIMIT)},
+        W.RAW_REFERENCE: {"reference_qualite": extract_number(W.RAW_REFERENCE)},
+    }
+    derived = bronze_df
+    if domain.distinct_derivation_max is None:
+        derived = derived.withColumns({k: v for cols in per_value.values() for k, v in cols.items()})
+    else:
+        for source, cols in per_value.items():
+            derived = derive_per_distinct(derived, source, cols, domain.distinct_derivation_max)
+    typed = derived.withColumns(
         {
             "date_prelevement": parse_date(W.RAW_DATE),
             "resultat_numerique": to_double(W.RAW_RESULT),
-            "limite_qualite": extract_number(W.RAW_LIMIT),
-            "reference_qualite": extract_number(W.RAW_REFERENCE),
-            "categorie_parametre": classify(W.LABEL, domain.category_rules, domain.default_category),
             "conformite_bact_limites": F.col(W.BACT_CODE),
             "conformite_pc_limites": F.col(W.PC_CODE),
         }

@@ -149,6 +149,11 @@ class Domain:
     # beyond both the join stays a shuffle join.
     area_dimension_rows: int | None = None
     bounded_dimension_rows: int | None = None
+    # Classification and threshold extraction run once per distinct label /
+    # threshold text (joined back through a count-checked broadcast of at most
+    # this many values) instead of once per row. None evaluates per row, which
+    # suits facts that are themselves computed by joins.
+    distinct_derivation_max: int | None = 1_000_000
 
 
 WATER = Domain()
