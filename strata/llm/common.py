@@ -29,6 +29,17 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids joined by broadcast where at most so many (16 bytes each), else by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with settled ``ids`` (both have ``key``),
+    which are broadcast if they are few enough."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, key, how)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

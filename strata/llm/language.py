@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import text_chunks
@@ -154,19 +154,24 @@ def fit(
     return LanguageFilters(languages, masks, hashes, fill**hashes, default)
 
 
-def with_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each row has a letter."""
-    letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
-    return letters[offsets[1:]] > letters[offsets[:-1]]
+def _has_letter(text: str) -> Column:
+    """Whether a text has a letter of any script."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def score_batch(filters: LanguageFilters, column: pa.Array) -> tuple[list[str], np.ndarray]:
+def _flags(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def score_batch(
+    filters: LanguageFilters, column: pa.Array, with_letter: np.ndarray
+) -> tuple[list[str], np.ndarray]:
     """Predicted language and score of each lower-cased text."""
     names, scores = [], []
     n_languages = len(filters.languages)
-    for _, _, data, offsets in text_chunks(column):
+    for a, b, data, offsets in text_chunks(column):
         packed, (first, last) = grams(data, offsets)
-        has_letter = with_letter(data, offsets)
+        has_letter = with_letter[a:b]
         at = _cells(packed, filters.hashes, len(filters.cells))
         mask = filters.cells[at[0]]
         for x in at[1:]:
@@ -194,14 +199,14 @@ def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text", key:
 
     def run(batches):
         for batch in batches:
-            names, scores = score_batch(shared.value, batch.column(1))
+            names, scores = score_batch(shared.value, batch.column(1), _flags(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["key", "lang_pred", "score"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).mapInArrow(
+    out = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"), _has_letter(text)).mapInArrow(
         run, f"key {kind}, lang_pred string, score double"
     )
     return out.withColumnRenamed("key", key)
@@ -211,18 +216,16 @@ def keep(docs: DataFrame, filters: LanguageFilters, min_score: float, text: str
     """The rows of ``docs`` whose text has a known language with at least
     ``min_score``; all columns stay as they are. Without any learned language
     nothing can be rejected but texts without a letter."""
+    lettered = docs.where(_has_letter(text))
+    if not filters.languages:
+        return lettered
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    least = min_score if filters.languages else 0.0
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             column = pc.utf8_lower(batch.column(at))
-            if shared.value.languages:
-                names, scores = score_batch(shared.value, column)
-                ok = [n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist(), strict=True)]
-            else:
-                ok = [x for _, _, d, o in text_chunks(column) for x in with_letter(d, o).tolist()]
-            yield batch.filter(pa.array(ok, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            _, scores = score_batch(shared.value, column, np.ones(batch.num_rows, dtype=bool))
+            yield batch.filter(pa.array(scores >= min_score))
+
+    return lettered.mapInArrow(run, docs.schema)
