@@ -14,6 +14,10 @@ from strata.llm.common import settle, table
 
 STAGES = [
     ("language_id", stages.keep_identified_languages),
+    ("ngram_jaccard", stages.keep_one_of_each_group),
+    ("decontamination", stages.drop_contaminated),
+    ("pii", stages.redact_personal_data),
+    ("packing", stages.pack_sequences),
 ]
 
 #: Stages with learned models and tokenizers are beyond SQL; tests/llm compares with brute force.

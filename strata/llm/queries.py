@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import fingerprints, jaccard, language, licenses, packing, templates, toxicity, urls, warc
+from strata.llm import fingerprints, jaccard, language, licenses, packing, pii, templates, toxicity, urls, warc
 from strata.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenised and packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -88,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op4_templates": op4_templates,
     "op5_toxicity": op5_toxicity,
     "op6_language": op6_language,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_jaccard": op10_jaccard,

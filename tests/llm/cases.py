@@ -1,0 +1,67 @@
+"""Rows and brute-force versions shared by the tests of this folder."""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+SF_DIR = "/root/testdata/sf0.001"
+LONG = " ".join(f"word{i % 977} tail{i}" for i in range(30_000))
+#: (doc_id, text, lang, source, n_chars): NULLs, empty, white space, very long, repeated rows and ids.
+ROWS = [
+    (1, "the quick brown fox jumps over the lazy dog again and again", "en", "a", 1),
+    (1, "the quick brown fox jumps over the lazy dog again and again", "en", "a", 1),
+    (2, "THE quick brown fox jumps over the lazy dog again and again", None, "a", 1),
+    (3, None, "en", None, None),
+    (4, "", "en", "b", 0),
+    (5, " \t\n ", "en", "b", 4),
+    (6, LONG, "en", "b", len(LONG)),
+    (7, LONG + " one two three", "en", "b", 1),
+    (8, "one", "", "b", 3),
+    (8, "two words", "en", "b", 9),
+    (9, "1234 !!", "en", "b", 7),
+    (None, "a row without an id has this text", "en", "b", 5),
+]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Columns whose names an operator might use itself.
+CLASHING = ("key", "id", "token", "n", "hash", "row", "page", "spans", "fingerprint", "sequence_id", "comp", "rank")
+
+
+def documents(spark, rows=None, extra=True):
+    df = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA)
+    for name in CLASHING if extra else ():
+        df = df.selectExpr("*", f"'x' AS {name}")
+    return df
+
+
+def shingles(text: str | None, k: int = 5) -> frozenset:
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def components(rows, percent: int = 80) -> dict:
+    """Smallest reachable id by id, comparing all pairs that share a shingle."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    holders = defaultdict(list)
+    for n, (_, s) in enumerate(sets):
+        for x in s:
+            holders[x].append(n)
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    seen = set()
+    for same in holders.values():
+        for p in same:
+            for q in same:
+                if p < q and (p, q) not in seen:
+                    seen.add((p, q))
+                    (a, x), (b, y) = sets[p], sets[q]
+                    if 100 * len(x & y) >= percent * len(x | y):
+                        a, b = root(a), root(b)
+                        parent[max(a, b)] = min(a, b)
+    return {i: root(i) for i in parent}
