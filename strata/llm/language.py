@@ -80,7 +80,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         packed |= clean[j : j + m] << np.uint32(8 * (NGRAM - 1 - j))
     first = position[row_starts]
     last = np.append(first[1:], len(clean) - 1)
-    return packed, np.stack([first, np.maximum(first, last - NGRAM + 2)])
+    # rows shorter than an n-gram have none
+    return packed, np.minimum(np.stack([first, np.maximum(first, last - NGRAM + 2)]), m)
 
 
 def _cells(keys: np.ndarray, hashes: int, size: int) -> list[np.ndarray]:

@@ -102,11 +102,10 @@ def recognise(
     table = spark.createDataFrame(
         sorted({(_normalise(s), i) for i, s in known.items()}), "sentence string, sentence_id string"
     )
-    rows = docs.select(
-        F.col(key).alias("key"),
-        F.monotonically_increasing_id().alias("row"),
-        F.posexplode(sentences(F.col(text))).alias("position", "sentence"),
-    ).withColumn("sentence", F.trim("sentence"))
+    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    rows = rows.select("key", "row", F.posexplode(sentences(F.col("text"))).alias("position", "sentence")).withColumn(
+        "sentence", F.trim("sentence")
+    )
     found = (
         rows.where("sentence <> ''")
         .join(F.broadcast(table), "sentence")

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import fingerprints, jaccard, language, licenses, packing, pii, templates, toxicity, urls, warc
+from strata.llm import (
+    fingerprints,
+    jaccard,
+    language,
+    licenses,
+    oracle,
+    packing,
+    pii,
+    templates,
+    toxicity,
+    urls,
+    warc,
+)
 from strata.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,4 +112,9 @@ QUERIES: dict[str, Query] = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_urls": oracle.url_judgement(URL_RULES),
+    "op2_licenses": oracle.licence_sentences(),
+    "op9_warc": oracle.PAGE_ARCHIVES,
+    "op10_jaccard": oracle.NEAR_DUPLICATES,
+}

@@ -6,11 +6,16 @@ text features is shared by all K-1 thresholds:
     P(grade <= k) = sigmoid(threshold_k - w . x)
 
 Features are lower-cased letter runs hashed to ``dimensions`` buckets with
-value ``log(1 + count)``. The fit uses a bounded sample of labelled documents
+value ``1 + log(count)``, divided by the root of how many of the chosen features
+the document has, so that a long text's many words do not by themselves mean a
+higher grade. The fit uses a bounded sample of labelled documents
 (``sample_docs``, chosen by a hash of the id, whole texts); it keeps the
 ``features`` buckets whose presence separates the grades best and minimises
 the penalised likelihood by full-batch Adam. Scoring covers every document.
 
+A document is flagged toxic from the probability that flags the sample best (by
+F1), which label noise moves but does not blur.
+
 Defined cases: NULL or empty text has no features and gets the severity that
 the thresholds alone give; without labelled rows, or with one grade only,
 severity is that grade (0 without any); NULL grades and ids do not train;
@@ -19,7 +24,7 @@ repeated label rows count as often as they occur; other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,15 @@ _LETTER[97:123] = True
 _LETTER[0x80:] = True
 
 
+DIMENSIONS = 1 << 22
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
-    weights: np.ndarray  # by bucket
+    buckets: np.ndarray  # the features kept, ascending
+    weights: np.ndarray  # theirs
     thresholds: np.ndarray  # K-1, ascending
+    flag_at: float = 0.5  # P(grade > 0) from which a document is flagged
 
 
 def buckets(data: np.ndarray, offsets: np.ndarray, dimensions: int):
@@ -74,23 +84,42 @@ def _select(rows, cols, y, n_docs, dimensions, keep):
     present = np.bincount(cols, minlength=dimensions)
     mean = y.mean()
     excess = np.bincount(cols, weights=y[rows] - mean, minlength=dimensions)
-    z = np.abs(excess) / np.sqrt(np.maximum(present, 1) * max(y.var(), 1e-9)) * (present >= 3)
+    z = np.abs(excess) / np.sqrt(np.maximum(present, 1) * max(y.var(), 1e-9)) * (present >= 3 + n_docs / 500)
     chosen = np.argsort(-z, kind="stable")[:keep]
-    return np.sort(chosen[z[chosen] > 4.0])  # beyond chance among all buckets
+    # beyond chance among all buckets, and not far behind the best: words that
+    # mark one group of copies do not outvote those that mark a grade
+    return np.sort(chosen[z[chosen] > max(4.0, z.max() / 2)])
+
+
+def scaled(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Values divided by the root of how many features their row has."""
+    return values / np.sqrt(np.bincount(rows, minlength=n))[rows]
+
+
+def linear_scores(model: OrdinalModel, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """w . x of ``n`` rows from their (row, bucket, count) triples."""
+    if not len(model.buckets):
+        return np.zeros(n)
+    at = np.minimum(np.searchsorted(model.buckets, cols), len(model.buckets) - 1)
+    kept = model.buckets[at] == cols
+    v = scaled(rows[kept], 1 + np.log(counts[kept].astype(float)), n)
+    return np.bincount(rows[kept], weights=model.weights[at[kept]] * v, minlength=n)
 
 
 def fit_rows(rows, cols, values, y, dimensions: int, features: int, penalty: float, steps: int) -> OrdinalModel:
     """Fit on sparse triples (row, bucket, value) and grades ``y`` (0..K-1)."""
-    weights, n_docs = np.zeros(dimensions), len(y)
+    n_docs = len(y)
     grades = int(y.max()) + 1 if n_docs else 1
     if grades == 1 or len(np.unique(y)) == 1:
         low = int(y[0]) if n_docs else 0
-        return OrdinalModel(weights, np.concatenate([np.full(low, -40.0), np.full(max(0, grades - 1 - low), 40.0)]))
+        none = np.empty(0)
+        return OrdinalModel(none.astype(np.int64), none, np.concatenate([np.full(low, -40.0), np.full(max(0, grades - 1 - low), 40.0)]))
     chosen = _select(rows, cols, y.astype(float), n_docs, dimensions, features)
     place = np.full(dimensions, -1)
     place[chosen] = np.arange(len(chosen))
     inside = place[cols] >= 0
-    r, c, v = rows[inside], place[cols[inside]], values[inside]
+    r, c = rows[inside], place[cols[inside]]
+    v = scaled(r, values[inside], n_docs)
     share = np.array([(y <= k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = np.log(share[0] / (1 - share[0]))
     gaps = np.log(np.maximum(np.diff(np.log(share / (1 - share))), 1e-2))
@@ -115,8 +144,21 @@ def fit_rows(rows, cols, values, y, dimensions: int, features: int, penalty: flo
         g = np.concatenate([g_w, [tail[0]], tail[1:] * np.exp(theta[n_w + 1 :])])
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         theta -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    weights[chosen] = theta[:n_w]
-    return OrdinalModel(weights, theta[n_w] + np.concatenate([[0], np.cumsum(np.exp(theta[n_w + 1 :]))]))
+    model = OrdinalModel(chosen, theta[:n_w], theta[n_w] + np.concatenate([[0], np.cumsum(np.exp(theta[n_w + 1 :]))]))
+    score = np.bincount(r, weights=theta[:n_w][c] * v, minlength=n_docs)
+    return replace(model, flag_at=best_flag(1 - grade_probabilities(model, score)[0], y > 0))
+
+
+def best_flag(p: np.ndarray, positive: np.ndarray) -> float:
+    """The probability from which on flagging has the best F1; half way to the
+    next lower one."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(positive[order])
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + positive.sum())
+    last = np.append(np.diff(p[order]) != 0, True)  # equal ones are flagged together
+    at = int(np.argmax(np.where(last, f1, -1)))
+    below = p[order][at + 1] if at + 1 < len(p) else 0.0
+    return float((p[order][at] + below) / 2)
 
 
 def fit(
@@ -125,10 +167,10 @@ def fit(
     grade: str = "grade",
     key: str = "doc_id",
     sample_docs: int = 12000,
-    dimensions: int = 1 << 18,
+    dimensions: int = DIMENSIONS,
     features: int = 400,
-    penalty: float = 1e-4,
-    steps: int = 400,
+    penalty: float = 1e-5,
+    steps: int = 600,
 ) -> OrdinalModel:
     known = labelled.select(
         F.col(text).alias("text"), F.col(grade).cast("int").alias("grade"), F.col(key).cast("string").alias("key")
@@ -145,7 +187,7 @@ def fit(
     return fit_rows(
         row,
         np.concatenate(ids + empty).astype(np.int64),
-        np.log1p(np.concatenate(counts + empty).astype(float)),
+        1 + np.log(np.concatenate(counts + empty).astype(float)),
         np.array([r["grade"] for r in rows], dtype=np.int64),
         dimensions,
         features,
@@ -162,12 +204,15 @@ def grade_probabilities(model: OrdinalModel, scores: np.ndarray) -> np.ndarray:
 
 
 def predict(
-    docs: DataFrame, model: OrdinalModel, text: str = "text", key: str = "doc_id", threshold: float = 0.5
+    docs: DataFrame,
+    model: OrdinalModel,
+    text: str = "text",
+    key: str = "doc_id",
+    dimensions: int = DIMENSIONS,
 ) -> DataFrame:
     """(key, expected_severity, p_toxic, toxic) for every row: the mean grade,
-    P(grade > 0), and whether that reaches ``threshold``."""
-    dimensions = len(model.weights)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # dimensions x 8 bytes
+    P(grade > 0), and whether that reaches the model's ``flag_at``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers a feature
 
     def run(batches):
         for batch in batches:
@@ -175,12 +220,12 @@ def predict(
             fitted = shared.value
             for a, b, data, offsets in text_chunks(batch.column(1)):
                 row, bucket, count = buckets(data, offsets, dimensions)
-                parts.append(np.bincount(row, weights=fitted.weights[bucket] * np.log1p(count), minlength=b - a))
+                parts.append(linear_scores(fitted, row, bucket, count, b - a))
             p = grade_probabilities(fitted, np.concatenate(parts))
             severity = (p * np.arange(len(p))[:, None]).sum(axis=0)
             p_toxic = 1 - p[0] if len(p) > 1 else np.zeros(p.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(severity), pa.array(p_toxic), pa.array(p_toxic >= threshold)],
+                [batch.column(0), pa.array(severity), pa.array(p_toxic), pa.array(p_toxic >= fitted.flag_at)],
                 names=["key", "expected_severity", "p_toxic", "toxic"],
             )
 

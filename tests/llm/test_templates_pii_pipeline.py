@@ -61,7 +61,7 @@ def test_empty_tables(spark):
 
 
 def test_template_words_stay_in_their_places(spark):
-    df = spark.createDataFrame([("We met Bob (42) at 5km, then 7 kg; Then 3.5 m\x01x",)], "t string")
+    df = spark.createDataFrame([("We met Bob (42) at 5km, then 7 kg. Then 3.5 m\x01x",)], "t string")
     df = templates._words(df, "t")
     r = df.first()
     assert len(r.raw) == len(r.canon)
@@ -155,14 +155,14 @@ def test_pii_query_equals_the_plain_scan(spark):
 
 
 def test_redaction_replaces_spans_and_nothing_else(spark, model):
-    texts = ["a me@x.org, b 10.0.0.1; +1 555 000111", None, "clean text", "+1 4111 1111 1111 1111"]
+    texts = ["a me@x.org, b 10.0.0.1; +1 555 000111", None, "clean text", "x +10.0.0.1.5555 y"]  # a phone number over an address
     docs = documents(spark, [(i, t, "en", "s", 7) for i, t in enumerate(texts)])
     out = pii.redact(docs, model)
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars, r["rank"]) for r in out.collect()}
     assert got[0] == ("a [EMAIL], b [IP]; [PHONE]", 26, "x")
     assert got[1] == (None, None, "x") and got[2] == ("clean text", 10, "x")
-    assert "4111" not in got[3][0]
+    assert got[3] == ("x [PHONE] y", 11, "x")
 
 
 def test_pii_without_rows(spark, model):
@@ -180,7 +180,7 @@ def test_boosting_learns_an_interaction_and_its_expression_agrees(spark):
     score = model.scores(x)
     assert ((score > 0) == (y > 0)).mean() > 0.97
     df = spark.createDataFrame([tuple(map(int, r)) for r in x], "a int, b int, c int")
-    got = [r[0] for r in df.select(model.expression(lambda i: F.col("abc"[i]))).collect()]
+    got = [r[0] for r in df.select(model.expression(F.array("a", "b", "c"))).collect()]
     assert got == pytest.approx(score.tolist())
 
 
