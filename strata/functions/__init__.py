@@ -10,7 +10,7 @@ from strata.functions.parsing import (
     to_double,
     year_of,
 )
-from strata.functions.rates import pct, rounded, true_as_int
+from strata.functions.rates import pct, true_as_int
 
 __all__ = [
     "classify",
@@ -22,7 +22,6 @@ __all__ = [
     "parse_date",
     "pct",
     "replace_literal",
-    "rounded",
     "to_double",
     "true_as_int",
     "year_of",

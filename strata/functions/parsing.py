@@ -19,9 +19,16 @@ from strata.functions._cols import as_col
 NUMBER_PATTERN = r"(\d+\.?\d*)"
 
 
+# A full date, alone or followed by a time of day. Spark's own cast would also
+# take "2023", "2023-05" and a date followed by any text after "T".
+DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def parse_date(c: str | Column) -> Column:
-    """String -> DATE. Accepts ``yyyy-MM-dd`` and ISO date-times; junk -> NULL."""
-    return as_col(c).try_cast("date")
+    """String -> DATE. Accepts ``yyyy-MM-dd`` and ISO date-times; partial
+    dates, dates with anything else behind them and junk -> NULL."""
+    text = as_col(c).cast("string")
+    return F.when(text.rlike(DATE_PATTERN), F.substring(text, 1, 10).try_cast("date"))
 
 
 def year_of(c: str | Column) -> Column:

@@ -18,10 +18,6 @@ def pct(numerator: str | Column, denominator: str | Column, scale: int = 2) -> C
     return F.round(F.lit(100.0) * as_col(numerator) / den, scale)
 
 
-def rounded(c: str | Column, scale: int) -> Column:
-    return F.round(as_col(c), scale)
-
-
 def true_as_int(c: str | Column) -> Column:
     """Boolean -> 1/0, NULL stays NULL (so ``sum`` of it counts TRUEs)."""
     return as_col(c).cast("int")

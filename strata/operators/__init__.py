@@ -3,8 +3,7 @@
 from strata.operators.aggregates import entity_counts, entity_rates, rollup_of_counts
 from strata.operators.dedupe import dedupe_by_key, latest_by_key, upsert
 from strata.operators.filters import apply_filters, drop_null_keys, validate_choice, validate_code
-from strata.operators.joins import Lookup, bounded_broadcast, enrich_left, fanout_left, join_coverage
-from strata.operators.lookups import derive_per_distinct
+from strata.operators.joins import Lookup, enrich_left, fanout_left, join_coverage
 from strata.operators.profile import distinct_rows, null_profile, top_counts, value_distribution
 from strata.operators.quality import (
     Expectation,
@@ -29,9 +28,7 @@ __all__ = [
     "Suite",
     "apply_filters",
     "between",
-    "bounded_broadcast",
     "dedupe_by_key",
-    "derive_per_distinct",
     "distinct_rows",
     "drop_null_keys",
     "enrich_left",

@@ -1,7 +1,8 @@
 """Keep one row per key.
 
 Both operators are *aggregations*, not ``row_number()`` windows: the winner is
-``min``/``max`` of a struct whose leading fields are the ordering. An
+``min_by``/``max_by`` of the payload under the ordering, which alone decides
+(rows equal in it are interchangeable). An
 aggregation is combined map-side before the shuffle, so a key holding a third
 of all rows reaches its reducer as one partial row per map task instead of
 being sorted whole inside a single task.
@@ -25,10 +26,9 @@ def _winner(
 ) -> DataFrame:
     keys = list(keys)
     payload = [c for c in df.columns if c not in keys]
-    ordering = [o.alias(f"__o{i}") for i, o in enumerate(order)]
-    packed = F.struct(*ordering, *[F.col(c) for c in payload])
-    agg = F.max(packed) if pick_max else F.min(packed)
-    return df.groupBy(*keys).agg(agg.alias("__w")).select(
+    ordering = F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(order)])
+    pick = F.max_by if pick_max else F.min_by
+    return df.groupBy(*keys).agg(pick(F.struct(*payload), ordering).alias("__w")).select(
         *keys, *[F.col(f"__w.{c}").alias(c) for c in payload]
     )
 

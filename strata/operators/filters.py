@@ -13,14 +13,18 @@ CODE_PATTERN = r"^[0-9A-Za-z]{1,10}$"
 
 
 def apply_filters(df: DataFrame, equals: Mapping[str, object]) -> DataFrame:
-    """AND of ``col == value`` over the parameters that are not None.
+    """AND of ``col == value`` over the parameters that are not None (F4); a
+    list, tuple or set of values means ``col IN (...)`` (F5).
 
-    ``0`` and ``''`` are real values; only ``None`` means "no filter". Filters
+    ``0`` and ``''`` are real values, an empty list keeps no row; only
+    ``None`` means "no filter". Filters
     on grouping keys of a gold table are pushed by Catalyst below the
     aggregate and into the scan (partition pruning on partitioned tables).
     """
     for col, value in equals.items():
-        if value is not None:
+        if isinstance(value, (list, tuple, set, frozenset)):
+            df = df.filter(F.col(col).isin(*value) if value else F.lit(False))
+        elif value is not None:
             df = df.filter(F.col(col) == F.lit(value))
     return df
 

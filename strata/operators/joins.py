@@ -1,11 +1,9 @@
 """Enrichment joins.
 
-Dimensions are joined LEFT so that facts are never lost. A dimension is
-broadcast only behind a checked row bound (``bounded_broadcast``); anything
-else is left to the planner (static size threshold + AQE's runtime switch to a
-broadcast join when the *measured* shuffle size is small), so a dimension that
-grows with the data falls back to a shuffle join instead of blowing up
-executor memory.
+Dimensions are joined LEFT so that facts are never lost. The join strategy is
+the planner's: a side is broadcast only while Spark's size check allows it
+(the static threshold on the estimate, then AQE's on the measured shuffle);
+a dimension that grows beyond it is joined by shuffle.
 """
 
 from __future__ import annotations
@@ -17,18 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int, probe: DataFrame | None = None) -> DataFrame:
-    """Return ``broadcast(dim)`` if it holds at most ``max_rows`` rows, else ``dim``.
-
-    ``probe`` is a cheaper frame that bounds ``dim`` from above (e.g. the raw
-    dimension scan before de-duplication, whose count parquet answers from
-    footers). The check runs one small job; beyond the bound the join stays a
-    shuffle join.
-    """
-    rows = (probe if probe is not None else dim).count()
-    return F.broadcast(dim) if rows <= max_rows else dim
-
-
 def _as_list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
@@ -45,8 +31,6 @@ class Lookup:
     left_on: str | Sequence[str]
     right_on: str | Sequence[str]
     columns: Mapping[str, str] = field(default_factory=dict)
-    broadcast_max_rows: int | None = None
-    probe: DataFrame | None = None
 
 
 def enrich_left(fact: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
@@ -60,41 +44,18 @@ def enrich_left(fact: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
             *[F.col(r).alias(k) for r, k in zip(right, keys)],
             *[F.col(src).alias(dst) for src, dst in lk.columns.items()],
         )
-        if lk.broadcast_max_rows is not None:
-            dim = bounded_broadcast(dim, lk.broadcast_max_rows, lk.probe)
         cond = [F.col(lc) == F.col(k) for lc, k in zip(left, keys)]
         out = out.join(dim, cond, "left").drop(*keys)
     return out
 
 
-def fanout_left(
-    fact: DataFrame,
-    bridge: DataFrame,
-    on: str | Sequence[str],
-    skew_safe: bool = True,
-) -> DataFrame:
+def fanout_left(fact: DataFrame, bridge: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Deliberate many-to-many LEFT join onto a bridge table.
 
     Output rows = fact rows x matching bridge rows (one NULL-extended row
-    when none). With ``skew_safe`` the LEFT join is computed as an INNER join
-    plus the fact rows whose key has no bridge row (anti join against the
-    bridge's distinct keys). AQE can split a hot key on *either* side of an
-    inner join, but only the preserved side of an outer join, so a bridge key
-    holding a large share of rows no longer lands in one task; the distinct
-    keys are combined map-side before their shuffle.
+    when none). Both sides are read once; AQE splits hot keys of the fact side.
     """
-    keys = _as_list(on)
-    fact_cols = [c for c in fact.columns if c not in keys]
-    bridge_cols = [c for c in bridge.columns if c not in keys]
-    if not skew_safe:
-        return fact.join(bridge, keys, "left")
-    matched = fact.join(bridge, keys, "inner").select(*keys, *fact_cols, *bridge_cols)
-    unmatched = fact.join(bridge.select(*keys).distinct(), keys, "left_anti").select(
-        *keys,
-        *fact_cols,
-        *[F.lit(None).cast(bridge.schema[c].dataType).alias(c) for c in bridge_cols],
-    )
-    return matched.unionByName(unmatched)
+    return fact.join(bridge, _as_list(on), "left")
 
 
 def join_coverage(

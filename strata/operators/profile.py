@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.sources.tables import has_columns
+
 
 def value_distribution(
     df: DataFrame,
@@ -34,6 +36,36 @@ def value_distribution(
     ).orderBy(F.col(count_name).desc(), F.col(value_name).asc_nulls_first())
 
 
+def value_distributions(
+    df: DataFrame,
+    columns: Sequence[str],
+    column_name: str = "colonne",
+    value_name: str = "valeur",
+    count_name: str = "nb",
+    pct_name: str = "pct",
+    scale: int = 1,
+) -> DataFrame:
+    """``value_distribution`` of several columns from one scan: (column, value,
+    count, share of all rows). Values are read as text; absent columns are
+    left out."""
+    present = has_columns(df, columns)
+    if not present:
+        return df.sparkSession.createDataFrame(
+            [], f"{column_name} string, {value_name} string, {count_name} bigint, {pct_name} double"
+        )
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in present])
+    grouped = (
+        df.select(F.explode(pairs).alias("p"))
+        .groupBy(F.col("p.c").alias(column_name), F.col("p.v").alias(value_name))
+        .agg(F.count(F.lit(1)).alias(count_name))
+    )
+    # every column counts every row once
+    total = grouped.select(F.sum(count_name) / F.lit(len(present))).scalar()
+    return grouped.withColumn(pct_name, F.round(F.lit(100.0) * F.col(count_name) / total, scale)).orderBy(
+        column_name, F.col(count_name).desc(), F.col(value_name).asc_nulls_first()
+    )
+
+
 def null_profile(
     df: DataFrame,
     columns: Sequence[str],
@@ -43,8 +75,12 @@ def null_profile(
 ) -> DataFrame:
     """Null rate per column (X2/U1): one scan, then unpivot with ``stack``.
 
-    Replaces N ``SELECT ... UNION ALL`` scans with a single aggregate.
+    Replaces N ``SELECT ... UNION ALL`` scans with a single aggregate. Columns
+    that ``df`` does not have are left out of the profile.
     """
+    columns = has_columns(df, columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"{name_col} string, {pct_col} double")
     counters = df.agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.count_if(F.col(c).isNull()).alias(f"__null{i}") for i, c in enumerate(columns)],

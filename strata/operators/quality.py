@@ -107,7 +107,11 @@ def evaluate(df: DataFrame, suite: Suite) -> DataFrame:
 def evaluate_all(checks: Sequence[tuple[DataFrame, Suite]]) -> DataFrame:
     """Reports of several suites, unioned. Suites on the same DataFrame are
     evaluated together, so each table is scanned once whatever the number of
-    suites run on it."""
+    suites run on it. Suites need names of their own: the report, its summary
+    and the gate tell them apart by name."""
+    names = [suite.name for _, suite in checks]
+    if repeated := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"suite names are repeated: {', '.join(repeated)}")
     groups: dict[int, tuple[DataFrame, list[Suite]]] = {}
     for df, suite in checks:
         groups.setdefault(id(df), (df, []))[1].append(suite)

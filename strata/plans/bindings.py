@@ -5,32 +5,43 @@ The driver tables are normalised; the domain's raw facts arrive denormalised
 derives that record stream from the tables with Spark joins, so every
 registered query does work that grows with the tables:
 
-* sample (entity)        = order          ``code_prelevement = l_orderkey``
+* sample (entity)        = order          ``code_prelevement`` = padded ``o_orderkey``
 * analysed parameter     = line item/part ``libelle_parametre = p_name``
-* area (commune)         = customer       ``code_commune = o_custkey``
+* area (commune)         = customer       ``code_commune`` = padded ``o_custkey``,
+  missing for orders of less than ``LEAST_PRICE``
 * département / région   = nation / region (through the customer)
-* sample date            = ``o_orderdate`` rendered as ``yyyy-MM-dd`` text
+* sample date            = ``o_orderdate`` as text: plain, as ISO date-time
+  (finished orders), and for partial orders also year only, year-month, or with
+  a garbage tail, which no parser may take for a date
 * measure                = ``l_quantity`` as text (typed back in silver)
 * limit text             = ``"<p_size>,5 mg/L"`` (decimal comma), none for the
   largest parts (``p_size > 40``)
 * reference text         = ``">=<l_linenumber> et <=9"`` (a range: first number)
-* bact code              = N / C / D from ``o_orderstatus`` F / O / other
-* pc code                = N / NULL / C from ``o_orderpriority`` 5-LOW /
-  4-NOT SPECIFIED / other (NULL verdicts exercise three-valued logic)
-
-Sample-level attributes are derived on ``orders`` before the join, so they
-travel with the smaller side.
+* limit codes            = bact N / C / D from ``o_orderstatus`` F / O / other;
+  pc N / NULL / C from ``o_orderpriority`` 5-LOW / 4-NOT SPECIFIED / other
+* reference codes        = bact N / S / C from the priorities 2-HIGH / 1-URGENT /
+  other; pc NULL for partial orders, N for 3-MEDIUM, else C
+
+All codes are strings with leading zeros. The dimensions repeat keys and miss
+some: customers with a balance below ``LEAST_BALANCE`` are no communes; every
+supplier is also listed as a commune without parents, and the customers of one
+segment a second time without label and region; département and région codes
+also come without a label from the region and nation tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.quality import Suite, between, in_set, matches, not_null
 from strata.plans.layers import Geography
 from strata.plans.water import CATEGORIES, CONFORMITY_CODES, Domain
-from strata.sources.tables import ensure_parallelism
+from strata.sources.tables import read_declared
+
+LEAST_PRICE = 15000
+LEAST_BALANCE = -800
+REPEATED_SEGMENT = "BUILDING"
 
 # Binding rules for the part names of the test tables (overlapping on purpose:
 # "red ring" matches the first two rules, order decides). Labels reuse the
@@ -41,9 +52,9 @@ BINDING_CATEGORY_RULES: tuple[tuple[str, str], ...] = (
     ("organoleptique", r"gizmo|widget"),
 )
 
-# The domain suite with code shapes of the test tables (numeric keys).
+# The domain suite with code shapes of the test tables.
 BINDING_SILVER_SUITE = Suite(
-    "silver_controles_sanitaires",
+    "silver_driver_tables",
     (
         not_null("code_commune"),
         not_null("date_prelevement"),
@@ -53,23 +64,15 @@ BINDING_SILVER_SUITE = Suite(
         in_set("conformite_bact_limites", CONFORMITY_CODES + (None,)),
         in_set("conformite_pc_limites", CONFORMITY_CODES + (None,)),
         between("resultat_numerique", min_value=0, mostly=0.95),
-        matches("code_commune", r"^\d{1,9}$", mostly=0.90),
-        matches("code_departement", r"^\d{1,3}$"),
+        matches("code_commune", r"^\d{8}$", mostly=0.90),
+        matches("code_departement", r"^\d{2}$"),
     ),
 )
 
-# Communes are customers here: a level that grows with the data. It is
-# broadcast only while a row count of the customer table proves it small
-# (Spark's own estimate of the customer x nation preparation is a product of
-# both sides, which would otherwise force a shuffle of every fact row).
 BINDING = Domain(
     source_label="driver-tables",
     category_rules=BINDING_CATEGORY_RULES,
     silver_suite=BINDING_SILVER_SUITE,
-    area_dimension_rows=2_000_000,
-    # the bound facts are a join result; a second pass for distinct values
-    # would recompute the joins, so derive per row here
-    distinct_derivation_max=None,
 )
 
 TABLES = (
@@ -78,8 +81,8 @@ TABLES = (
 ).split()
 
 
-# Declared schemas of the driver tables: reads never infer (no footer-reading
-# job per scan, and a drifted file fails loudly instead of changing types).
+# Declared schemas of the driver tables; a file that drifted from them is
+# rejected when it is first read.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -102,42 +105,69 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_declared(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", SCHEMAS[name])
 
 
-def bact_code(status):
-    return F.when(status == "F", "N").when(status == "O", "C").otherwise("D")
+def padded(key: str, width: int) -> Column:
+    return F.lpad(F.col(key).cast("string"), width, "0")
 
 
-def pc_code(priority):
-    return F.when(priority == "5-LOW", "N").when(priority == "4-NOT SPECIFIED", F.lit(None)).otherwise("C")
+def sample_code(key: str) -> Column:
+    return padded(key, 10)
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per sample (order) with its sample-level attributes."""
-    o = ensure_parallelism(
-        table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"
-        )
+def area_code(key: str) -> Column:
+    return padded(key, 8)
+
+
+def delivered_date() -> Column:
+    """The sample date as an inconsistent source delivers it."""
+    day = F.col("o_orderdate").cast("date").cast("string")
+    partial = F.col("o_orderstatus") == "P"
+    priority = F.col("o_orderpriority")
+    return (
+        F.when(partial & (priority == "1-URGENT"), F.substring(day, 1, 4))
+        .when(partial & (priority == "4-NOT SPECIFIED"), F.substring(day, 1, 7))
+        .when(partial & (priority == "3-MEDIUM"), F.concat(day, F.lit("Tmidi")))
+        .when(F.col("o_orderstatus") == "F", F.concat(day, F.lit("T08:30:00Z")))
+        .otherwise(day)
     )
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per sample (order) with its sample-level attributes, the
+    order's key, under which the line items are found, and its true date."""
+    o = table(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     return o.select(
-        F.col("o_orderkey").alias("code_prelevement"),
-        F.col("o_custkey").alias("code_commune"),
-        F.col("o_orderdate").cast("date").cast("string").alias("date_prelevement"),
-        bact_code(F.col("o_orderstatus")).alias("conformite_limites_bact_prelevement"),
-        pc_code(F.col("o_orderpriority")).alias("conformite_limites_pc_prelevement"),
+        "o_orderkey",
+        "o_orderdate",
+        sample_code("o_orderkey").alias("code_prelevement"),
+        F.when(F.col("o_totalprice") >= LEAST_PRICE, area_code("o_custkey")).alias("code_commune"),
+        delivered_date().alias("date_prelevement"),
+        F.when(status == "F", "N").when(status == "O", "C").otherwise("D").alias("conformite_limites_bact_prelevement"),
+        F.when(priority == "5-LOW", "N")
+        .when(priority == "4-NOT SPECIFIED", F.lit(None))
+        .otherwise("C")
+        .alias("conformite_limites_pc_prelevement"),
+        F.when(priority == "2-HIGH", "N")
+        .when(priority == "1-URGENT", "S")
+        .otherwise("C")
+        .alias("conformite_references_bact_prelevement"),
+        F.when(status == "P", F.lit(None))
+        .when(priority == "3-MEDIUM", "N")
+        .otherwise("C")
+        .alias("conformite_references_pc_prelevement"),
     )
 
 
-def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_facts(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Landed-record shape of the domain: all measure / threshold / date
-    fields as text, codes as delivered."""
-    li = ensure_parallelism(
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    )
+    fields as text, codes as delivered; ``keep`` names columns of the tables
+    to keep besides."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    smp = samples(spark, sf_dir)
-    joined = li.join(smp, F.col("l_orderkey") == F.col("code_prelevement")).join(
+    joined = li.join(samples(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
     limit_text = F.when(F.col("p_size") > 40, F.lit(None).cast("string")).otherwise(
@@ -145,7 +175,7 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return joined.select(
         "code_prelevement",
-        F.col("l_partkey").alias("code_parametre"),
+        padded("l_partkey", 8).alias("code_parametre"),
         "code_commune",
         "date_prelevement",
         F.col("p_name").alias("libelle_parametre"),
@@ -157,37 +187,38 @@ def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "conformite_limites_bact_prelevement",
         "conformite_limites_pc_prelevement",
-    )
-
-
-def geography_probes(spark: SparkSession, sf_dir: str) -> Geography:
-    """Plain scans bounding each geography level from above (for size checks;
-    counted from parquet footers)."""
-    return Geography(
-        communes=table(spark, sf_dir, "customer"),
-        departements=table(spark, sf_dir, "nation"),
-        regions=table(spark, sf_dir, "region"),
+        "conformite_references_bact_prelevement",
+        "conformite_references_pc_prelevement",
+        *keep,
     )
 
 
 def geography(spark: SparkSession, sf_dir: str) -> Geography:
     """communes = customers (with their nation's region), départements =
-    nations, régions = regions."""
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nation = table(spark, sf_dir, "nation")
-    region = table(spark, sf_dir, "region")
-    communes = customer.join(
-        nation.select("n_nationkey", "n_regionkey"),
-        F.col("c_nationkey") == F.col("n_nationkey"),
-        "left",
+    nations, régions = regions; raw, with repeated and incomplete rows."""
+    customer = table(spark, sf_dir, "customer").where(F.col("c_acctbal") >= LEAST_BALANCE)
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    none = F.lit(None).cast("string")
+    listed = customer.join(
+        nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     ).select(
-        F.col("c_custkey").alias("com"),
+        area_code("c_custkey").alias("com"),
         F.col("c_name").alias("libelle"),
-        F.col("c_nationkey").alias("dep"),
-        F.col("n_regionkey").alias("reg"),
+        padded("c_nationkey", 2).alias("dep"),
+        padded("n_regionkey", 2).alias("reg"),
+    )
+    unlabelled = customer.where(F.col("c_mktsegment") == REPEATED_SEGMENT).select(
+        area_code("c_custkey").alias("com"), none.alias("libelle"), padded("c_nationkey", 2).alias("dep"), none.alias("reg")
     )
+    parentless = table(spark, sf_dir, "supplier").select(
+        area_code("s_suppkey").alias("com"), F.col("s_name").alias("libelle"), none.alias("dep"), none.alias("reg")
+    )
+    departements = nation.select(padded("n_nationkey", 2).alias("dep"), F.col("n_name").alias("libelle"))
+    regions = region.select(padded("r_regionkey", 2).alias("reg"), F.col("r_name").alias("libelle"))
     return Geography(
-        communes=communes,
-        departements=nation.select(F.col("n_nationkey").alias("dep"), F.col("n_name").alias("libelle")),
-        regions=region.select(F.col("r_regionkey").alias("reg"), F.col("r_name").alias("libelle")),
+        communes=listed.unionByName(unlabelled).unionByName(parentless),
+        departements=departements.unionByName(
+            region.select(padded("r_regionkey", 2).alias("dep"), none.alias("libelle"))
+        ),
+        regions=regions.unionByName(nation.select(padded("n_regionkey", 2).alias("reg"), none.alias("libelle"))),
     )

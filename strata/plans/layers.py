@@ -27,7 +27,6 @@ from strata.functions import (
 from strata.operators.aggregates import entity_rates
 from strata.operators.dedupe import dedupe_by_key
 from strata.operators.joins import Lookup, enrich_left
-from strata.operators.lookups import derive_per_distinct
 from strata.operators.quality import expect_or_drop
 from strata.plans import water as W
 from strata.plans.water import WATER, Domain
@@ -59,44 +58,33 @@ class Geography:
     regions: DataFrame
 
     def deduplicated(self) -> Geography:
-        """One row per key (T2): a row with a parent code wins over one
-        without, then the smallest tuple — so joins never multiply facts."""
+        """One row per key (T2): rows with parent codes win over those
+        without, then labelled ones over unlabelled, then the smallest tuple —
+        so joins never multiply facts and never lose a known label."""
         return Geography(
             communes=dedupe_by_key(
                 self.communes.select("com", "libelle", "dep", "reg"),
                 ["com"],
                 order_by=["dep", "reg", "libelle"],
-                prefer_non_null=["dep"],
+                prefer_non_null=["dep", "reg", "libelle"],
             ),
             departements=dedupe_by_key(
-                self.departements.select("dep", "libelle"), ["dep"], order_by=["libelle"]
+                self.departements.select("dep", "libelle"), ["dep"], order_by=["libelle"], prefer_non_null=["libelle"]
             ),
             regions=dedupe_by_key(
-                self.regions.select("reg", "libelle"), ["reg"], order_by=["libelle"]
+                self.regions.select("reg", "libelle"), ["reg"], order_by=["libelle"], prefer_non_null=["libelle"]
             ),
         )
 
 
 def typed_facts(bronze_df: DataFrame, domain: Domain = WATER) -> DataFrame:
-    """Tolerant typing, classification and row-level flags.
-
-    The regex-heavy derivations (category from the label, thresholds from
-    their text) depend on one repeated text column each; with
-    ``domain.distinct_derivation_max`` set they run once per distinct value.
-    """
-    per_value = {
-        W.LABEL: {"categorie_parametre": classify(W.LABEL, domain.category_rules, domain.default_category)},
-        W.RAW_LIMIT: {"limite_qualite": extract_number(W.RAW_LIMIT)},
-        W.RAW_REFERENCE: {"reference_qualite": extract_number(W.RAW_REFERENCE)},
-    }
-    derived = bronze_df
-    if domain.distinct_derivation_max is None:
-        derived = derived.withColumns({k: v for cols in per_value.values() for k, v in cols.items()})
-    else:
-        for source, cols in per_value.items():
-            derived = derive_per_distinct(derived, source, cols, domain.distinct_derivation_max)
-    typed = derived.withColumns(
+    """Tolerant typing, classification and row-level flags (P3-P15), all in
+    one projection over the scan."""
+    typed = bronze_df.withColumns(
         {
+            "categorie_parametre": classify(W.LABEL, domain.category_rules, domain.default_category),
+            "limite_qualite": extract_number(W.RAW_LIMIT),
+            "reference_qualite": extract_number(W.RAW_REFERENCE),
             "date_prelevement": parse_date(W.RAW_DATE),
             "resultat_numerique": to_double(W.RAW_RESULT),
             "conformite_bact_limites": F.col(W.BACT_CODE),
@@ -123,57 +111,60 @@ def silver_drop_rules() -> dict[str, Column]:
     }
 
 
+# label column -> (dimension, its key, the code column it is found by)
+_LABELS = {
+    "libelle_commune": ("communes", "com", W.AREA),
+    "libelle_departement": ("departements", "dep", "code_departement"),
+    "libelle_region": ("regions", "reg", "code_region"),
+}
+
+
+def with_labels(df: DataFrame, dims: Geography, labels: tuple[str, ...] = tuple(_LABELS)) -> DataFrame:
+    """Adds the labels of the codes in ``df`` (J1-J3) from de-duplicated
+    ``dims``; unknown codes have a NULL label."""
+    lookups = []
+    for label in labels:
+        dim, key, code = _LABELS[label]
+        lookups.append(Lookup(getattr(dims, dim), code, key, {"libelle": label}))
+    return enrich_left(df, lookups)
+
+
+def silver_codes(
+    bronze_df: DataFrame,
+    dims: Geography,
+    domain: Domain = WATER,
+    observation: Observation | None = None,
+    commune_columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """Typed, flagged facts with their geography codes, without labels: what
+    the aggregates group by. ``dims`` are de-duplicated. Rows without an area
+    code or a valid date are dropped (counted on ``observation``)."""
+    kept = expect_or_drop(typed_facts(bronze_df, domain), silver_drop_rules(), observation)
+    columns = {"dep": "code_departement", "reg": "code_region"} | {c: "libelle_commune" for c in commune_columns}
+    return enrich_left(kept, [Lookup(dims.communes, W.AREA, "com", columns)])
+
+
 def silver(
     bronze_df: DataFrame,
     geography: Geography,
     domain: Domain = WATER,
     observation: Observation | None = None,
-    raw_geography: Geography | None = None,
 ) -> DataFrame:
     """Typed, flagged, geography-enriched facts; 24-column contract.
 
-    Rows without an area code or a parseable date are dropped (counted on
-    ``observation`` when given). Three LEFT joins add commune, département and
-    région labels. A level is broadcast only behind a size check: Spark's
-    (estimated, then measured by AQE) by default, or an explicit row-count
-    bound from ``Domain``; beyond the bound the join is a shuffle join.
+    Three LEFT joins add commune, département and région codes and labels; the
+    planner's size checks choose between broadcast and shuffle for each.
     """
     dims = geography.deduplicated()
-    probe = raw_geography or geography
-    kept = expect_or_drop(typed_facts(bronze_df, domain), silver_drop_rules(), observation)
-    enriched = enrich_left(
-        kept,
-        [
-            Lookup(
-                dims.communes,
-                W.AREA,
-                "com",
-                {"libelle": "libelle_commune", "dep": "code_departement", "reg": "code_region"},
-                broadcast_max_rows=domain.area_dimension_rows,
-                probe=probe.communes,
-            ),
-            Lookup(
-                dims.departements,
-                "code_departement",
-                "dep",
-                {"libelle": "libelle_departement"},
-                broadcast_max_rows=domain.bounded_dimension_rows,
-                probe=probe.departements,
-            ),
-            Lookup(
-                dims.regions,
-                "code_region",
-                "reg",
-                {"libelle": "libelle_region"},
-                broadcast_max_rows=domain.bounded_dimension_rows,
-                probe=probe.regions,
-            ),
-        ],
-    )
-    return enriched.select(*W.SILVER_COLUMNS)
+    facts = silver_codes(bronze_df, dims, domain, observation, commune_columns=("libelle",))
+    return with_labels(facts, dims, ("libelle_departement", "libelle_region")).select(*W.SILVER_COLUMNS)
 
 
 # ------------------------------------------------------------------ gold ----
+#
+# The aggregates group by codes, which labels depend on. With ``dims``
+# (de-duplicated) the labels are joined to the few result rows; without, they
+# are columns of ``silver_df`` and part of the group.
 
 AREA_KEYS = ("code_commune", "libelle_commune", "code_departement", "libelle_departement", "annee_prelevement")
 EVOLUTION_KEYS = ("annee_prelevement", "mois_prelevement", "libelle_parametre", "categorie_parametre")
@@ -181,12 +172,27 @@ REGION_KEYS = ("code_departement", "libelle_departement", "code_region", "libell
 NONCONFORMITY_KEYS = ("annee_prelevement", "code_departement", "libelle_departement")
 
 
-def gold_area_rates(silver_df: DataFrame) -> DataFrame:
+def _labelled_rates(
+    silver_df: DataFrame,
+    dims: Geography | None,
+    keys: tuple[str, ...],
+    conditions: dict[str, Column],
+    rates: dict[str, str],
+) -> DataFrame:
+    labels = tuple(k for k in keys if k in _LABELS)
+    group = keys if dims is None else [k for k in keys if k not in labels]
+    counted = entity_rates(silver_df, group, W.ENTITY, conditions, rates, total_name="nb_prelevements")
+    if dims is not None:
+        counted = with_labels(counted, dims, labels)
+    return counted.select(*keys, "nb_prelevements", *conditions, *rates)
+
+
+def gold_area_rates(silver_df: DataFrame, dims: Geography | None = None) -> DataFrame:
     """G1 conformite_par_commune: yearly sample conformity per commune."""
-    return entity_rates(
+    return _labelled_rates(
         silver_df,
+        dims,
         AREA_KEYS,
-        W.ENTITY,
         {
             "nb_conformes_bact": F.col("est_conforme_bact_limites"),
             "nb_conformes_pc": F.col("est_conforme_pc_limites"),
@@ -197,81 +203,71 @@ def gold_area_rates(silver_df: DataFrame) -> DataFrame:
             "taux_pc_pct": "nb_conformes_pc",
             "taux_global_pct": "nb_conformes_global",
         },
-        total_name="nb_prelevements",
     )
 
 
-def gold_parameter_evolution(silver_df: DataFrame) -> DataFrame:
+def gold_parameter_evolution(silver_df: DataFrame, dims: Geography | None = None) -> DataFrame:
     """G2 evolution_temporelle_parametres: monthly measure trend per parameter.
 
     Measures are row-level on purpose (every analysed value counts); only the
     sample count is distinct. The unit is ``min`` — a deterministic stand-in
-    for an order-dependent ``first`` (T7) — computed apart: a string ``min``
-    would force the whole aggregation into sort-based mode, so the measures
-    stay in one hash aggregation (a single distinct: two exchanges, no
-    Expand) and the unit is the ``min`` over the distinct (group, unit) pairs,
-    a set no larger than groups x units, joined back on the group keys.
+    for an order-dependent ``first`` (T7). The facts are read once: a hash
+    aggregate per (group, unit, sample) with numeric partials, combined
+    map-side; ``min`` of the unit, which aggregates by sorting, then runs over
+    those reduced rows only.
     """
-    keyed = silver_df.withColumn("mois_prelevement", month_of("date_prelevement"))
     flag = F.col("depasse_limite_qualite")
     measure = F.col("resultat_numerique")
-    measures = keyed.groupBy(*EVOLUTION_KEYS).agg(
-        F.count_distinct(W.ENTITY).alias("nb_prelevements"),
-        F.round(F.avg(measure), 4).alias("moyenne"),
-        F.round(F.min(measure), 4).alias("minimum"),
-        F.round(F.max(measure), 4).alias("maximum"),
-        F.count(flag).alias("nb_mesures_avec_limite"),
-        F.sum(true_as_int(flag)).alias("nb_depassements_limite"),
+    partial = (
+        silver_df.withColumn("mois_prelevement", month_of("date_prelevement"))
+        .groupBy(*EVOLUTION_KEYS, W.UNIT, W.ENTITY)
+        .agg(
+            F.sum(measure).alias("__sum"),
+            F.count(measure).alias("__n"),
+            F.min(measure).alias("__min"),
+            F.max(measure).alias("__max"),
+            F.count(flag).alias("__flags"),
+            F.sum(true_as_int(flag)).alias("__true"),
+        )
     )
-    units = (
-        keyed.select(*EVOLUTION_KEYS, W.UNIT)
-        .distinct()
-        .groupBy(*[F.col(k).alias(f"__u_{k}") for k in EVOLUTION_KEYS])
-        .agg(F.min(W.UNIT).alias("unite_mesure"))
+    merged = partial.groupBy(*EVOLUTION_KEYS).agg(
+        F.count_distinct(W.ENTITY).alias("nb_prelevements"),
+        F.round(F.sum("__sum") / F.nullif(F.sum("__n"), F.lit(0)), 4).alias("moyenne"),
+        F.round(F.min("__min"), 4).alias("minimum"),
+        F.round(F.max("__max"), 4).alias("maximum"),
+        F.min(W.UNIT).alias("unite_mesure"),
+        F.sum("__flags").alias("nb_mesures_avec_limite"),
+        F.sum("__true").alias("nb_depassements_limite"),
     )
-    same_group = [F.col(k).eqNullSafe(F.col(f"__u_{k}")) for k in EVOLUTION_KEYS]
-    cond = same_group[0]
-    for c in same_group[1:]:
-        cond = cond & c
-    return measures.join(units, cond, "left").select(
-        *EVOLUTION_KEYS,
-        "nb_prelevements",
-        "moyenne",
-        "minimum",
-        "maximum",
-        "unite_mesure",
-        "nb_mesures_avec_limite",
-        "nb_depassements_limite",
-        pct("nb_depassements_limite", "nb_mesures_avec_limite").alias("taux_depassement_limite_pct"),
+    return merged.withColumn(
+        "taux_depassement_limite_pct", pct("nb_depassements_limite", "nb_mesures_avec_limite")
     )
 
 
-def gold_region_quality(silver_df: DataFrame) -> DataFrame:
+def gold_region_quality(silver_df: DataFrame, dims: Geography | None = None) -> DataFrame:
     """G3 qualite_par_departement: global conformity per département."""
-    return entity_rates(
+    return _labelled_rates(
         silver_df,
+        dims,
         REGION_KEYS,
-        W.ENTITY,
         {"nb_conformes": F.col("est_conforme_global")},
         {"taux_conformite_pct": "nb_conformes"},
-        total_name="nb_prelevements",
     )
 
 
-def gold_nonconformity(silver_df: DataFrame) -> DataFrame:
+def gold_nonconformity(silver_df: DataFrame, dims: Geography | None = None) -> DataFrame:
     """G4 non_conformites_par_departement: non-conforming samples (negated
     flags; a NULL verdict counts on neither side, T1)."""
-    return entity_rates(
+    return _labelled_rates(
         silver_df,
+        dims,
         NONCONFORMITY_KEYS,
-        W.ENTITY,
         {
             "nb_non_conformes_bact": ~F.col("est_conforme_bact_limites"),
             "nb_non_conformes_pc": ~F.col("est_conforme_pc_limites"),
             "nb_non_conformes_global": ~F.col("est_conforme_global"),
         },
         {"taux_non_conformite_pct": "nb_non_conformes_global"},
-        total_name="nb_prelevements",
     )
 
 
@@ -281,3 +277,4 @@ GOLD_TABLES = {
     "qualite_par_departement": gold_region_quality,
     "non_conformites_par_departement": gold_nonconformity,
 }
+GOLD_PARTITIONS = ("annee_prelevement",)

@@ -39,8 +39,7 @@ CATEGORIES = ("microbiologie", "radioactivite", "organoleptique", "chimie")
 CONFORMITY_CODES = ("C", "N", "D", "S")
 FAILING_CODE = "N"
 SOURCE_LABEL = "data.gouv.fr/controle-sanitaire-eau"
-# ---------------------------------------------------------------------------
-
+#
 # Raw fact columns (landed API records).
 ENTITY = "code_prelevement"
 PARAMETER_CODE = "code_parametre"
@@ -53,6 +52,9 @@ RAW_LIMIT = "limite_qualite_parametre"
 RAW_REFERENCE = "reference_qualite_parametre"
 BACT_CODE = "conformite_limites_bact_prelevement"
 PC_CODE = "conformite_limites_pc_prelevement"
+BACT_REFERENCE_CODE = "conformite_references_bact_prelevement"
+PC_REFERENCE_CODE = "conformite_references_pc_prelevement"
+CONFORMITY_COLUMNS = (BACT_CODE, PC_CODE, BACT_REFERENCE_CODE, PC_REFERENCE_CODE)
 MERGE_KEYS = (ENTITY, PARAMETER_CODE)
 
 # Silver contract (24 columns, in order).
@@ -85,10 +87,11 @@ SILVER_COLUMNS = (
 BRONZE_PARTITIONS = ("annee_prelevement",)
 SILVER_PARTITIONS = ("annee_prelevement", "code_departement")
 
-# Expectation suites as shipped (T13: the strict département pattern rejects
-# Corsica's 2A/2B and a left-joined column cannot be fully non-null).
+# Expectation suites. The strict silver suite is the one as shipped (T13: its
+# département pattern rejects Corsica's 2A/2B and a left-joined column cannot be
+# fully non-null); SILVER_SUITE below is the one the gate runs.
 SILVER_SUITE_STRICT = Suite(
-    "silver_controles_sanitaires",
+    "silver_controles_sanitaires_strict",
     (
         not_null("code_commune"),
         not_null("date_prelevement"),
@@ -103,6 +106,18 @@ SILVER_SUITE_STRICT = Suite(
         matches("code_departement", r"^\d{2,3}$"),
     ),
 )
+GOLD_AREA_SUITE = Suite(
+    "gold_conformite_par_commune",
+    (
+        not_null("taux_global_pct"),
+        between("taux_global_pct", min_value=0, max_value=100),
+        between("taux_bact_pct", min_value=0, max_value=100),
+        between("taux_pc_pct", min_value=0, max_value=100),
+        between("nb_prelevements", min_value=1),
+    ),
+)
+# ---------------------------------------------------------------------------
+
 # The suite the domain gate runs: NULL verdicts are legal, coverage is a share.
 SILVER_SUITE = Suite(
     "silver_controles_sanitaires",
@@ -119,16 +134,6 @@ SILVER_SUITE = Suite(
         matches("code_departement", r"^(\d{2,3}|2[AB])$"),
     ),
 )
-GOLD_AREA_SUITE = Suite(
-    "gold_conformite_par_commune",
-    (
-        not_null("taux_global_pct"),
-        between("taux_global_pct", min_value=0, max_value=100),
-        between("taux_bact_pct", min_value=0, max_value=100),
-        between("taux_pc_pct", min_value=0, max_value=100),
-        between("nb_prelevements", min_value=1),
-    ),
-)
 
 
 @dataclass(frozen=True)
@@ -142,18 +147,6 @@ class Domain:
     failing_code: str = FAILING_CODE
     silver_suite: Suite = SILVER_SUITE
     gold_suite: Suite = GOLD_AREA_SUITE
-    # Force-broadcast a geography level after checking it holds at most this
-    # many rows (one count job per level). None leaves the choice to Spark's
-    # own size checks: the static threshold on estimated size, then AQE's
-    # switch to a broadcast join when the measured shuffle output is small;
-    # beyond both the join stays a shuffle join.
-    area_dimension_rows: int | None = None
-    bounded_dimension_rows: int | None = None
-    # Classification and threshold extraction run once per distinct label /
-    # threshold text (joined back through a count-checked broadcast of at most
-    # this many values) instead of once per row. None evaluates per row, which
-    # suits facts that are themselves computed by joins.
-    distinct_derivation_max: int | None = 1_000_000
 
 
 WATER = Domain()

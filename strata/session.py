@@ -9,7 +9,9 @@ tests.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -64,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             # executors on other machines cannot see a driver-local folder
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
+        # private to this process: nothing of it is needed after the process
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         if sc is not None:
             sc.setCheckpointDir(configured)
             configured = sc.getCheckpointDir() or configured

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from strata.session import scratch_dir
+
 
 def write_table(
     df: DataFrame,
@@ -36,18 +38,21 @@ def write_table(
     return report
 
 
-def materialize(df: DataFrame, purpose: str = "materialized") -> DataFrame:
+def read_stored(df: DataFrame, path: str) -> DataFrame:
+    """What ``write_table(df, path)`` wrote, with the written schema: partition
+    values keep their types (a code "01" must not come back as the integer 1)."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, purpose: str = "materialized", partition_by: Sequence[str] = ()) -> DataFrame:
     """Compute ``df`` once and cut its lineage, for plans that consume it
     several times: it is written as a parquet table in a fresh directory of
     the shared checkpoint folder and read back. Unlike a local checkpoint the
     files survive the loss of the executors that wrote them, and unlike a row
     checkpoint each consumer reads back only the columns it needs."""
-    from strata.session import scratch_dir
-
-    spark = df.sparkSession
-    path = scratch_dir(spark, purpose)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_dir(df.sparkSession, purpose)
+    write_table(df, path, partition_by)
+    return read_stored(df, path)
 
 
 def replace_load(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
@@ -55,14 +60,15 @@ def replace_load(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     return write_table(df, path, mode="overwrite", fmt=fmt)
 
 
-def create_table_as(
-    spark: SparkSession, df: DataFrame, name: str, path: str
-) -> tuple[DataFrame, dict]:
-    """K5 ``CREATE OR REPLACE TABLE name AS SELECT``: materialise ``df`` at
-    ``path`` and register the stored copy under ``name`` (read back with the
-    written schema, so no inference job runs and types cannot drift).
-    Returns the stored frame and the load report."""
-    report = write_table(df, path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored.createOrReplaceTempView(name)
-    return stored, report
+def publish_table(
+    spark: SparkSession, name: str, stored: DataFrame, path: str, partition_by: Sequence[str] = ()
+) -> None:
+    """K5 ``CREATE OR REPLACE TABLE``: the catalog table ``name`` now is the
+    complete table that ``write_table`` left at ``path``; the data it pointed
+    to before stay where they are until storage expires them."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
+    parts = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {parts} LOCATION '{path}'")
+    if partition_by:
+        spark.catalog.recoverPartitions(name)

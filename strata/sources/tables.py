@@ -1,4 +1,4 @@
-"""Table scans, views and schema inspection."""
+"""Declared table reads, views and schema inspection."""
 
 from __future__ import annotations
 
@@ -6,36 +6,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_table(
-    spark: SparkSession,
-    path: str,
-    columns: Sequence[str] | None = None,
-    fmt: str = "parquet",
-) -> DataFrame:
-    """Scan a stored table; selecting ``columns`` prunes the scan (ReadSchema)."""
-    df = spark.read.format(fmt).load(path)
-    return df.select(*columns) if columns else df
-
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows round-robin when a scan yields fewer tasks than cores.
-
-    A file stored as one large row group is read by a single task, and all
-    per-row work up to the first shuffle (parsing, regex classification,
-    broadcast-join probes, the wide shuffle write) then runs on one core.
-    Only in that case is the frame — pass it already narrowed to the columns
-    needed — repartitioned; a scan with enough splits (any table at cluster
-    scale) is returned untouched, so no shuffle is added there. Counting
-    partitions only plans the scan; no job runs.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without the RDD API (e.g. Spark Connect)
-        return df
-    return df.repartition(want) if have < want else df
+class SchemaDriftError(RuntimeError):
+    pass
+
+
+#: Files whose schema was compared, by (application, path); one footer each.
+_checked: set[tuple[str, str]] = set()
+
+
+def read_declared(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Scan a parquet table with its declared schema.
+
+    A declared column that the files lack would read as NULL and one of another
+    type might fail late; so the schema in the file footers is compared first,
+    once per path and application. Further columns in the files are ignored."""
+    declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    seen = (spark.conf.get("spark.app.id", ""), path)
+    if seen not in _checked:
+        stored = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+        drift = [
+            f"{f.name}: {f.dataType.simpleString()} declared, {stored[f.name].simpleString() if f.name in stored else 'absent'}"
+            for f in declared.fields
+            if stored.get(f.name) != f.dataType
+        ]
+        if drift:
+            raise SchemaDriftError(f"{path}: {'; '.join(drift)}")
+        _checked.add(seen)
+    return spark.read.schema(declared).parquet(path)
 
 
 def register_views(frames: Mapping[str, DataFrame]) -> None:
@@ -46,7 +46,8 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
 
 def schema_inventory(frames: Mapping[str, DataFrame]) -> DataFrame:
     """(table, rows, columns) per frame — one count job per table,
-    answered from parquet footers for plain scans."""
+    answered from parquet footers for plain scans. Pass frames read without a
+    declared schema to see the columns that the files have."""
     parts = [
         df.agg(F.count(F.lit(1)).alias("nb_lignes")).select(
             F.lit(name).alias("nom_table"),

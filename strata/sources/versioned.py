@@ -1,82 +1,100 @@
 """Versioned table directories for key-based upserts (K1 sink).
 
 Without a transactional table format, an upsert must never overwrite the
-files it is reading. Each commit writes a complete new version directory
-``<root>/v=<n>``; a version counts once its ``_SUCCESS`` marker exists, so a
-crashed write is invisible and is simply rewritten. Readers take the newest
-committed version. Listing goes through the Hadoop FileSystem of the path,
-so it works the same on local disk, HDFS or object stores.
+files it is reading. Rows are dealt to ``buckets`` by a hash of their keys; a
+commit writes a new directory ``data/v=<n>`` with the buckets it changes and
+then appends (version, bucket, tag) rows to ``commits``. Only what ``commits``
+lists counts, so a crashed write is invisible, and no committed version is ever
+rewritten. Readers take each bucket from its newest version. Everything goes
+through Spark's readers and writers: any file system works.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strata.operators.dedupe import upsert
 
-_VERSION_DIR = re.compile(r"^v=(\d+)$")
+_COMMITS = "version bigint, bucket int, tag string"
+BUCKET = "key_bucket"
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str | StructType, keys: Sequence[str], buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
-
-    def _fs_path(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.keys = list(keys)
+        self.buckets = buckets
+
+    def _commits(self) -> list:
+        try:
+            return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
 
     def versions(self) -> list[int]:
-        fs, root = self._fs_path(self.root)
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            m = _VERSION_DIR.match(status.getPath().getName())
-            if m and status.isDirectory():
-                version_path = status.getPath()
-                marker = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(version_path, "_SUCCESS")
-                if fs.exists(marker):
-                    found.append(int(m.group(1)))
-        return sorted(found)
-
-    def latest(self, at_most: int | None = None) -> int | None:
-        vs = [v for v in self.versions() if at_most is None or v <= at_most]
-        return vs[-1] if vs else None
-
-    def path_of(self, version: int) -> str:
-        return f"{self.root}/v={version}"
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        v = self.latest() if version is None else version
-        return None if v is None else self.spark.read.parquet(self.path_of(v))
-
-    def commit(self, df: DataFrame, version: int | None = None, partition_by: Sequence[str] = ()) -> int:
-        if version is None:
-            last = self.latest()
-            version = 0 if last is None else last + 1
-        out = df.hint("rebalance", *partition_by) if partition_by else df
-        writer = out.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path_of(version))
+        return sorted({r["version"] for r in self._commits()})
+
+    def has(self, tag: str) -> bool:
+        """Whether a version with this ``tag`` was committed."""
+        return any(r["tag"] == tag for r in self._commits())
+
+    def bucket_of(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """The table as of ``version`` (default: newest), or some buckets of
+        it; None before the first commit."""
+        newest: dict[int, int] = {}
+        commits = [r for r in self._commits() if version is None or r["version"] <= version]
+        for r in commits:
+            newest[r["bucket"]] = max(newest.get(r["bucket"], -1), r["version"])
+        if not commits:
+            return None
+        paths = [
+            f"{self.root}/data/v={v}/{BUCKET}={b}"
+            for b, v in sorted(newest.items())
+            if b >= 0 and (buckets is None or b in buckets)
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def commit(self, df: DataFrame, tag: str | None = None) -> int:
+        """Write the buckets that ``df`` holds whole as the next version."""
+        version = max(self.versions(), default=-1) + 1
+        path = f"{self.root}/data/v={version}"
+        out = df.select(*self.schema.fieldNames()).withColumn(BUCKET, self.bucket_of())
+        out.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+        full = StructType([*self.schema.fields, StructField(BUCKET, IntegerType())])
+        stored = self.spark.read.schema(full)
+        touched = [r[0] for r in stored.parquet(path).select(BUCKET).distinct().collect()] or [-1]
+        rows = [(version, b, tag) for b in touched]
+        self.spark.createDataFrame(rows, _COMMITS).coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return version
 
 
 def merge_into(
     table: VersionedTable,
     updates: DataFrame,
-    keys: Sequence[str],
     version_by: Sequence[str | Column],
     updates_win: bool = True,
-    read_version: int | None = None,
-    write_version: int | None = None,
-) -> int:
-    """K1: upsert ``updates`` into ``table`` by ``keys``; returns the new version."""
-    current = table.read(read_version) if read_version is not None else table.read()
-    merged = upsert(current, updates, keys, version_by, updates_win=updates_win)
-    return table.commit(merged, version=write_version)
+    tag: str | None = None,
+) -> int | None:
+    """K1: upsert ``updates`` into ``table`` by its keys; only the buckets that
+    the updates' keys fall into are read and written. A merge whose ``tag`` was
+    committed before is a replay and changes nothing (returns None)."""
+    if tag is not None and table.has(tag):
+        return None
+    touched = [r[0] for r in updates.select(table.bucket_of().alias("b")).distinct().collect()]
+    current = table.read(buckets=touched)
+    merged = upsert(current, updates, table.keys, version_by, updates_win=updates_win)
+    return table.commit(merged, tag)

@@ -1,18 +1,11 @@
 """Incremental upsert with Structured Streaming.
 
-Two sinks. ``stream_upsert`` (copy-on-write) rewrites the merged table per
-micro-batch: simple, but O(table) per batch. ``stream_changelog``
-(merge-on-read) writes only each batch's winners to an epoch-partitioned
-change log and merges at read time, with periodic compaction into a base
-table: O(batch) per micro-batch, which is what a continuous feed into a very
-large table needs.
-
-Copy-on-write: landed files are read with the file stream source (``maxFilesPerTrigger``
-splits a backlog into micro-batches); ``foreachBatch`` merges each batch into
-a ``VersionedTable`` by key. The merge of epoch ``e`` reads the newest
-version ``<= e`` and writes version ``e + 1``: a batch replayed after a
-failure recomputes the same version from the same input, so the sink is
-idempotent and the query checkpoint gives exactly-once results.
+Landed files are read with the file stream source (``maxFilesPerTrigger``
+splits a backlog into micro-batches); ``foreachBatch`` merges each batch into a
+``VersionedTable`` by key, rewriting only the buckets its keys fall into. Each
+merge commits the next free version of the table, tagged with the query's id
+and the batch number: a batch replayed after a failure finds its tag and changes
+nothing, and no other writer's version is touched.
 
 The winner per key is the highest ``version_by`` tuple across batches, so
 files arriving out of order (late data) cannot roll a key back.
@@ -20,27 +13,22 @@ files arriving out of order (late data) cannot roll a key back.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from strata.operators.dedupe import latest_by_key, upsert
-from strata.sources.versioned import VersionedTable
+from strata.sources.versioned import VersionedTable, merge_into
 
 
-def merge_batch_fn(
-    table: VersionedTable,
-    keys: Sequence[str],
-    version_by: Sequence[str],
-):
+def merge_batch_fn(table: VersionedTable, version_by: Sequence[str], stream: str):
+    """The ``foreachBatch`` function; ``stream`` identifies the stream (its
+    checkpoint), within which batch numbers are unique."""
+
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        base = table.latest(at_most=epoch_id)
-        current = None if base is None else table.read(base)
-        merged = upsert(current, batch, keys, version_by, updates_win=False)
-        table.commit(merged, version=epoch_id + 1)
+        merge_into(table, batch, version_by, updates_win=False, tag=f"{stream}#{epoch_id}")
 
     return merge
 
@@ -50,116 +38,14 @@ def stream_upsert(
     source_dir: str,
     schema: StructType,
     table: VersionedTable,
-    keys: Sequence[str],
     version_by: Sequence[str],
     checkpoint_dir: str,
     fmt: str = "parquet",
     max_files_per_trigger: int = 1,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Start the upsert stream; with ``available_now`` it drains the backlog
-    in micro-batches and stops."""
-    stream = (
-        spark.readStream.schema(schema)
-        .format(fmt)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .load(source_dir)
-    )
-    writer = (
-        stream.writeStream.foreachBatch(merge_batch_fn(table, keys, version_by))
-        .option("checkpointLocation", checkpoint_dir)
-        .queryName(f"upsert_{abs(hash(table.root)) % 10**8}")
-    )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
-    return writer.start()
-
-
-# --------------------------------------------------------------------------
-# Merge-on-read: per-batch cost O(batch), not O(table)
-# --------------------------------------------------------------------------
-
-EPOCH = "changelog_epoch"
-
-
-class ChangeLog:
-    """An upsert target kept as a change log plus a compacted base.
-
-    ``<root>/changes/changelog_epoch=<e>/`` holds the latest row per key of micro-batch
-    ``e``; ``<root>/base`` is a ``VersionedTable`` whose version ``v`` is the
-    merge of every change up to epoch ``v``. The current table is the latest
-    row per key over the base and the newer epochs (partition pruning skips
-    the compacted ones). Writing a batch touches only that batch's rows.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], version_by: Sequence[str]):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.keys = list(keys)
-        self.version_by = list(version_by)
-        self.base = VersionedTable(spark, f"{self.root}/base")
-
-    @property
-    def changes_path(self) -> str:
-        return f"{self.root}/changes"
-
-    def append(self, batch: DataFrame, epoch_id: int) -> None:
-        """Write the batch's winners as epoch ``epoch_id`` (a replay rewrites
-        the same directory with the same rows)."""
-        winners = latest_by_key(batch, self.keys, self.version_by)
-        winners.write.mode("overwrite").parquet(f"{self.changes_path}/{EPOCH}={epoch_id}")
-
-    def _changes(self, schema: StructType, after: int | None, up_to: int | None = None) -> DataFrame | None:
-        """Change rows of epochs in ``(after, up_to]`` (partition-pruned)."""
-        fs, path = self.base._fs_path(self.changes_path)
-        if not fs.exists(path):
-            return None
-        full = StructType(list(schema.fields) + [StructField(EPOCH, LongType(), True)])
-        changes = self.spark.read.schema(full).parquet(self.changes_path)
-        if after is not None:
-            changes = changes.filter(F.col(EPOCH) > F.lit(after))
-        if up_to is not None:
-            changes = changes.filter(F.col(EPOCH) <= F.lit(up_to))
-        return changes.drop(EPOCH)
-
-    def _merged(self, schema: StructType, up_to: int | None) -> DataFrame | None:
-        base_version = self.base.latest()
-        parts = []
-        if base_version is not None:
-            parts.append(self.base.read(base_version).select(*schema.fieldNames()))
-        changes = self._changes(schema, base_version, up_to)
-        if changes is not None:
-            parts.append(changes)
-        if not parts:
-            return None
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return latest_by_key(both, self.keys, self.version_by)
-
-    def read(self, schema: StructType) -> DataFrame:
-        """Current table: latest row per key over base + newer changes."""
-        merged = self._merged(schema, None)
-        return merged if merged is not None else self.spark.createDataFrame([], schema)
-
-    def compact(self, schema: StructType, up_to_epoch: int) -> int:
-        """Fold every change up to ``up_to_epoch`` into base version
-        ``up_to_epoch`` (run periodically, not per batch); later epochs stay
-        in the log. Readers pick the new base once its commit marker exists."""
-        merged = self._merged(schema, up_to_epoch)
-        if merged is None:
-            raise ValueError("nothing to compact")
-        return self.base.commit(merged, version=up_to_epoch)
-
-
-def stream_changelog(
-    spark: SparkSession,
-    source_dir: str,
-    schema: StructType,
-    log: ChangeLog,
-    checkpoint_dir: str,
-    fmt: str = "parquet",
-    max_files_per_trigger: int = 1,
-    available_now: bool = True,
+    interval: str | None = None,
 ) -> StreamingQuery:
-    """Start a merge-on-read upsert stream into ``log``."""
+    """Start the upsert stream. Without ``interval`` it drains the backlog in
+    micro-batches and stops; with one (such as "30 seconds") it goes on."""
     stream = (
         spark.readStream.schema(schema)
         .format(fmt)
@@ -167,9 +53,9 @@ def stream_changelog(
         .load(source_dir)
     )
     writer = (
-        stream.writeStream.foreachBatch(lambda batch, epoch_id: log.append(batch, epoch_id))
+        stream.writeStream.foreachBatch(merge_batch_fn(table, version_by, checkpoint_dir))
         .option("checkpointLocation", checkpoint_dir)
-        .queryName(f"changelog_{abs(hash(log.root)) % 10**8}")
+        .queryName(f"upsert_{zlib.crc32(table.root.encode()):08x}")
     )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
     return writer.start()
