@@ -1,8 +1,9 @@
-"""Gold aggregates on the inline fixture (hand-computed goldens) and the
+"""Gold aggregates on the samples of conftest (hand-computed) and the
 equivalence of the two-stage distinct counting with the textbook form."""
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -16,94 +17,86 @@ from strata.plans.layers import (
     gold_parameter_evolution,
     gold_region_quality,
     silver,
+    silver_codes,
 )
 
 
 @pytest.fixture(scope="module")
-def silver_ref(reference_raw, geography):
-    return silver(bronze(reference_raw), geography).cache()
-
-
-def test_area_rates_goldens(silver_ref):
-    rows = gold_area_rates(silver_ref).collect()
-    assert len(rows) == 1
-    r = rows[0]
-    assert (r.code_commune, r.libelle_commune, r.code_departement, r.libelle_departement, r.annee_prelevement) == (
-        "33063",
-        "Bordeaux",
-        "33",
-        "Gironde",
-        2023,
-    )
-    assert (r.nb_prelevements, r.nb_conformes_bact, r.nb_conformes_pc, r.nb_conformes_global) == (8, 5, 5, 3)
-    assert (r.taux_bact_pct, r.taux_pc_pct, r.taux_global_pct) == (62.5, 62.5, 37.5)
+def silver_rows(sample_raw, geography):
+    return silver(bronze(sample_raw), geography).cache()
 
 
-def test_nonconformity_goldens(silver_ref):
-    r = gold_nonconformity(silver_ref).first()
-    assert (r.nb_prelevements, r.nb_non_conformes_bact, r.nb_non_conformes_pc, r.nb_non_conformes_global) == (
-        8,
-        2,
-        3,
-        4,
-    )
-    # NULL verdicts count on neither side: 37.5 + 50.0 != 100 (P006)
-    assert r.taux_non_conformite_pct == 50.0
-
-
-def test_region_quality_goldens(silver_ref):
-    r = gold_region_quality(silver_ref).first()
-    assert (r.code_region, r.libelle_region, r.nb_prelevements, r.nb_conformes, r.taux_conformite_pct) == (
-        "75",
-        "Nouvelle-Aquitaine",
-        8,
-        3,
-        37.5,
-    )
+def _sorted(df):
+    return sorted(map(tuple, df.collect()))
 
 
-def test_evolution_goldens(silver_ref):
-    g = gold_parameter_evolution(silver_ref)
-    rows = g.collect()
-    assert len(rows) == 10
-    totals = g.agg(F.sum("nb_mesures_avec_limite"), F.sum("nb_depassements_limite")).first()
-    assert tuple(totals) == (9, 3)
-    temp = g.filter("libelle_parametre = 'Température'").first()
-    assert temp.nb_mesures_avec_limite == 0
-    assert temp.nb_depassements_limite is None
-    assert temp.taux_depassement_limite_pct is None
-    assert temp.unite_mesure == "°C"
-    arsenic = g.filter("libelle_parametre = 'Arsenic'").first()
-    assert (arsenic.moyenne, arsenic.taux_depassement_limite_pct, arsenic.mois_prelevement) == (15.0, 100.0, 8)
+def test_area_rates(silver_rows):
+    assert _sorted(gold_area_rates(silver_rows).drop("libelle_departement")) == [
+        # samples; conforming bact, pc, global; rates
+        ("29019", "Brest", "29", 2022, 1, 1, 0, 0, 100.0, 0.0, 0.0),
+        ("29019", "Brest", "29", 2023, 2, 0, 1, 0, 0.0, 50.0, 0.0),
+        ("2B033", "Bastia", "2B", 2023, 1, 1, 1, 1, 100.0, 100.0, 100.0),
+        ("35238", "Rennes", "35", 2022, 3, 2, 2, 1, 66.67, 66.67, 33.33),
+    ]
 
 
-def test_dedup_samples_fewer_than_rows(silver_ref):
-    assert silver_ref.count() > silver_ref.select("code_prelevement").distinct().count()
-    p001 = silver_ref.filter("code_prelevement = 'P001'")
-    assert gold_area_rates(p001).first().nb_prelevements == 1
+def test_nonconformity(silver_rows):
+    """NULL verdicts count on neither side: A4 and A6 are in no count."""
+    assert _sorted(gold_nonconformity(silver_rows).drop("libelle_departement")) == [
+        (2022, "29", 1, 0, 0, 0, 0.0),
+        (2022, "35", 3, 1, 1, 2, 66.67),
+        (2023, "29", 2, 0, 1, 1, 50.0),
+        (2023, "2B", 1, 0, 0, 0, 0.0),
+    ]
 
 
-@pytest.mark.parametrize(
-    "samples,expected",
-    [(["P001", "P005", "P007"], 100.0), (["P004"], 0.0), (["P001", "P002"], 50.0)],
-)
-def test_rate_subsets(silver_ref, samples, expected):
-    subset = silver_ref.filter(F.col("code_prelevement").isin(samples))
-    assert gold_area_rates(subset).first().taux_global_pct == expected
+def test_region_quality(silver_rows):
+    assert _sorted(gold_region_quality(silver_rows)) == [
+        ("29", "Finistère", "53", "Bretagne", 2022, 1, 0, 0.0),
+        ("29", "Finistère", "53", "Bretagne", 2023, 2, 0, 0.0),
+        ("2B", "Haute-Corse", "94", "Corse", 2023, 1, 1, 100.0),
+        ("35", "Ille-et-Vilaine", "53", "Bretagne", 2022, 3, 1, 33.33),
+    ]
+
+
+def test_evolution(silver_rows):
+    by = {r.libelle_parametre: r for r in gold_parameter_evolution(silver_rows).collect()}
+    assert len(by) == 8  # one group a label here
+    twice = by["Entérocoques"]  # A1 and A2, both in March
+    assert (twice.annee_prelevement, twice.mois_prelevement, twice.nb_prelevements) == (2022, 3, 2)
+    assert (twice.moyenne, twice.minimum, twice.maximum, twice.unite_mesure) == (2.0, 0.0, 4.0, "n/100mL")
+    assert (twice.nb_mesures_avec_limite, twice.nb_depassements_limite, twice.taux_depassement_limite_pct) == (2, 1, 50.0)
+    none = by["Coliformes"]  # not one value
+    assert (none.moyenne, none.nb_mesures_avec_limite, none.nb_depassements_limite) == (None, 0, None)
+    assert none.taux_depassement_limite_pct is None and by["Turbidité"].nb_mesures_avec_limite == 0
+
+
+def test_evolution_unit_and_sample_in_several_units(spark, silver_rows):
+    """One sample measured in two units counts once; the unit is the least."""
+    one = silver_rows.where("libelle_parametre = 'Plomb'")
+    other = one.withColumn("unite_mesure", F.lit("mg/L")).withColumn("resultat_numerique", F.lit(30.0))
+    r = gold_parameter_evolution(one.unionByName(other)).first()
+    assert (r.nb_prelevements, r.moyenne, r.minimum, r.maximum, r.unite_mesure) == (1, 20.0, 10.0, 30.0, "mg/L")
+
+
+def test_labels_may_be_joined_after_the_aggregate(sample_raw, silver_rows, geography):
+    dims = geography.deduplicated()
+    codes = silver_codes(bronze(sample_raw), dims)
+    for build in (gold_area_rates, gold_nonconformity, gold_region_quality, gold_parameter_evolution):
+        assert sorted(map(str, build(codes, dims).collect())) == sorted(map(str, build(silver_rows).collect()))
 
 
-def test_rates_in_range_and_coherent(silver_ref):
-    g4 = gold_nonconformity(silver_ref).collect()
-    for r in g4:
-        assert r.taux_non_conformite_pct == round(100.0 * r.nb_non_conformes_global / r.nb_prelevements, 2)
-    for r in gold_area_rates(silver_ref).collect():
-        for v in (r.taux_bact_pct, r.taux_pc_pct, r.taux_global_pct):
-            assert 0 <= v <= 100
+def test_rates_follow_from_the_counts(silver_rows):
+    for size in (1, 2, 3):
+        for names in itertools.combinations(["A1", "A2", "A3"], size):
+            r = gold_area_rates(silver_rows.where(F.col("code_prelevement").isin(*names))).first()
+            assert r.nb_prelevements == size  # A1 has three rows and counts once
+            assert r.taux_global_pct == round(100.0 * ("A1" in names) / size, 2)
 
 
-def test_nested_aggregate(silver_ref):
-    r = rollup_of_counts(silver_ref, ["code_commune", "annee_prelevement"], "code_prelevement").first()
-    assert (r.min_nb, r.sum_nb, r.nb_groupes) == (8, 8, 1)
+def test_nested_aggregate(silver_rows):
+    r = rollup_of_counts(silver_rows, ["code_commune", "annee_prelevement"], "code_prelevement").first()
+    assert (r.min_nb, r.sum_nb, r.nb_groupes) == (1, 7, 4)
 
 
 def test_two_stage_equals_count_distinct_on_random_data(spark):
@@ -131,11 +124,11 @@ def test_two_stage_equals_count_distinct_on_random_data(spark):
     )
 
 
-def test_two_stage_plan_has_no_expand(silver_ref):
-    plan = gold_area_rates(silver_ref)._jdf.queryExecution().executedPlan().toString()
+def test_two_stage_plan_has_no_expand(silver_rows):
+    plan = gold_area_rates(silver_rows)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
     textbook = count_distinct_reference(
-        silver_ref,
+        silver_rows,
         ["code_commune"],
         "code_prelevement",
         {"a": F.col("est_conforme_bact_limites"), "b": F.col("est_conforme_pc_limites")},

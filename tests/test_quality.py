@@ -72,30 +72,31 @@ def test_empty_input_is_vacuous_success(spark):
     assert (r.evaluees, r.violations, r.succes) == (0, 0, True)
 
 
-def test_domain_suites_on_fixture(silver_all, geography, all_raw):
+def test_domain_suites_on_the_samples(silver_all):
     rep = _report(silver_all, W.SILVER_SUITE)
-    failed = {k for k, v in rep.items() if not v.succes}
-    # the orphan commune X006 leaves 13 of 14 rows with a département (92.9 % < 95 %)
-    assert failed == {("code_departement", "not_null")}
-    assert (rep["code_departement", "not_null"].evaluees, rep["code_departement", "not_null"].violations) == (14, 1)
-    without_orphan = silver_all.filter("code_prelevement <> 'X006'")
-    assert all(r.succes for r in _report(without_orphan, W.SILVER_SUITE).values())
+    # the unknown commune leaves 10 of 11 rows with a département (90.9 % < 95 %)
+    assert {k for k, v in rep.items() if not v.succes} == {("code_departement", "not_null")}
+    assert (rep["code_departement", "not_null"].evaluees, rep["code_departement", "not_null"].violations) == (11, 1)
+    covered = silver_all.filter("code_prelevement <> 'E7'")
+    assert all(r.succes for r in _report(covered, W.SILVER_SUITE).values())
     strict = _report(silver_all, W.SILVER_SUITE_STRICT)
-    # as shipped: NULL global verdicts and Corsica's 2A fail the strict suite
+    # as shipped: NULL global verdicts and Corsica's 2B fail the strict suite
     assert not strict["est_conforme_global", "not_null"].succes
     assert not strict["code_departement", "regex"].succes
     gold = _report(gold_area_rates(silver_all), W.GOLD_AREA_SUITE)
     assert all(r.succes for r in gold.values())
 
 
-def test_gate_raises_after_report(silver_all):
+def test_gate_raises_and_tells_suites_apart(silver_all):
     report = evaluate_all([(silver_all, W.SILVER_SUITE), (silver_all, W.SILVER_SUITE_STRICT)])
     summary = summarize(report)
-    assert [s["suite"] for s in summary] == ["silver_controles_sanitaires"]
+    assert [s["suite"] for s in summary] == ["silver_controles_sanitaires", "silver_controles_sanitaires_strict"]
     with pytest.raises(QualityGateError):
         gate(report)
-    covered = silver_all.filter("code_prelevement <> 'X006'")
+    covered = silver_all.filter("code_prelevement <> 'E7'")
     assert gate(evaluate(covered, W.SILVER_SUITE))[0]["succes"] is True
+    with pytest.raises(ValueError, match="repeated"):
+        evaluate_all([(silver_all, W.SILVER_SUITE), (covered, W.SILVER_SUITE)])
 
 
 def test_evaluate_is_one_scan(silver_all):

@@ -1,67 +1,78 @@
-"""End-to-end medallion run on the inline fixture."""
+"""End-to-end medallion run on the samples of conftest."""
 
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 import pytest
+from conftest import RAW_SCHEMA, REDELIVERY
 from pyspark.sql import functions as F
 
 from strata.operators.quality import QualityGateError
 from strata.plans.runner import LayerConfig, run_medallion
-from strata.plans.water import WATER, SILVER_SUITE_STRICT
+from strata.plans.water import SILVER_SUITE_STRICT, WATER
 
 
-def test_run_writes_layers_and_passes_gate(spark, tmp_root, all_raw, geography):
-    cfg = LayerConfig(root=tmp_root)
-    fixed_time = F.lit("2025-01-01 02:00:00").cast("timestamp")
-    covered = all_raw.filter("code_prelevement <> 'X006'")  # no orphan commune: coverage 100 %
-    res = run_medallion(spark, covered, geography, cfg, WATER, ingested_at=fixed_time)
-    assert res.loads["bronze"]["rows_written"] == 16
-    assert res.loads["silver"]["rows_written"] == 13
-    assert res.silver_drops["dropped: date valide"] == 2
-    assert res.silver_drops["dropped: code_commune non nul"] == 1
-    assert os.path.isdir(os.path.join(cfg.path(cfg.silver), "annee_prelevement=2023", "code_departement=33"))
-    # partition values keep their string type ("2A", "33")
-    assert dict(res.silver.dtypes)["code_departement"] == "string"
-    assert {r.code_departement for r in res.silver.select("code_departement").distinct().collect()} == {"33", "2A"}
-    assert set(res.gold) == {
-        "conformite_par_commune",
-        "evolution_temporelle_parametres",
-        "qualite_par_departement",
-        "non_conformites_par_departement",
-    }
-    g1 = res.gold["conformite_par_commune"].filter("annee_prelevement = 2023").first()
-    assert (g1.nb_prelevements, g1.taux_global_pct) == (8, 37.5)
+@pytest.fixture
+def covered(all_raw):
+    """Without the commune that the dimension lacks."""
+    return all_raw.filter("code_prelevement <> 'E7'")
+
+
+def test_run_merges_deliveries_and_writes_every_layer(spark, tmp_root, covered, geography):
+    cfg = LayerConfig(root=tmp_root, prefix="t1_")
+    when = F.lit("2025-01-01 02:00:00").cast("timestamp")
+    later = spark.createDataFrame(REDELIVERY, RAW_SCHEMA)
+    res = run_medallion(spark, [covered, later], geography, cfg, WATER, ingested_at=when)
+    assert res.facts.count() == covered.count() == 15
+    corrected = res.facts.filter("code_prelevement = 'A2'").collect()
+    assert [(r.resultat_numerique, r.date_prelevement) for r in corrected] == [("0", "2022-03-19")]
+    assert (res.loads["bronze"]["rows_written"], res.loads["silver"]["rows_written"]) == (15, 10)
+    assert res.silver_drops == {"rows_in": 15, "dropped: code_commune non nul": 1, "dropped: date valide": 4}
+    assert os.path.isdir(os.path.join(res.loads["silver"]["path"], "annee_prelevement=2022", "code_departement=35"))
+    # partition values keep their string type ("2B", "35")
+    assert {r[0] for r in res.silver.select("code_departement").distinct().collect()} == {"35", "29", "2B"}
+    g1 = res.gold["conformite_par_commune"].filter("annee_prelevement = 2022 AND code_commune = '35238'").first()
+    assert (g1.nb_prelevements, g1.nb_conformes_global, g1.taux_global_pct) == (3, 2, 66.67)
     assert all(s["succes"] for s in res.summary)
     assert res.report.count() == len(WATER.silver_suite.expectations) + len(WATER.gold_suite.expectations)
-    assert res.silver.select(F.max("_ingested_at")).first()[0] is not None
-    assert res.loads["conformite_par_commune"]["rows_written"] == 3  # 33063/2023, 33063/2024, 2A004/2024
-    # stored layers are queryable by name
-    assert spark.sql("SELECT COUNT(*) FROM silver_controles_sanitaires").first()[0] == 13
-    assert spark.table("conformite_par_commune").count() == 3
+    # stored layers are queryable by name, gold as catalog tables with partitions
+    assert spark.sql("SELECT COUNT(*) FROM t1_silver_controles_sanitaires").first()[0] == 10
+    assert spark.table("t1_conformite_par_commune").count() == res.loads["conformite_par_commune"]["rows_written"] == 5
+    pruned = spark.table("t1_conformite_par_commune").filter("annee_prelevement = 2021")
+    assert pruned.count() == 1
+    assert "PartitionFilters: [isnotnull(annee_prelevement" in pruned._jdf.queryExecution().executedPlan().toString()
+    assert spark.catalog.tableExists("t1_non_conformites_par_departement")
+
 
+def test_a_rerun_merges_into_what_was_landed(spark, tmp_root, covered, geography):
+    cfg = LayerConfig(root=tmp_root, prefix="t2_")
+    run_medallion(spark, [covered], geography, cfg, WATER)
+    res = run_medallion(spark, [spark.createDataFrame(REDELIVERY, RAW_SCHEMA)], geography, cfg, WATER)
+    assert res.facts.count() == 15  # history is corrected, not replaced
+    assert res.facts.filter("code_prelevement = 'A2'").first().resultat_numerique == "0"
+    assert spark.table("t2_conformite_par_commune").filter("annee_prelevement = 2022").agg(F.sum("nb_conformes_global")).first()[0] == 2
 
-def test_failing_gate_raises_after_writing_report(spark, tmp_root, all_raw, geography):
-    from dataclasses import replace
 
+def test_failing_gate_raises_after_the_report_and_publishes_nothing(spark, tmp_root, all_raw, covered, geography):
     strict = replace(WATER, silver_suite=SILVER_SUITE_STRICT)
-    cfg = LayerConfig(root=tmp_root)
+    cfg = LayerConfig(root=tmp_root, prefix="t3_")
     with pytest.raises(QualityGateError):
-        run_medallion(spark, all_raw, geography, cfg, strict)
-    with pytest.raises(QualityGateError):  # the orphan commune fails the coverage share
-        run_medallion(spark, all_raw, geography, LayerConfig(root=tmp_root + "/b"), WATER)
-    report = spark.read.parquet(cfg.path(cfg.reports))
+        run_medallion(spark, [covered], geography, cfg, strict)
+    report = spark.read.option("recursiveFileLookup", True).parquet(cfg.path(cfg.reports))
     assert report.filter("NOT succes").count() > 0
+    assert not spark.catalog.tableExists("t3_conformite_par_commune")
+    with pytest.raises(QualityGateError):  # the unknown commune fails the coverage share
+        run_medallion(spark, [all_raw], geography, LayerConfig(root=tmp_root + "/b", prefix="t4_"), WATER)
 
 
-def test_orphan_lands_in_default_partition(spark, tmp_root, all_raw, geography):
-    """An unmatched commune has no département; its rows are written to
-    the default partition and read back with a NULL code."""
-    cfg = LayerConfig(root=tmp_root)
-    res = run_medallion(spark, all_raw, geography, cfg, WATER, enforce_gate=False)
-    orphan = res.silver.filter("code_prelevement = 'X006'").collect()
-    assert len(orphan) == 1 and orphan[0].code_departement is None
-    year_dir = os.path.join(cfg.path(cfg.silver), "annee_prelevement=2024")
+def test_unknown_commune_lands_in_the_default_partition(spark, tmp_root, all_raw, geography):
+    """Its rows have no département and are read back with a NULL code."""
+    cfg = LayerConfig(root=tmp_root, prefix="t5_")
+    res = run_medallion(spark, [all_raw], geography, cfg, WATER, enforce_gate=False)
+    unknown = res.silver.filter("code_prelevement = 'E7'").collect()
+    assert len(unknown) == 1 and unknown[0].code_departement is None
+    year_dir = os.path.join(res.loads["silver"]["path"], "annee_prelevement=2021")
     assert "code_departement=__HIVE_DEFAULT_PARTITION__" in os.listdir(year_dir)
     assert not all(s["succes"] for s in res.summary)  # coverage share reported, not enforced
