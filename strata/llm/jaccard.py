@@ -8,9 +8,8 @@ Documents link when ``100 * |A & B| >= percent * |A | B|``. The join runs over
 2. Each class orders its shingles rare first (by bucket count, then hash: one
    order for all) and emits its prefix, the ``n - ceil(t n) + 1`` rarest.
    Any two linked sets share a prefix shingle. Shingles alone in one prefix go.
-3. Rounds of at most one candidate a document, its neighbour in a shingle's
-   group with most shared shingles outside its component, verified once, merge
-   the large groups of near copies. When few pairs from different components
+3. Rounds of at most one candidate a document, a leader of its shingles' groups
+   outside its component, verified once, merge the large groups of near copies. When few pairs from different components
    remain, all of them that pass the length, positional and suffix filters are
    verified: no pair is left out but those already connected.
 
@@ -31,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import only, settle, text_chunks
 from strata.llm.components import components
 from strata.llm.hashing import mix, shingle_sets
 
+#: Documents to compare, with at most a thousand hubs each, broadcast to the
+#: scan of the texts where at most so many.
+BROADCAST_ROLES = 300_000
 #: All remaining pairs are verified once they are at most so many a prefix row.
 PAIRS_PER_ROW = 4
 MAX_ROUNDS = 8
@@ -51,28 +53,39 @@ def _sets(batches, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
             yield ids[a:b], shingle_sets(data, offsets, k)
 
 
+def _partition_counts(s: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each hash partition, about four
+    hashes to a partition, up to 255 each."""
+    bits = max(0, len(s).bit_length() - 3)
+    part = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+    return np.minimum(np.bincount(part, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+_SURVEY = "id long, n long, d1 long, d2 long, counts binary"
+
+
 def _survey(k: int, sketch_bits: int):
-    """Rows (id, n, d1, d2) of documents and (NULL, bucket, count, NULL)."""
-    names = ["id", "n", "d1", "d2"]
+    """Rows (id, n, d1, d2, counts) of documents: size, digest and partition
+    counts of their sets; and (NULL, bucket, count, NULL, NULL) of the task."""
+    names = ["id", "n", "d1", "d2", "counts"]
 
     def run(batches):
-        counts = np.zeros(1 << sketch_bits, dtype=np.int64)
+        buckets = np.zeros(1 << sketch_bits, dtype=np.int64)
         for ids, sets in _sets(batches, k):
             flat = np.concatenate([*sets, np.empty(0, np.uint64)])
-            counts += np.bincount((flat >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(counts))
+            buckets += np.bincount((flat >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(buckets))
             ends = np.cumsum([len(s) for s in sets])
             digests = []
             for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
                 total = np.concatenate(([0], np.cumsum(mix(flat ^ np.uint64(salt)), dtype=np.uint64))).astype(np.uint64)
                 digests.append((total[ends] - np.concatenate(([np.uint64(0)], total[ends[:-1]]))).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digests)],
-                names=names,
-            )
-        used = np.flatnonzero(counts)
+            counts = pa.array([_partition_counts(s) for s in sets], pa.binary())
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, *map(pa.array, digests), counts], names=names)
+        used = np.flatnonzero(buckets)
+        none = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(counts[used]), pa.nulls(len(used), pa.int64())],
-            names=names,
+            [none, pa.array(used), pa.array(buckets[used]), none, pa.nulls(len(used), pa.binary())], names=names
         )
 
     return run
@@ -138,38 +151,27 @@ def _overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _passes(p: str, q: str, percent: int) -> Column:
-    """Length and positional filters for prefix rows p and q of one token."""
+    """Length, prefix and positional filters for prefix rows p and q of one
+    token. Of two linked sets the smaller shares one of its ``n - ceil(2t / (1
+    + t) n) + 1`` rarest shingles with the other's prefix."""
     n_p, n_q, at_p, at_q = F.col(f"{p}n"), F.col(f"{q}n"), F.col(f"{p}pos"), F.col(f"{q}pos")
+    p_smaller = (n_p < n_q) | ((n_p == n_q) & (F.col(f"{p}id") < F.col(f"{q}id")))
     most = F.least(at_p, at_q) + 1 + F.least(n_p - 1 - at_p, n_q - 1 - at_q)
-    return (F.least(n_p, n_q) * 100 >= F.greatest(n_p, n_q) * percent) & (most >= _overlap(n_p, n_q, percent))
-
-
-def _sets_with_partitions(k: int):
-    """(id, set, counts): the sorted set, and its counts in hash partitions,
-    about one per four shingles, as 16-bit numbers."""
+    return (
+        (F.least(n_p, n_q) * 100 >= F.greatest(n_p, n_q) * percent)
+        & F.when(p_smaller, _indexed(n_p, at_p, percent)).otherwise(_indexed(n_q, at_q, percent))
+        & (most >= _overlap(n_p, n_q, percent))
+    )
 
-    def run(batches):
-        for ids, sets in _sets(batches, k):
-            counts = []
-            for s in sets:
-                bits = max(0, int(len(s)).bit_length() - 3)
-                part = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
-                counts.append(np.minimum(np.bincount(part, minlength=1 << bits), 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([s.astype("<u8", copy=False).tobytes() for s in sets], pa.binary()),
-                    pa.array(counts, pa.binary()),
-                ],
-                names=["id", "set", "counts"],
-            )
 
-    return run
+def _indexed(n: Column, at: Column, percent: int) -> Column:
+    """Whether place ``at`` is in the short prefix of a set of size n."""
+    return at <= n - _overlap(n, n, percent)
 
 
 def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Upper bound of the overlap from the partition counts of two sets."""
-    if (a == 65535).any() or (b == 65535).any():
+    if (a == 255).any() or (b == 255).any():
         return 1 << 62
     while len(a) > len(b):
         a = a.reshape(-1, 2).sum(axis=1)
@@ -183,38 +185,98 @@ def _suffix_filter(percent: int):
         for batch in batches:
             keep = []
             for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                bound = most_overlap(np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64))
+                bound = most_overlap(np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64))
                 keep.append(bound * (100 + percent) >= percent * (n + m))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _deal_sets(k: int):
+    """Sets for comparison: rows (hub, salt, own, id, set) for each role that a
+    document has, ``own`` where it is the hub."""
+
+    def run(batches):
+        for batch in batches:
+            roles = batch.column(2).to_pylist()
+            ids = batch.column(0).to_pylist()
+            for a, b, data, offsets in text_chunks(batch.column(1)):
+                for i, s in zip(range(a, b), shingle_sets(data, offsets, k), strict=True):
+                    raw, mine = s.astype("<u8", copy=False).tobytes(), roles[i]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([r["hub"] for r in mine], pa.int64()),
+                            pa.array([r["salt"] for r in mine], pa.int64()),
+                            pa.array([r["own"] for r in mine], pa.bool_()),
+                            pa.array([ids[i]] * len(mine), pa.int64()),
+                            pa.array([raw] * len(mine), pa.binary()),
+                        ],
+                        names=["hub", "salt", "own", "id", "set"],
+                    )
+
+    return run
+
+
 def _compare(percent: int):
+    """Rows sorted by hub and salt, the hub's own first: the linked pairs. One
+    hub's sets are held at a time."""
+
     def run(batches):
+        at, hub_sets = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(a) + len(b) - len(np.union1d(a, b)) if len(a) and len(b) else 0
-                keep.append(common * (100 + percent) >= percent * (len(a) + len(b)) and common > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            hubs, salts, owns, ids = (batch.column(i).to_pylist() for i in range(4))
+            linked = []
+            for i, key in enumerate(zip(hubs, salts, strict=True)):
+                s = np.frombuffer(batch.column(4)[i].as_buffer(), "<u8")
+                if key != at:
+                    at, hub_sets = key, []
+                if owns[i]:
+                    hub_sets.append(s.copy())
+                    continue
+                for h in hub_sets:
+                    common = len(h) + len(s) - len(np.union1d(h, s))
+                    if common and common * (100 + percent) >= percent * (len(h) + len(s)):
+                        linked.append((hubs[i], ids[i]))
+                        break
+            columns = list(zip(*linked, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``, each compared once."""
-    small = sets.select("id", "counts", (F.octet_length("set") / 8).cast("long").alias("n"))
-    left = small.select(F.col("id").alias("a"), F.col("counts").alias("x"), F.col("n").alias("n"))
+def _split(rows: DataFrame, key: str, other: str, name: str, most: int = 1000) -> DataFrame:
+    """Adds ``name``: the part of its ``key``'s rows that a row falls into, so
+    that parts hold about ``most`` rows however many a key has."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts__"))
+    part = F.pmod(F.xxhash64(other), F.col("parts__"))
+    return rows.join(settle(sizes.where("parts__ > 1"), "parts"), key, "left").withColumn(
+        name, F.coalesce(part, F.lit(0)).cast("long")
+    ).drop("parts__")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, summary: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs(a, b)``, each compared once. Sets are made
+    from the texts again, for the pairs that pass the suffix filter only, and
+    travel once: a pair's second set to its first."""
+    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    small = only(summary, ids, "id", "left_semi")
+    left = small.select(F.col("id").alias("a"), F.col("counts").alias("x"), "n")
     right = small.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.col("n").alias("m"))
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
-    near = settle(near.mapInArrow(_suffix_filter(percent), "a long, b long"), "near-pairs")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"
-    )
-    linked = both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
-    return settle(linked.distinct(), "links")
+    near = settle(near.mapInArrow(_suffix_filter(percent), "a long, b long").distinct(), "near-pairs")
+
+    dealt = _split(near, "a", "b", "salt")
+    members = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), "salt", F.lit(False).alias("own"))
+    hubs = dealt.select(F.col("a").alias("id"), F.col("a").alias("hub"), "salt", F.lit(True).alias("own")).distinct()
+    roles = _split(settle(members.union(hubs), "roles"), "id", "hub", "chunk")
+    roles = roles.groupBy("id", "chunk").agg(F.collect_list(F.struct("hub", "salt", "own")).alias("roles"))
+    roles = settle(roles.select("id", "roles"), "role-lists")
+    few = roles.count() <= BROADCAST_ROLES
+    wanted = known.join(F.broadcast(roles) if few else roles, "id").select("id", "text", "roles")
+    sets = wanted.mapInArrow(_deal_sets(k), "hub long, salt long, own boolean, id long, set binary")
+    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("own"))
+    return settle(sets.mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -226,24 +288,32 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return settle(rows.join(mixed.select("token"), "token", "left_semi"), "mixed-prefixes")
 
 
-def _cross_pairs(rows: DataFrame) -> int:
-    """How many pairs of rows share a token but no component."""
-    by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    by = by.groupBy("token").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("p"))
-    return int((by.agg(F.sum("p")).first()[0] or 0) / 2)
+def _cross_pairs(rows: DataFrame, percent: int) -> float:
+    """At most how many pairs of rows share a token, but no component, with
+    one of the two in its short prefix."""
+    short = F.count_if(_indexed(F.col("n"), F.col("pos"), percent)).cast("double")
+    by = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"), short.alias("s"))
+    by = by.groupBy("token").agg((F.sum("c") * F.sum("s") - F.sum(F.col("c") * F.col("s"))).alias("p"))
+    return by.agg(F.sum("p")).first()[0] or 0.0
 
 
-def _neighbours(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each document one partner outside its component: of the documents
-    next to it in its tokens' groups the one most often there."""
-    order = ["n", "id"] if turn == 0 else [F.xxhash64("id", F.lit(turn)), "id"]
-    by = Window.partitionBy("token").orderBy(*order)
-    beside = rows.select(
-        "id", "n", "pos", "comp", *[F.lag(c).over(by).alias(f"p_{c}") for c in ("id", "n", "pos", "comp")]
-    ).where((F.col("comp") != F.col("p_comp")) & _passes("", "p_", percent))
-    pairs = beside.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+def _proposals(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each document one partner outside its component: every token's
+    group has two leaders, the least and the greatest by a hash that changes
+    each turn; a document proposes the leader it meets most often. So a group
+    of near copies gathers around few documents and its links form stars."""
+    hashed = rows.withColumn("h", F.xxhash64("id", F.lit(turn)))
+    leaders = hashed.groupBy("token").agg(
+        *[f(c, "h").alias(f"{side}_{c}") for side, f in (("lo", F.min_by), ("hi", F.max_by)) for c in ("id", "n", "comp")]
+    )
+    leader = F.explode(
+        F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(f"p_{c}") for c in ("id", "n", "comp")]) for side in ("lo", "hi")])
+    )
+    met = rows.join(settle(leaders, "leaders"), "token").select("id", "n", "comp", leader.alias("l")).select("id", "n", "comp", "l.*")
+    near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
+    pairs = met.where((F.col("comp") != F.col("p_comp")) & near).groupBy("id", "p_id").agg(F.count(F.lit(1)).alias("c"))
+    best = pairs.groupBy("id").agg(F.max_by("p_id", F.struct("c", "p_id")).alias("p_id"))
+    return best.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
 def _remaining(rows: DataFrame, percent: int) -> DataFrame:
@@ -264,8 +334,9 @@ def join(
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = source.where("id IS NOT NULL")
 
-    survey = settle(known.mapInArrow(_survey(k, sketch_bits), "id long, n long, d1 long, d2 long"), "survey")
+    survey = settle(known.mapInArrow(_survey(k, sketch_bits), _SURVEY), "survey")
     sizes = survey.where("id IS NOT NULL")
+    summary = sizes.select("id", "n", "counts")
     sketch = np.zeros(1 << sketch_bits, dtype=np.int64)
     for r in survey.where("id IS NULL").groupBy("n").agg(F.sum("d1").alias("c")).collect():
         sketch[r["n"]] = r["c"]
@@ -289,10 +360,6 @@ def join(
     prefixes = settle(
         prefixes.mapInArrow(_shared_only, "token long, id long, n int, pos int").where("id IS NOT NULL"), "prefixes"
     )
-    involved = settle(prefixes.select("id").distinct(), "involved")
-    sets = only(known, involved, "id", "left_semi").mapInArrow(_sets_with_partitions(k), "id long, set binary, counts binary")
-    sets = settle(sets, "sets")
-
     # an id with several texts is one node: it holds their classes together
     several = rows.groupBy("id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
     same_id = rows.join(several.select("id"), "id", "left_semi").where("n > 0")
@@ -302,9 +369,12 @@ def join(
     labels = None
     for turn in range(MAX_ROUNDS + 1):
         mixed = _labelled(prefixes, labels)
-        last = turn == MAX_ROUNDS or _cross_pairs(mixed) <= PAIRS_PER_ROW * total
-        pairs = _remaining(mixed, percent) if last else _neighbours(mixed, turn, percent)
-        found = _verified(settle(pairs, "pairs"), sets, percent)
+        left = _cross_pairs(mixed, percent)
+        if turn and not left:  # all that could be linked is
+            break
+        last = turn == MAX_ROUNDS or turn > 0 and left <= PAIRS_PER_ROW * total
+        pairs = _remaining(mixed, percent) if last else _proposals(mixed, turn, percent)
+        found = _verified(settle(pairs, "pairs"), known, summary, k, percent)
         known_edges = same_id if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
         edges = found.union(known_edges)
         labels = settle(components(edges), "labels")
