@@ -66,8 +66,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id"),
         F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).when(F.col("toxic") == 1, 1).alias("grade"),
     )
-    labelled = docs.select("doc_id", "text").join(grades, "doc_id")
-    return toxicity.predict(docs, toxicity.fit(labelled))
+    return toxicity.predict(docs, toxicity.fit(grades, docs=docs))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

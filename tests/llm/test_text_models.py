@@ -95,6 +95,39 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.predict(documents(spark, []), none).count() == 0
 
 
+def test_rare_toxic_documents_are_told_from_clean_ones(spark):
+    """One toxic row in 1,000, more rows than are sampled, four insults."""
+    words = [f"word{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(300)]
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(20_000):
+        text = list(rng.choice(words, 12)) + [("nasty", "vile", "rotten", "foul")[i // 1000 % 4]] * (i % 1000 == 0)
+        rows.append((i, " ".join(text), int(i % 1000 == 0)))
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, grade int")
+    got = toxicity.predict(labelled, toxicity.fit(labelled)).where("toxic").collect()
+    assert {r.doc_id for r in got} == set(range(0, 20_000, 1000))
+
+
+def test_rare_grades_are_sampled_whole():
+    assert toxicity.sampled({0: 100_000, 1: 30, 2: 5000}, 9000) == {1: 30, 2: 4485, 0: 4485}
+    assert toxicity.sampled({0: 10, 3: 20}, 9000) == {0: 10, 3: 20}
+
+
+def test_texts_of_another_table_give_the_same_model(spark):
+    labelled = spark.createDataFrame(_toxic_rows(), "doc_id bigint, text string, grade int")
+    apart = toxicity.fit(labelled.select("doc_id", "grade"), docs=labelled.select("doc_id", "text"), sample_docs=200)
+    joined = toxicity.fit(labelled, sample_docs=200)
+    assert apart.buckets.tolist() == joined.buckets.tolist() and apart.flag_at == joined.flag_at
+
+
+def test_nothing_is_flagged_without_a_feature(spark):
+    rows = [(i, "the same calm words", i % 10 == 0) for i in range(200)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, grade boolean").selectExpr("doc_id", "text", "int(grade) grade")
+    got = toxicity.predict(labelled, toxicity.fit(labelled)).collect()
+    assert len(got) == 200 and not any(r.toxic for r in got)
+    assert got[0].p_toxic == pytest.approx(0.1, abs=0.02)
+
+
 def test_toxicity_query_finds_labelled_insults(spark):
     sf = SF_DIR.replace("0.001", "0.01")
     got = {r.doc_id for r in queries.op5_toxicity(spark, sf).where("toxic").collect()}
