@@ -6,14 +6,20 @@ case without punctuation. Windows of ``width`` template words are hashed and
 joined with the windows of the benchmark items. Matches of one item on one
 diagonal (the same shift between the two texts) belong together; a document is
 contaminated by an item if they cover at least ``min_coverage`` of the item's
-windows and its slots are consistent: every slot value of the item stands for
-one value in the document, and different ones for different ones. So a question
-with other numbers or names is found, a text that only looks alike is not.
+windows and the slots inside the matched windows are consistent: every slot
+value of the item stands for one value in the document, and different ones for
+different ones. So a question with other numbers or names is found, a text that
+only looks alike is not.
+
+Windows of fewer than half literal words are not searched as templates. Items
+without any other window, and those of one window, are also searched by their
+lower-case words as they stand. An item's capitalised first word also matches
+the same word where the document's place makes a name of it.
 
 Defined cases: NULL or empty texts match nothing; items of fewer than
 ``min_words`` words are not searched, those of fewer than ``width`` are
-searched as one window of their length; windows of fewer than half literal
-words are not searched; documents with a NULL id are not searched; repeated
+searched as one window of their length; commas before groups of three digits
+are no part of a number; documents with a NULL id are not searched; repeated
 documents or items give the row once; several items may match one document;
 other columns are not read.
 """
@@ -40,6 +46,7 @@ BROADCAST_WINDOWS = 2_000_000
 def cleaned(text: Column) -> Column:
     """Lower-case words parted by single spaces; names carry a mark."""
     plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
+    plain = F.regexp_replace(plain, r",(?<=(?<![0-9])[0-9]{1,3},|,[0-9]{3},)(?=[0-9]{3}(?![0-9]))", "")
     marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})", _MARK)
     return F.lower(F.btrim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{_MARK}]+", " ")))
 
@@ -54,13 +61,13 @@ def template(clean: Column) -> Column:
     return F.when(named.rlike("[0-9]"), measured).otherwise(named)
 
 
-def _windows(words: Column, width: int) -> Column:
+def _windows(words: Column, width: int, *salt: Column) -> Column:
     """Hashes of the windows of ``width`` words, by place."""
 
     def hashes(w: Column) -> Column:
         return F.when(
             F.size(w) >= width,
-            F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width))),
+            F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(*salt, F.slice(w, i, width))),
         ).otherwise(F.array().cast("array<bigint>"))
 
     return let(words, hashes)
@@ -70,11 +77,15 @@ def _is_slot(word: Column) -> Column:
     return word.startswith("<")
 
 
+def _plain_words(clean: str) -> Column:
+    return F.split(F.translate(F.col(clean), _MARK, ""), " ")
+
+
 def _words(df: DataFrame, text: str) -> DataFrame:
     """Adds ``raw`` and ``canon``: words, and their template, in the same places."""
     clean = df.withColumn("clean", cleaned(F.col(text)))
     return clean.select(
-        *df.columns, F.split("clean", " ").alias("raw"), F.split(template(F.col("clean")), " ").alias("canon")
+        *df.columns, _plain_words("clean").alias("raw"), F.split(template(F.col("clean")), " ").alias("canon")
     )
 
 
@@ -98,28 +109,41 @@ def contaminated(
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
 
     literal = F.size(F.filter(F.slice("canon", F.col("at") + 1, F.col("width")), lambda w: ~_is_slot(w)))
-    parts = [
-        items.where(F.col("width") == w).select(
-            "item", "canon", "width", F.posexplode(_windows(F.col("canon"), w)).alias("at", "hash")
-        )
-        for w in widths
-    ]
-    searched = None
-    for part in parts:
-        part = part.where(2 * literal >= F.col("width")).select("item", "at", "hash")
-        searched = part if searched is None else searched.union(part)
-    none = "item string, at int, hash long"
-    searched = settle(searched if searched is not None else docs.sparkSession.createDataFrame([], none), "item-windows")
+    as_name = F.xxhash64(F.concat(F.array(F.lit("<name>")), F.slice("canon", 2, F.col("width") - 1)))
+    capital = F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & ~_is_slot(F.get("canon", F.lit(0)))
+    none = docs.sparkSession.createDataFrame([], f"item {items.schema['item'].dataType.simpleString()}, at int, hash long")
+
+    def windows(of: DataFrame, words: str, sizes: list[int], *salt: Column) -> DataFrame:
+        out = none
+        for w in sizes:
+            part = of.where(F.col("width") == w).select("*", F.posexplode(_windows(F.col(words), w, *salt)).alias("at", "hash"))
+            out = out.union(part.where((2 * literal >= w) | F.lit(bool(salt))).select("item", "at", "hash"))
+        return out
+
+    first = items.where(capital).select("*", F.lit(0).alias("at"), as_name.alias("hash"))
+    first = first.where(2 * literal >= F.col("width")).select("item", "at", "hash")
+    usable = settle(windows(items, "canon", widths).union(first), "item-windows")
+    with_any = usable.select("item").distinct().withColumn("any", F.lit(True))
+    as_is = items.join(with_any, "item", "left").where((F.size("canon") <= width) | F.col("any").isNull())
+    as_is = settle(as_is.drop("any"), "items-as-they-are")
+    word_widths = sorted(r["width"] for r in as_is.select("width").distinct().collect())
+    salt = F.lit("words")
+    searched = settle(usable.union(windows(as_is, "raw", word_widths, salt)), "searched-windows")
     sizes = searched.groupBy("item").agg(F.countDistinct("at").alias("item_windows"))
     few = searched.count() <= BROADCAST_WINDOWS
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
     clean = source.select("key", cleaned(F.col("text")).alias("clean"))
-    canon = clean.select("key", F.split(template(F.col("clean")), " ").alias("canon"))
-    hashed = canon.select("key", *[_windows(F.col("canon"), w).alias(f"w{w}") for w in widths])
+    raw = [_plain_words("clean").alias("raw")] if word_widths else []
+    canon = clean.select("key", F.split(template(F.col("clean")), " ").alias("canon"), *raw)
+    hashed = canon.select(
+        "key",
+        *[_windows(F.col("canon"), w).alias(f"w{w}") for w in widths],
+        *[_windows(F.col("raw"), w, salt).alias(f"r{w}") for w in word_widths],
+    )
     rows = None
-    for w in widths:
-        part = hashed.select("key", F.posexplode(f"w{w}").alias("place", "hash"))
+    for name in [*(f"w{w}" for w in widths), *(f"r{w}" for w in word_widths)]:
+        part = hashed.select("key", F.posexplode(name).alias("place", "hash"))
         rows = part if rows is None else rows.union(part)
     if rows is None:
         rows = canon.select("key", F.lit(0).alias("place"), F.lit(0).cast("long").alias("hash")).where(F.lit(False))
@@ -127,26 +151,31 @@ def contaminated(
         "key", "item", "at", (F.col("place") - F.col("at")).alias("shift")
     )
     # every matched window once, whatever the number of copies of its document
-    lines = matches.distinct().groupBy("key", "item", "shift").agg(F.count(F.lit(1)).alias("n_windows"))
-    lines = lines.join(sizes, "item").where(F.col("n_windows") >= min_coverage * F.col("item_windows"))
+    lines = matches.distinct().groupBy("key", "item", "shift").agg(F.collect_list("at").alias("places"))
+    covered = F.size("places") >= min_coverage * F.col("item_windows")
+    lines = lines.join(sizes, "item").where(covered)
     lines = settle(lines, "template-matches")
 
     ids = lines.select("key").distinct()
     suspects = _words(only(source, ids, "key", "left_semi"), "text").select(
         "key", F.col("raw").alias("own"), F.col("canon").alias("own_canon")
     )
-    pairs = lines.join(suspects, "key").join(items.select("item", "raw", "canon"), "item")
+    pairs = lines.join(suspects, "key").join(items.select("item", "raw", "canon", "width"), "item")
+    # a first word taken for a name must be the item's own
+    own_first = _is_slot(F.get("canon", F.lit(0))) | (F.get("raw", F.lit(0)) == F.get("own", F.col("shift")))
+    pairs = pairs.withColumn("places", F.filter("places", lambda a: (a > 0) | own_first)).where(covered)
+    inside = lambda i: F.exists("places", lambda a: (a <= i) & (i < a + F.col("width")))
     slots = F.filter(
         F.transform(
             F.col("canon"),
             lambda c, i: F.when(
-                _is_slot(c) & (i + F.col("shift") >= 0) & (F.get("own_canon", i + F.col("shift")) == c),
+                _is_slot(c) & (F.get("own_canon", i + F.col("shift")) == c) & inside(i),
                 F.struct(F.get("raw", i).alias("asked"), F.get("own", i + F.col("shift")).alias("found")),
             ),
         ),
         lambda s: s.isNotNull(),
     )
-    checked = pairs.select("key", "item", "shift", "n_windows", "item_windows", slots.alias("slots")).withColumn(
+    checked = pairs.select("key", "item", "shift", F.size("places").alias("n_windows"), "item_windows", slots.alias("slots")).withColumn(
         "distinct_slots", F.array_distinct("slots")
     )
     n = F.size("distinct_slots")

@@ -48,6 +48,42 @@ def test_inconsistent_slots_are_no_match(spark):
     assert _found(spark, [(1, twice), (2, merged), (3, QUESTION)], [(1, QUESTION)]) == [(3, 1)]
 
 
+def test_slots_past_the_matched_windows_do_not_reject(spark):
+    """The first half of the item, word for word, then an unrelated 12 where
+    the item repeats its 45; and a word put in between."""
+    head = QUESTION.split(", then")[0]
+    texts = [
+        (1, f"{head} but she saw that no bus would come for 12 kg of it"),
+        (2, QUESTION.replace("Bergen with 45 kg", "Bergen with 45 heavy kg") + " or 7"),
+    ]
+    place = QUESTION.replace(",", "").split()
+    tail = place[:11] + "but she saw it no bus came".split() + ["12"] + "kg more".split()
+    assert tail[18] == "12" and place[18] == "45"
+    texts.append((3, " ".join(tail)))
+    assert _found(spark, texts, [(1, QUESTION)]) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_items_without_a_usable_window_are_found_as_they_stand(spark):
+    items = [(1, "What is 345 + 678 * 12?"), (2, "What is the capital of France?"), (3, "1 2 3 4 5 6 7 8 9 10 km")]
+    texts = [
+        (1, "Then he asked: what is 345 + 678 * 12? Nobody knew."),
+        (2, "Here he says What is the capital of France? So."),
+        (3, "Here he says What is the capital of Norway? So."),
+        (4, "We know that Paris is the capital of France by now."),
+        (5, "and 1 2 3 4 5 6 7 8 9 10 km on"),
+        (6, "and 9 2 3 8 5 6 7 4 9 11 km on"),
+    ]
+    assert _found(spark, texts, items) == [(1, 1), (2, 2), (3, 2), (5, 3)]
+
+
+def test_numbers_with_thousands_are_one_number(spark):
+    item = "A farmer sold 1,250 sheep at the old market and then bought 1,000,000 seeds"
+    texts = [(1, item.replace("1,250", "900").replace("1,000,000", "70")), (2, item), (3, "1,2,3 and 12,3456")]
+    assert _found(spark, texts, [(1, item)]) == [(1, 1), (2, 1)]
+    words = templates._words(spark.createDataFrame([(texts[2][1],), ("1,250,000.",)], "t string"), "t")
+    assert [r.raw for r in words.collect()] == [["1", "2", "3", "and", "12", "3456"], ["1250000"]]
+
+
 def test_items_shorter_than_a_window(spark):
     items = [(1, "how many apples remain now"), (2, "one two")]
     texts = [(1, "Tell me how many apples remain now please"), (2, "one two three"), (3, "how many pears remain now")]
