@@ -1,7 +1,7 @@
 """Language identification with a bit-sliced n-gram Bloom filter.
 
 One array of cells serves all languages: a cell holds a bit mask with one bit
-per language. An n-gram of a language sets that language's bit in ``hashes``
+per language, in as many words of 64 bits as the languages need. An n-gram of a language sets that language's bit in ``hashes``
 cells; AND-ing the cells of an n-gram gives the mask of all languages that may
 contain it. A document's score for a language is its share of n-grams whose
 mask has the bit, corrected by the filter's own false-positive rate for that
@@ -34,7 +34,7 @@ from strata.llm.hashing import mix
 
 UNKNOWN = "und"
 NGRAM = 4
-MAX_LANGUAGES = 64
+WORD_BITS = 64
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -44,7 +44,7 @@ _LETTER[0x80:] = True
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """``cells``: the mask of each cell; ``rates``: false-positive rate by
+    """``cells``: the mask of each cell, (words, cells); ``rates``: false-positive rate by
     language; ``default``: the language with most training documents."""
 
     languages: tuple[str, ...]
@@ -127,10 +127,8 @@ def fit(
         F.lower(F.col(text)).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")
     ).where("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = tuple(sorted(sizes))
-    masks = np.zeros(cells, dtype=np.uint64)
+    masks = np.zeros((max(1, -(-len(languages) // WORD_BITS)), cells), dtype=np.uint64)
     if not languages:
         return LanguageFilters((), masks, hashes, np.zeros(0), UNKNOWN)
     shares = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / sizes[k]))])
@@ -146,11 +144,15 @@ def fit(
     least = F.create_map(*[F.lit(x) for k in languages for x in (k, min_share * totals.get(k, 0))])
     kept = counted.where(F.col("n") >= least[F.col("lang")]).collect()
     counted.unpersist()
+    grams_of: dict[str, list[int]] = {name: [] for name in languages}
+    for r in kept:
+        grams_of[r["lang"]].append(r["gram"])
+    fill = np.zeros(len(languages))
     for i, name in enumerate(languages):
-        keys = np.array([r["gram"] for r in kept if r["lang"] == name], dtype=np.uint64)
-        for at in _cells(keys, hashes, cells):
-            np.bitwise_or.at(masks, at, np.uint64(1 << i))
-    fill = np.array([np.mean(masks & np.uint64(1 << i) != 0) for i in range(len(languages))])
+        word, bit = masks[i // WORD_BITS], np.uint64(1 << i % WORD_BITS)
+        for at in _cells(np.array(grams_of[name], dtype=np.uint64), hashes, cells):
+            np.bitwise_or.at(word, at, bit)
+        fill[i] = np.mean(word & bit != 0)
     default = max(languages, key=lambda k: (sizes[k], k))
     return LanguageFilters(languages, masks, hashes, fill**hashes, default)
 
@@ -173,14 +175,16 @@ def score_batch(
     for a, b, data, offsets in text_chunks(column):
         packed, (first, last) = grams(data, offsets)
         has_letter = with_letter[a:b]
-        at = _cells(packed, filters.hashes, len(filters.cells))
-        mask = filters.cells[at[0]]
-        for x in at[1:]:
-            mask &= filters.cells[x]
+        at = _cells(packed, filters.hashes, filters.cells.shape[1])
         total = np.maximum(1, last - first)
         share = np.zeros((n_languages, len(first)))
         for i in range(n_languages):
-            seen = np.concatenate(([0], np.cumsum(mask >> np.uint64(i) & np.uint64(1), dtype=np.int64)))
+            if i % WORD_BITS == 0:  # the next word of the masks
+                cells = filters.cells[i // WORD_BITS]
+                mask = cells[at[0]]
+                for x in at[1:]:
+                    mask &= cells[x]
+            seen = np.concatenate(([0], np.cumsum(mask >> np.uint64(i % WORD_BITS) & np.uint64(1), dtype=np.int64)))
             share[i] = (seen[last] - seen[first]) / total
             share[i] = np.clip((share[i] - filters.rates[i]) / max(1e-9, 1 - filters.rates[i]), 0, 1)
         if n_languages:
@@ -196,7 +200,7 @@ def score_batch(
 
 def predict(docs: DataFrame, filters: LanguageFilters, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) for every row of ``docs``; only ``text`` is used."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # cells x 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # words x cells x 8 bytes
 
     def run(batches):
         for batch in batches:

@@ -43,6 +43,15 @@ def test_language_without_training_rows(spark):
     assert sorted(r.doc_id or 0 for r in language.keep(documents(spark), nothing, 0.1).collect()) == [0, 1, 1, 2, 6, 7, 8, 8]
 
 
+def test_more_languages_than_bits_in_a_word(spark):
+    word = lambda i: f"{chr(97 + i // 12)}{chr(98 + i % 12)}" * 3
+    docs = documents(spark, [(i, f"{word(i)} {word(i)}", f"l{i:03}", "", 1) for i in range(140)])
+    filters = language.fit(docs)
+    assert filters.cells.shape == (3, 1 << 20)
+    got = language.predict(docs, filters).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: f"l{i:03}" for i in range(140)}
+
+
 def test_filters_return_all_languages_of_an_ngram():
     cells = np.zeros(1 << 12, np.uint64)
     for bit, keys in enumerate(([1, 2, 3], [3, 4])):
