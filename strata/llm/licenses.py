@@ -46,6 +46,8 @@ SENTENCES: dict[str, str] = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of "
     "conditions and the following disclaimer in the documentation and/or other materials provided with the "
     "distribution.",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+    "or promote products derived from this software without specific prior written permission.",
     "rights-reserved": "All rights reserved.",
 }
 
@@ -53,6 +55,7 @@ SENTENCES: dict[str, str] = {
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("apache-2.0", ("apache-notice-long", "apache-use", "apache-copy")),
     ("gpl-3.0", ("gpl-free", "gpl-warranty")),
+    ("bsd-3-clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("bsd-2-clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
     ("mit", ("mit-title", "mit-notice-kept")),
     ("apache-2.0", ("apache-notice",)),

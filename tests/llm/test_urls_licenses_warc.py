@@ -110,6 +110,15 @@ def test_licence_rules_are_ordered_sequences(spark):
     assert licenses.recognise(documents(spark, [])).count() == 0
 
 
+def test_third_bsd_clause_is_told_from_two(spark):
+    two = [licenses.SENTENCES[i] for i in ("bsd-redistribute", "bsd-source", "bsd-binary")]
+    three = [*two, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+             "or promote products derived from this software without specific prior written permission."]
+    rows = [(1, "\n".join(two), None, None, 0), (2, "\n\n".join(three), None, None, 0)]
+    got = {r.doc_id: r.licenses for r in licenses.recognise(documents(spark, rows)).collect()}
+    assert got == {1: "bsd-2-clause", 2: "bsd-3-clause"}
+
+
 def test_every_known_sentence_is_recognised(spark):
     rows = [(i, f"Before it.\n{s}\nAfter it.", None, None, 0) for i, s in enumerate(licenses.SENTENCES.values())]
     got = {r.doc_id: r.sentence_ids for r in licenses.recognise(documents(spark, rows)).collect()}
