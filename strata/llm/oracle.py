@@ -148,3 +148,25 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y F
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id"""
+
+REPEATED_WINDOWS = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
+),
+firsts AS (SELECT s, min((doc_id, i)) AS f FROM windows GROUP BY s HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM windows JOIN firsts USING (s) WHERE (doc_id, i) <> f
+),
+gone AS (SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words) ANTI JOIN covered USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -15,6 +15,7 @@ from strata.llm import (
     oracle,
     packing,
     pii,
+    substrings,
     templates,
     toxicity,
     urls,
@@ -98,6 +99,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 20 words that also start earlier."""
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_urls": op1_urls,
     "op2_licenses": op2_licenses,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_jaccard": op10_jaccard,
+    "op11_substrings": op11_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +123,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_licenses": oracle.licence_sentences(),
     "op9_warc": oracle.PAGE_ARCHIVES,
     "op10_jaccard": oracle.NEAR_DUPLICATES,
+    "op11_substrings": oracle.REPEATED_WINDOWS,
 }
