@@ -170,3 +170,36 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT lang, piece, regexp_extract_all(t, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS t, row_number() OVER () AS piece
+        FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS t FROM documents))
+),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), range(1, 6) AS sizes(m) WHERE i + m - 1 <= len(w)
+),
+counts AS (SELECT lang, phrase, m, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, phrase, m HAVING count(*) >= 100),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m >= 2),
+absorbed AS (
+  SELECT DISTINCT g.lang, array_to_string(g.w[i:i + k - 1], ' ') AS phrase
+  FROM split g, range(1, 5) AS starts(i), range(2, 5) AS sizes(k), counts c
+  WHERE k < g.m AND i + k - 1 <= g.m AND c.lang = g.lang AND c.phrase = array_to_string(g.w[i:i + k - 1], ' ') AND 100 * g.f >= 100 * c.f
+),
+cuts AS (
+  SELECT s.lang, s.phrase, s.f AS a, l.f AS l, r.f AS r, n, (1000 * s.f * n) // (l.f * r.f) AS score, k
+  FROM split s JOIN totals USING (lang), range(1, 5) AS places(k), counts l, counts r
+  WHERE k < s.m AND l.lang = s.lang AND l.phrase = array_to_string(s.w[1:k], ' ')
+    AND r.lang = s.lang AND r.phrase = array_to_string(s.w[k + 1:s.m], ' ')
+),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM worst ANTI JOIN absorbed USING (lang, phrase)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000"""

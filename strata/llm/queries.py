@@ -14,12 +14,14 @@ from strata.llm import (
     licenses,
     oracle,
     packing,
+    phrases,
     pii,
     substrings,
     templates,
     toxicity,
     urls,
     warc,
+    whitening,
 )
 from strata.llm.common import table
 
@@ -104,6 +106,17 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding projected on the 32 leading components, whitened."""
+    x, size = whitening.integers(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(x, size, whitening.fit(x, size))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_urls": op1_urls,
     "op2_licenses": op2_licenses,
@@ -116,6 +129,8 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_jaccard": op10_jaccard,
     "op11_substrings": op11_substrings,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -124,4 +139,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc": oracle.PAGE_ARCHIVES,
     "op10_jaccard": oracle.NEAR_DUPLICATES,
     "op11_substrings": oracle.REPEATED_WINDOWS,
+    "op13_phrases": oracle.COLLOCATIONS,
 }
