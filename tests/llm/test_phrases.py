@@ -1,0 +1,92 @@
+"""Collocations against a plain version."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from cases import SCHEMA, documents
+
+from strata.llm import phrases
+
+
+def plain(rows, longest=5, least=100, top=2000):
+    counts, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for n in range(1, longest + 1):
+                counts[lang].update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = []
+    for lang, all_counts in counts.items():
+        f = {g: c for g, c in all_counts.items() if c >= least}
+        inside = {g[i : i + n] for g in f for n in range(2, len(g)) for i in range(len(g) - n + 1) if f[g] >= f[g[i : i + n]]}
+        scored = []
+        for g, a in f.items():
+            if len(g) > 1 and g not in inside:
+                score, k = min((1000 * a * total[lang] // (f[g[:k]] * f[g[k:]]), k) for k in range(1, len(g)))
+                scored.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+def got(docs, **how):
+    return sorted(map(tuple, phrases.collocations(docs, **how).collect()))
+
+
+@pytest.mark.parametrize(("least", "longest", "top"), [(3, 5, 2000), (2, 3, 4), (5, 2, 2000)])
+def test_random_texts_match_the_plain_version(spark, least, longest, top):
+    rng = random.Random(least)
+    vocabulary = ["New", "new", "york", "City", "été", "zoë", "a-b", "x", "\x01", "\x7f", "\U0001f600"]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(vocabulary) + rng.choice(["", "", "", ".", ",", "\n", "!"]) for _ in range(rng.randrange(0, 40))]
+        lang = rng.choice(["en", "de", None, "und", ""])
+        rows.append((i, rng.choice([" ", "\t", "  "]).join(words) + " new york city" * (i % 3), lang, "s", 1))
+    want = plain([(r[2], r[1]) for r in rows], longest, least, top)
+    assert want
+    assert got(documents(spark, rows), least=least, longest=longest, top=top) == want
+
+
+def test_every_range_starts_with_the_counts_before_it(spark):
+    """One first word holds nearly all phrases, and the ranges are tiny."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["hot", *(rng.choice("abcde") for _ in range(4))]) + ".", "en", "s", 1) for i in range(600)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got(documents(spark, rows), least=2) == plain([(r[2], r[1]) for r in rows], least=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_awkward_rows(spark):
+    rows = [(1, None, "en", None, None), (2, "", None, None, None), (3, " \t\n.,", "en", None, None)]
+    assert got(documents(spark, rows), least=1) == []
+    assert got(spark.createDataFrame([], SCHEMA)) == []
+    rows += [(4, "one two", None, "s", 1), (4, "one two", None, "s", 1), (5, "one two " * 20_000, "en", "s", 1)]
+    want = plain([(r[2], r[1]) for r in rows], least=2)
+    assert got(documents(spark, rows), least=2) == want
+    assert {r[0] for r in want} == {"und", "en"}
+
+
+def test_products_beyond_64_bits_are_exact(spark):
+    big = 3_000_000_000_000_007
+    counts = spark.createDataFrame([(big, big + 1, big + 2, 4 * big + 3)], "f bigint, l bigint, r bigint, n bigint")
+    (row,) = counts.selectExpr(
+        "cast(f * 1000 as decimal(19,0)) * cast(n as decimal(19,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) AS s"
+    ).collect()
+    assert row["s"] == 1000 * big * (4 * big + 3) // ((big + 1) * (big + 2))
+
+
+def test_equal_labels_of_different_rows_are_told_apart():
+    label = np.zeros(4, np.uint64)
+    first, times = phrases._distinct(label, [np.array([1, 2, 1, 2]), np.array([5, 5, 5, 6])])
+    assert sorted(times.tolist()) == [1, 1, 2] and len(first) == 3
