@@ -15,8 +15,8 @@ suffixes below such nodes matter, and the tree is never needed in one piece:
    groups of that size. Suffixes of one deep node always share a group.
 3. Subtrees. Each group sorts its suffixes by the label of their path down to
    ``depth``; equal neighbours hang from one deep node. All but the first by
-   (document, start) are repeats. Runs of successive repeats are the maximal
-   repeats, given as word spans.
+   (document, start) are repeats. Joined again by document, runs of successive
+   repeats are the maximal repeats, given as word spans.
 
 A task keeps only the first of the suffixes that it holds of a node and reports
 the others as repeats itself, so a passage in a third of all documents costs its
@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +71,11 @@ class _Suffixes:
         self.row, self.at, self.depth = row[self.start], at[self.start].astype(np.int32), depth
 
     def paths(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Labels of the first ``depth`` words, and of each of PREFIXES."""
+        """Labels of the first ``depth`` words, and of each of PREFIXES that is shorter."""
         acc, seeds, shorter = np.zeros(len(self.start), np.uint64), _seeds(_FIRST_SEED, self.depth), []
         for j in range(self.depth):
             acc += self.words[self.start + j] * seeds[j]
-            if j + 1 in PREFIXES:
+            if j + 1 in PREFIXES and j + 1 < self.depth:
                 shorter.append(mix(acc))
         return mix(acc), shorter
 
@@ -110,7 +111,7 @@ def _decoded(data: bytes) -> np.ndarray:
 
 class _Plan:
     """Sizes that follow the number of words: bits of a fingerprint, ranges of
-    its values, bits of the map, prefix counters."""
+    its values, bits of the map, prefix counters, buckets of documents."""
 
     def __init__(self, words: int, group: int):
         n = max(words, 2)
@@ -118,6 +119,7 @@ class _Plan:
         self.range_bits = max(4, math.ceil(math.log2(n / (1 << 21))), self.bits - 31)
         self.map_bits = min(MAP_BITS, self.bits)
         self.range_bits = min(self.range_bits, self.map_bits - 6)
+        self.buckets = max(64, n >> 21)
         self.counters = 1 << min(20, max(8, math.ceil(math.log2(4 * n / group))))
 
     @property
@@ -125,10 +127,14 @@ class _Plan:
         return self.bits - self.range_bits
 
 
+def _levels(depth: int) -> int:
+    return sum(p < depth for p in PREFIXES)
+
+
 def _count(docs: DataFrame, text: str, depth: int, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
     """The bit map of fingerprints that occur twice, and suffixes by prefix
-    (PREFIXES x counters). Both are of bounded size."""
-    bits, inner, counters = plan.bits, plan.in_range, plan.counters
+    (prefix lengths x counters). Both are of bounded size."""
+    bits, inner, counters, levels = plan.bits, plan.in_range, plan.counters, _levels(depth)
 
     def sent(values: np.ndarray) -> Iterator[tuple[int, bytes]]:
         part = values >> np.uint64(inner)
@@ -144,7 +150,7 @@ def _count(docs: DataFrame, text: str, depth: int, plan: _Plan) -> tuple[np.ndar
         )
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, held, sums = [], 0, np.zeros((len(PREFIXES), counters), np.int64)
+        labels, held, sums = [], 0, np.zeros((levels, counters), np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 suffixes = _Suffixes(data, offsets, depth)
@@ -159,7 +165,7 @@ def _count(docs: DataFrame, text: str, depth: int, plan: _Plan) -> tuple[np.ndar
         if held:
             yield packed(labels)
         if sums.any():
-            keys = [-1 - level for level in range(len(PREFIXES))]
+            keys = [-1 - level for level in range(levels)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sums], pa.binary())], ["key", "data"]
             )
@@ -187,7 +193,7 @@ def _count(docs: DataFrame, text: str, depth: int, plan: _Plan) -> tuple[np.ndar
         .collect()
     )
     width = (1 << (map_bits - range_bits)) // 8
-    seen, sums = np.zeros((1 << map_bits) // 8, np.uint8), np.zeros((len(PREFIXES), counters), np.int64)
+    seen, sums = np.zeros((1 << map_bits) // 8, np.uint8), np.zeros((levels, counters), np.int64)
     for r in found:
         if r["key"] < 0:
             sums[-1 - r["key"]] = np.frombuffer(r["data"], np.int64)
@@ -203,6 +209,8 @@ def _groups(sums: np.ndarray, size: int) -> tuple[np.ndarray, int, int]:
     """Group by (prefix length, counter), -1 where a longer prefix is needed;
     the first group of whole labels and how many of them there are."""
     of, used = np.full(sums.shape, -1, np.int64), 0
+    if not len(sums):
+        return of, 1, 1
     for level, counts in enumerate(sums):
         fit = counts <= size
         if level:  # a level's counters also count what shorter prefixes have settled
@@ -218,6 +226,7 @@ def _groups(sums: np.ndarray, size: int) -> tuple[np.ndarray, int, int]:
 # ------------------------------------------------------------- subtrees ----
 
 _SENT = "grp bigint, repeats boolean, label binary, label2 binary, doc binary, version binary, at binary, run binary"
+_RUN = ("doc", "version", "at", "run")
 _SPANS = "doc bigint, version bigint, runs binary"
 
 
@@ -261,7 +270,7 @@ def _send(docs: DataFrame, depth: int, plan: _Plan, seen, of: np.ndarray, whole:
 
     def chosen(label: np.ndarray, shorter: list[np.ndarray]) -> np.ndarray:
         group = (label % np.uint64(wholes)).astype(np.int64) + whole
-        for level in reversed(range(len(PREFIXES))):
+        for level in reversed(range(len(of))):
             own = of[level][(shorter[level] % np.uint64(counters)).astype(np.int64)]
             group = np.where(own >= 0, own, group)
         return group
@@ -311,36 +320,59 @@ def _send(docs: DataFrame, depth: int, plan: _Plan, seen, of: np.ndarray, whole:
     return docs.mapInArrow(tasks, _SENT)
 
 
-def _subtree(rows: pa.Table) -> pa.Table:
-    """Runs of repeats (document, version, starts and lengths) of a group."""
-
-    def joined(name: str, kind: type, of: pa.Table) -> np.ndarray:
-        return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in of.column(name).to_pylist())])
-
-    told = rows.filter(rows.column("repeats"))
-    own = rows.filter(pa.compute.invert(rows.column("repeats")))
-    label, label2 = joined("label", np.uint64, own), joined("label2", np.uint32, own)
-    doc, version, at = joined("doc", np.int64, own), joined("version", np.int64, own), joined("at", np.int32, own)
-    place = _ordered(doc, version, at)
-    _, others = _below_deep_nodes(label, label2, place)
-    others = others[np.argsort(place[others])]
-    begin, length = _runs(place[others] >> 32, at[others])
-    others = others[begin]
-    doc = np.concatenate([doc[others], joined("doc", np.int64, told)])
-    version = np.concatenate([version[others], joined("version", np.int64, told)])
-    runs = np.stack(
-        [np.concatenate([at[others], joined("at", np.int32, told)]), np.concatenate([length, joined("run", np.int32, told)])], 1
-    )
-    order = np.lexsort((version, doc))
-    doc, version, runs = doc[order], version[order], runs[order]
-    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (version[1:] != version[:-1])) + 1
-    pieces = np.split(runs, cuts) if len(doc) else []
-    first = np.concatenate([[0], cuts]).astype(np.int64)[: len(pieces)]
+def _joined(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in rows.column(name).to_pylist())])
+
+
+def _subtrees(sent: DataFrame, buckets: int) -> DataFrame:
+    """Runs of repeats of every group, packed by bucket of documents."""
+
+    def subtree(rows: pa.Table) -> pa.Table:
+        told, own = (rows.filter(pc.equal(rows.column("repeats"), flag)) for flag in (True, False))
+        label, label2 = _joined(own, "label", np.uint64), _joined(own, "label2", np.uint32)
+        doc, version, at = _joined(own, "doc", np.int64), _joined(own, "version", np.int64), _joined(own, "at", np.int32)
+        place = _ordered(doc, version, at)
+        _, others = _below_deep_nodes(label, label2, place)
+        others = others[np.argsort(place[others])]
+        begin, length = _runs(place[others] >> 32, at[others])
+        others = others[begin]
+        columns = [
+            np.concatenate([mine, _joined(told, name, mine.dtype.type)])
+            for name, mine in (("doc", doc[others]), ("version", version[others]), ("at", at[others]), ("run", length))
+        ]
+        bucket = (mix(columns[0].view(np.uint64) ^ columns[1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        pieces = np.split(order, cuts) if len(order) else []
+        data = {n: pa.array([c[p].tobytes() for p in pieces], pa.binary()) for n, c in zip(_RUN, columns, strict=True)}
+        return pa.table({"bucket": pa.array([int(bucket[p[0]]) for p in pieces], pa.int64()), **data})
+
+    return sent.groupBy("grp").applyInArrow(subtree, "bucket bigint, doc binary, version binary, at binary, run binary")
+
+
+def _maximal(rows: pa.Table) -> pa.Table:
+    """A row per document of a bucket: its runs, joined where one goes on in the next."""
+    doc, version = _joined(rows, "doc", np.int64), _joined(rows, "version", np.int64)
+    at, run = _joined(rows, "at", np.int32), _joined(rows, "run", np.int32)
+    order = np.argsort(_ordered(doc, version, at), kind="stable")
+    doc, version, at, run = doc[order], version[order], at[order].astype(np.int64), run[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    first = np.flatnonzero(fresh)
+    # ends so far, by document: texts are set apart by more than any of them is long
+    apart = (np.cumsum(fresh) - 1) << 32
+    ends = np.maximum.accumulate(apart + at + run)
+    starts = fresh.copy()
+    starts[1:] |= apart[1:] + at[1:] > ends[:-1]
+    begin = np.flatnonzero(starts)
+    last = np.append(begin[1:], len(doc))[: len(begin)] - 1
+    spans = np.stack([at[begin], ends[last] - apart[last] - at[begin]], 1).astype(np.int32)
+    of = np.searchsorted(begin, first)
     return pa.table(
         {
             "doc": pa.array(doc[first], pa.int64()),
             "version": pa.array(version[first], pa.int64()),
-            "runs": pa.array([p.tobytes() for p in pieces], pa.binary()),
+            "runs": pa.array([p.tobytes() for p in np.split(spans, of[1:])] if len(of) else [], pa.binary()),
         }
     )
 
@@ -367,21 +399,19 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int
         docs.select(text, name.alias("doc"), version.alias("version")),
         depth, plan, spark.sparkContext.broadcast(seen), of, whole, wholes,
     )
-    found = sent.groupBy("grp").applyInArrow(_subtree, _SPANS)
-    return found.groupBy("doc", "version").agg(F.collect_list("runs").alias("runs"))
+    return _subtrees(sent, plan.buckets).groupBy("bucket").applyInArrow(_maximal, _SPANS)
 
 
-def _covered(n: int, runs: list[bytes] | None, depth: int) -> np.ndarray:
+def _covered(n: int, runs: bytes, depth: int) -> np.ndarray:
     """Which of ``n`` words lie in a run's windows."""
     edges = np.zeros(n + 1, np.int64)
-    for data in runs or ():
-        pairs = np.frombuffer(data, np.int32).reshape(-1, 2).astype(np.int64)
-        np.add.at(edges, pairs[:, 0], 1)
-        np.add.at(edges, pairs[:, 0] + pairs[:, 1] + depth - 1, -1)
+    pairs = np.frombuffer(runs, np.int32).reshape(-1, 2).astype(np.int64)
+    np.add.at(edges, pairs[:, 0], 1)
+    np.add.at(edges, pairs[:, 0] + pairs[:, 1] + depth - 1, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def _kept(text: str | None, runs: list[bytes] | None, depth: int) -> tuple[int, bytes]:
+def _kept(text: str | None, runs: bytes | None, depth: int) -> tuple[int, bytes]:
     """Number of words, and the words that stay, joined by one space."""
     words = (text or "").encode().split()  # splits at ASCII white space alone
     if runs:
