@@ -21,8 +21,8 @@ suffixes below such nodes matter, and the tree is never needed in one piece:
 A task keeps only the first of the suffixes that it holds of a node and reports
 the others as repeats itself, so a passage in a third of all documents costs its
 group a row a task. Labels are 96-bit hashes of the words; the bit map, at most
-``2 ** MAP_BITS`` bits, is all that is broadcast: when it fills up (beyond some
-10^9 distinct repeated windows) more suffixes are sent, with the same result.
+``2 ** MAP_BITS`` bits, is all that is broadcast: when it fills up (from some
+10^8 distinct repeated windows on) more suffixes are sent, with the same result.
 
 Defined cases: NULL and empty texts have no words; documents of fewer than
 ``depth`` words have no window; a NULL id counts as the largest; rows of one id
@@ -48,9 +48,9 @@ from strata.llm.hashing import mix, word_hashes
 
 #: Words of a prefix, tried in this order.
 PREFIXES = (1, 2, 4, 8)
-MAP_BITS = 29
+MAP_BITS = 28
 #: Suffixes held by a task before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 _LAST = (1 << 63) - 1
 _FIRST_SEED, _SECOND_SEED = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
@@ -230,17 +230,14 @@ _RUN = ("doc", "version", "at", "run")
 _SPANS = "doc bigint, version bigint, runs binary"
 
 
-def _ordered(doc: np.ndarray, version: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One number per suffix that grows with (document, start)."""
-    pairs = np.empty(len(doc), dtype=[("d", np.int64), ("v", np.int64)])
-    pairs["d"], pairs["v"] = doc, version
+def _ranks(doc: np.ndarray, version: np.ndarray) -> np.ndarray:
+    """Numbers that grow with (doc, version); equal pairs have equal ones."""
     order = np.lexsort((version, doc))
-    step = np.zeros(len(doc), bool)
-    if len(doc):
-        step[1:] = pairs[order][1:] != pairs[order][:-1]
+    step = np.zeros(len(doc), np.int64)
+    step[1:] = (doc[order[1:]] != doc[order[:-1]]) | (version[order[1:]] != version[order[:-1]])
     rank = np.empty(len(doc), np.int64)
     rank[order] = np.cumsum(step)
-    return rank << 32 | at
+    return rank
 
 
 def _below_deep_nodes(label: np.ndarray, label2: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,47 +272,50 @@ def _send(docs: DataFrame, depth: int, plan: _Plan, seen, of: np.ndarray, whole:
             group = np.where(own >= 0, own, group)
         return group
 
-    def packed(parts: list[tuple]) -> pa.RecordBatch:
-        label, label2, group, doc, version, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        place = _ordered(doc, version, at)
+    def packed(parts: list[tuple], names: list[tuple]) -> pa.RecordBatch:
+        label, label2, group, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, version = (np.concatenate(x) for x in zip(*names, strict=True))
+        place = (_ranks(doc, version)[row] << 32) | at
         first, others = _below_deep_nodes(label, label2, place)
         first = first[np.lexsort((place[first], group[first]))]
         rows = []
         for piece in np.split(first, np.flatnonzero(np.diff(group[first])) + 1):
-            data = [x[piece].tobytes() for x in (label, label2, doc, version, at)]
+            data = [x.tobytes() for x in (label[piece], label2[piece], doc[row[piece]], version[row[piece]], at[piece])]
             rows.append((int(group[piece[0]]), False, *data, None))
         others = others[np.argsort(place[others])]
         begin, length = _runs(place[others] >> 32, at[others])
         others = others[begin]
         for n, piece in enumerate(np.array_split(np.arange(len(others)), 1 + len(others) // 4096)):
             if len(piece):
-                data = [x[others[piece]].tobytes() for x in (doc, version, at)]
-                rows.append((int(doc[others[piece[0]]]) % whole + n, True, None, None, *data, length[piece].tobytes()))
+                of = others[piece]
+                data = [x.tobytes() for x in (doc[row[of]], version[row[of]], at[of])]
+                rows.append((int(doc[row[of[0]]]) % whole + n, True, None, None, *data, length[piece].tobytes()))
         columns = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 6]
-        names = [f.split()[0] for f in _SENT.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        fields = [f.split()[0] for f in _SENT.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], fields)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, parts, held = seen.value, [], 0
+        bits, parts, names, held, texts = seen.value, [], [], 0, 0
         for batch in batches:
-            docs_, versions = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
-            for first, _, data, offsets in text_chunks(batch.column(0)):
+            doc, version = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
+            for first, end, data, offsets in text_chunks(batch.column(0)):
                 suffixes = _Suffixes(data, offsets, depth)
                 label, shorter = suffixes.paths()
                 bit = (label >> np.uint64(64 - map_bits)).astype(np.int64)
                 hit = np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 if not len(hit):
                     continue
-                row = suffixes.row[hit] + first
-                group = chosen(label[hit], [s[hit] for s in shorter])
-                parts.append((label[hit], suffixes.second(hit), group, docs_[row], versions[row], suffixes.at[hit]))
-                held += len(hit)
+                row = (suffixes.row[hit] + texts).astype(np.int32)
+                group = chosen(label[hit], [s[hit] for s in shorter]).astype(np.int32)
+                parts.append((label[hit], suffixes.second(hit), group, row, suffixes.at[hit]))
+                names.append((doc[first:end], version[first:end]))
+                held, texts = held + len(hit), texts + end - first
                 if held >= HELD:
-                    yield packed(parts)
-                    parts, held = [], 0
+                    yield packed(parts, names)
+                    parts, names, held, texts = [], [], 0, 0
         if held:
-            yield packed(parts)
+            yield packed(parts, names)
 
     return docs.mapInArrow(tasks, _SENT)
 
@@ -331,7 +331,7 @@ def _subtrees(sent: DataFrame, buckets: int) -> DataFrame:
         told, own = (rows.filter(pc.equal(rows.column("repeats"), flag)) for flag in (True, False))
         label, label2 = _joined(own, "label", np.uint64), _joined(own, "label2", np.uint32)
         doc, version, at = _joined(own, "doc", np.int64), _joined(own, "version", np.int64), _joined(own, "at", np.int32)
-        place = _ordered(doc, version, at)
+        place = _ranks(doc, version) << 32 | at
         _, others = _below_deep_nodes(label, label2, place)
         others = others[np.argsort(place[others])]
         begin, length = _runs(place[others] >> 32, at[others])
@@ -354,7 +354,7 @@ def _maximal(rows: pa.Table) -> pa.Table:
     """A row per document of a bucket: its runs, joined where one goes on in the next."""
     doc, version = _joined(rows, "doc", np.int64), _joined(rows, "version", np.int64)
     at, run = _joined(rows, "at", np.int32), _joined(rows, "run", np.int32)
-    order = np.argsort(_ordered(doc, version, at), kind="stable")
+    order = np.lexsort((at, version, doc))
     doc, version, at, run = doc[order], version[order], at[order].astype(np.int64), run[order]
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
@@ -384,7 +384,7 @@ def _named(docs: DataFrame, text: str, key: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 20, group: int = 1 << 21) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 20, group: int = 1 << 20) -> DataFrame:
     """(doc, version, runs): per document with repeated windows the packed
     (start, number of successive windows) pairs, 32-bit integers, of the windows
     of ``depth`` words that also start earlier. ``version`` is a hash of the text."""
@@ -428,7 +428,7 @@ def _with_runs(docs: DataFrame, text: str, key: str, depth: int, group: int) ->
     return named.join(found, ["doc__", "version__"], "left")
 
 
-def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 20, group: int = 1 << 21) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 20, group: int = 1 << 20) -> DataFrame:
     """``docs`` whose texts are the words that stay, joined by one space; texts
     without a repeat are left as they are."""
     columns = [c for c in docs.columns]
@@ -446,7 +446,7 @@ def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int
     return whole.select(*columns, "runs__").mapInArrow(tasks, docs.schema)
 
 
-def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 20, group: int = 1 << 21) -> DataFrame:
+def digest(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = 20, group: int = 1 << 20) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row."""
     whole = _with_runs(docs.select(key, text), text, key, depth, group)
     schema = docs.select(key).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
