@@ -2,7 +2,7 @@
 operator group of the survey, bound to the driver's test tables
 (``strata.plans.bindings``). Every query reads whole tables.
 
-Queries that land files (pages, CSV, partitioned tables, versioned tables,
+Queries that land files (pages, CSV, partitioned tables, keyed tables,
 stream checkpoints) write under a fresh directory below the session's shared
 checkpoint root and return a DataFrame over what they read back.
 """
@@ -34,13 +34,21 @@ from strata.plans import bindings as B
 from strata.plans import layers as L
 from strata.plans import serving as V
 from strata.plans import water as W
-from strata.plans.runner import LayerConfig, RunResult, run_medallion
+from strata.plans.runner import (
+    GATED,
+    LayerConfig,
+    RunResult,
+    facts_table,
+    ingest_facts,
+    refresh_medallion,
+    run_medallion,
+)
 from strata.session import scratch_dir
 from strata.sources.csv import read_csv_dimension, write_csv
-from strata.sources.pages import read_pages, write_pages
+from strata.sources.keyed import KeyedTable
+from strata.sources.pages import DAY_COLUMN, chain_problems, read_links, read_pages, verify_chain, write_pages
 from strata.sources.sinks import materialize, read_stored, replace_load, write_table
 from strata.sources.tables import schema_inventory
-from strata.sources.versioned import VersionedTable, merge_into
 from strata.streaming.upsert import stream_upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +60,7 @@ SERVE_EVOLUTION = {"annee": 1999, "categorie": "microbiologie"}
 UPSERT_SPLIT_TS = "2024-01-16 00:00:00"
 PAGE_SIZE = 500
 PAGES_SINCE = dt.date(2024, 1, 10)
+CHAIN_PAGE_SIZE, LOST_DAY, REPEATED_DAY = 10, "2024-01-12", "2024-01-20"
 # Two deliveries of facts: all up to the second date, then all from the first
 # on; where they overlap the first delivery's results are provisional.
 SECOND_DELIVERY_FROM = "1998-01-01"
@@ -443,18 +452,20 @@ def upsert_latest(spark, sf_dir):
 
 
 def stream_upsert_query(spark, sf_dir):
-    """Events landed as several files, drained by a streaming query in
-    micro-batches; each batch merged into a versioned table by key. The table
-    holds an earlier batch merge already."""
+    """Events landed as several files, the late half of the month before
+    the early one, drained by a streaming query in micro-batches; each batch's
+    changed keys are merged into a table partitioned by day. Late rows of the
+    later files must not roll a key back."""
     ev = B.table(spark, sf_dir, "events")
     work = scratch_dir(spark, "stream-upsert")
     landing = f"{work}/landing"
     split = F.col("ts") < F.lit(UPSERT_SPLIT_TS).cast("timestamp_ntz")
-    ev.filter(split).repartitionByRange(8, "event_id").write.mode("overwrite").parquet(landing)
-    table = VersionedTable(spark, f"{work}/table", ev.schema, EVENT_KEYS)
-    merge_into(table, ev.filter(~split), EVENT_VERSION)
+    ev.filter(~split).repartitionByRange(4, "event_id").write.parquet(landing)
+    ev.filter(split).repartitionByRange(4, "event_id").write.mode("append").parquet(landing)
+    day = F.date_format("ts", "yyyy-MM-dd")
+    table = KeyedTable(spark, f"{work}/table", ev.schema, EVENT_KEYS, "jour", day)
     q = stream_upsert(
-        spark, landing, ev.schema, table, EVENT_VERSION, checkpoint_dir=f"{work}/checkpoint", max_files_per_trigger=3
+        spark, landing, table, EVENT_VERSION, f"{work}/checkpoint", exclusive=True, max_files_per_trigger=3
     )
     q.awaitTermination()
     return table.read()
@@ -472,6 +483,18 @@ def paged_json_source(spark, sf_dir):
     return read_pages(spark, path, ev.schema, since=PAGES_SINCE)
 
 
+def page_chain(spark, sf_dir):
+    """The chain of a delivery of events that lost one day's pages on the
+    way and got another day's twice: gaps and repeated pages."""
+    path, damaged = scratch_dir(spark, "pages"), scratch_dir(spark, "damaged-pages")
+    write_pages(B.table(spark, sf_dir, "events"), path, CHAIN_PAGE_SIZE, "event_id", F.col("ts"))
+    landed = spark.read.text(path)
+    day = F.col(DAY_COLUMN).cast("string")
+    arrived = landed.where(day.isNull() | (day != LOST_DAY)).unionByName(landed.where(day == REPEATED_DAY))
+    arrived.write.partitionBy(DAY_COLUMN).text(damaged)
+    return chain_problems(read_links(spark, damaged))
+
+
 def csv_dimension(spark, sf_dir):
     """A dimension published as CSV with upper-case headers, read back as
     all-string columns with lower-case names."""
@@ -523,47 +546,70 @@ def _deliveries(spark, sf_dir) -> list[DataFrame]:
         path = scratch_dir(spark, f"delivery-{n}")
         landed = batch.select(*raw.columns, "numero", "o_orderdate")
         write_pages(landed, path, SAMPLES_PER_PAGE * LINES_PER_SAMPLE, "numero", F.trunc("o_orderdate", "year"))
+        verify_chain(read_links(spark, path))  # a delivery that lacks a page is refused
         out.append(read_pages(spark, path, landed.schema).select(*raw.columns))
     return out
 
 
-_runs: dict[tuple[str, str], RunResult] = {}
+def _config(spark) -> LayerConfig:
+    root = scratch_dir(spark, "run")
+    return LayerConfig(root=root, prefix=f"run_{root[-12:]}_")
 
 
-def run_of(spark, sf_dir) -> RunResult:
-    """The whole run into scratch storage, with a passing gate; the queries
-    that read its tables back share one run per application and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _runs:
-        root = scratch_dir(spark, "run")
-        config = LayerConfig(root=root, prefix=f"run_{root[-12:]}_")
-        batches = _deliveries(spark, sf_dir)
-        _runs[key] = run_medallion(
-            spark, batches, B.geography(spark, sf_dir), config, B.BINDING, version_by=RUN_VERSION
-        )
-    return _runs[key]
+def run_of(spark, sf_dir, *tables: str) -> RunResult:
+    """A run over both deliveries into fresh storage, with a passing gate, that
+    builds the gold ``tables``."""
+    geography, batches = B.geography(spark, sf_dir), _deliveries(spark, sf_dir)
+    return run_medallion(
+        spark, batches, geography, _config(spark), B.BINDING, version_by=RUN_VERSION, tables=tables
+    )
 
 
 def medallion_facts(spark, sf_dir):
     """The landed facts after both deliveries were merged."""
-    return run_of(spark, sf_dir).facts
+    batches = _deliveries(spark, sf_dir)
+    table = facts_table(spark, _config(spark), batches[0].schema)
+    ingest_facts(table, batches, RUN_VERSION)
+    return table.read()
 
 
 def medallion_run(spark, sf_dir):
     """The run's stored gold table G1."""
-    return run_of(spark, sf_dir).gold["conformite_par_commune"]
+    return run_of(spark, sf_dir).gold[GATED]
+
+
+def _refreshed(spark, sf_dir, name: str) -> DataFrame:
+    first, second = _deliveries(spark, sf_dir)
+    geography, config = B.geography(spark, sf_dir), _config(spark)
+    how = {"domain": B.BINDING, "version_by": RUN_VERSION, "tables": [name]}
+    run_medallion(spark, [first], geography, config, **how)
+    return refresh_medallion(spark, [second], geography, config, **how).gold[name]
+
+
+def refreshed_area_rates(spark, sf_dir):
+    """G1 after a run over the first delivery and a refresh by the second, which
+    works out its years only."""
+    return _refreshed(spark, sf_dir, GATED)
+
+
+def refreshed_evolution(spark, sf_dir):
+    """G2, refreshed likewise."""
+    return _refreshed(spark, sf_dir, "evolution_temporelle_parametres")
 
 
 def medallion_evolution(spark, sf_dir):
-    return run_of(spark, sf_dir).gold["evolution_temporelle_parametres"]
+    name = "evolution_temporelle_parametres"
+    return run_of(spark, sf_dir, name).gold[name]
 
 
 def medallion_region(spark, sf_dir):
-    return run_of(spark, sf_dir).gold["qualite_par_departement"]
+    name = "qualite_par_departement"
+    return run_of(spark, sf_dir, name).gold[name]
 
 
 def medallion_nonconformity(spark, sf_dir):
-    return run_of(spark, sf_dir).gold["non_conformites_par_departement"]
+    name = "non_conformites_par_departement"
+    return run_of(spark, sf_dir, name).gold[name]
 
 
 def medallion_report(spark, sf_dir):
@@ -573,7 +619,7 @@ def medallion_report(spark, sf_dir):
 
 def medallion_loads(spark, sf_dir):
     """K8: the run's load report, rows written per table."""
-    loads = run_of(spark, sf_dir).loads
+    loads = run_of(spark, sf_dir, *L.GOLD_TABLES).loads
     rows = [(name, load["rows_written"]) for name, load in sorted(loads.items())]
     return spark.createDataFrame(rows, "nom_table string, lignes_ecrites bigint")
 
@@ -615,12 +661,15 @@ def queries() -> dict[str, Query]:
         "upsert_latest": upsert_latest,
         "stream_upsert": stream_upsert_query,
         "paged_json_source": paged_json_source,
+        "page_chain": page_chain,
         "csv_dimension": csv_dimension,
         "schema_inventory": schema_inventory_query,
         "partitioned_write": partitioned_write,
         "replaced_dimension": replaced_dimension,
         "medallion_facts": medallion_facts,
         "medallion_run": medallion_run,
+        "refreshed_area_rates": refreshed_area_rates,
+        "refreshed_evolution": refreshed_evolution,
         "medallion_evolution": medallion_evolution,
         "medallion_region": medallion_region,
         "medallion_nonconformity": medallion_nonconformity,

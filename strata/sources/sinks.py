@@ -8,7 +8,8 @@ small ones (no small-file flood).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,93 @@ def replace_load(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
     return write_table(df, path, mode="overwrite", fmt=fmt)
 
 
-def publish_table(
-    spark: SparkSession, name: str, stored: DataFrame, path: str, partition_by: Sequence[str] = ()
-) -> None:
-    """K5 ``CREATE OR REPLACE TABLE``: the catalog table ``name`` now is the
-    complete table that ``write_table`` left at ``path``; the data it pointed
-    to before stay where they are until storage expires them."""
+#: Characters that Spark writes as %XX in directory names.
+_ESCAPED = {*"\"#%'*/:=?\\\x7f{[]^", *map(chr, range(1, 32))}
+_NULL_DIRECTORY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def partition_directory(path: str, column: str, value: object) -> str:
+    """Where Spark's writer puts the rows of a partition value."""
+    text = _NULL_DIRECTORY if value is None else "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in str(value))
+    return f"{path}/{column}={text}"
+
+
+#: View properties: the table that a published name shows, and the one before.
+_VERSION, _BEFORE = "strata.version", "strata.before"
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "\\'") + "'"
+
+
+def build_version(
+    spark: SparkSession,
+    name: str,
+    stored: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    unchanged: Mapping[object, str] | None = None,
+) -> str:
+    """A catalog table of its own over the complete table that ``write_table``
+    left at ``path``; returns its name. Of a partitioned table, ``unchanged`` adds
+    partitions (value -> directory) of earlier versions that ``path`` lacks."""
+    version = f"{name}__{uuid.uuid4().hex[:12]}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
-    parts = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {parts} LOCATION '{path}'")
+    parts = f"PARTITIONED BY (`{partition_by}`)" if partition_by else ""
+    spark.sql(f"CREATE TABLE {version} ({columns}) USING parquet {parts} LOCATION '{path}'")
     if partition_by:
-        spark.catalog.recoverPartitions(name)
+        own = [r[0] for r in stored.select(partition_by).distinct().collect()]  # as many as partitions
+        places = {**(unchanged or {}), **{v: partition_directory(path, partition_by, v) for v in own}}
+        if places:
+            added = " ".join(f"PARTITION (`{partition_by}`={_literal(v)}) LOCATION '{p}'" for v, p in places.items())
+            spark.sql(f"ALTER TABLE {version} ADD {added}")
+    return version
+
+
+def _properties(spark: SparkSession, name: str) -> dict[str, str]:
+    if not spark.catalog.tableExists(name):
+        return {}
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+
+
+def switch_version(spark: SparkSession, name: str, version: str) -> None:
+    """Let the view ``name`` show ``version``, in one statement of the catalog.
+    The version before stays for readers that began with it; the one before that
+    goes from the catalog (its files stay until storage expires them)."""
+    now = _properties(spark, name)
+    before = now.get(_VERSION, "")
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{_VERSION}'='{version}', '{_BEFORE}'='{before}') "
+        f"AS SELECT * FROM {version}"
+    )
+    if now.get(_BEFORE):
+        spark.sql(f"DROP TABLE IF EXISTS {now[_BEFORE]}")
+
+
+def publish_table(
+    spark: SparkSession,
+    name: str,
+    stored: DataFrame,
+    path: str,
+    partition_by: str | None = None,
+    unchanged: Mapping[object, str] | None = None,
+) -> None:
+    """K5 ``CREATE OR REPLACE TABLE``: ``name`` shows the complete new table from
+    one moment to the next. It is built under a name of its own first, so that a
+    failure on the way leaves ``name`` as it was."""
+    switch_version(spark, name, build_version(spark, name, stored, path, partition_by, unchanged))
+
+
+def published_partitions(spark: SparkSession, name: str, partition_by: str) -> dict[object, str]:
+    """Partition values and directories of what ``name`` shows now."""
+    version = _properties(spark, name).get(_VERSION)
+    if version is None:
+        return {}
+    values = [r[0] for r in spark.table(version).select(partition_by).distinct().collect()]
+    out = {}
+    for value in values:
+        detail = spark.sql(f"DESCRIBE EXTENDED {version} PARTITION (`{partition_by}`={_literal(value)})").collect()
+        out[value] = next(r["data_type"] for r in detail if r["col_name"] == "Location")
+    return out

@@ -10,7 +10,7 @@ from conftest import RAW_SCHEMA, REDELIVERY
 from pyspark.sql import functions as F
 
 from strata.operators.quality import QualityGateError
-from strata.plans.runner import LayerConfig, run_medallion
+from strata.plans.runner import LayerConfig, refresh_medallion, run_medallion
 from strata.plans.water import SILVER_SUITE_STRICT, WATER
 
 
@@ -55,6 +55,45 @@ def test_a_rerun_merges_into_what_was_landed(spark, tmp_root, covered, geography
     assert spark.table("t2_conformite_par_commune").filter("annee_prelevement = 2022").agg(F.sum("nb_conformes_global")).first()[0] == 2
 
 
+def _gold(spark, cfg, name):
+    return sorted(map(tuple, spark.table(cfg.prefix + name).select("*").collect()), key=str)
+
+
+def test_a_refresh_works_out_its_years_only_and_equals_a_whole_run(spark, tmp_root, covered, geography):
+    redelivery = [*REDELIVERY, ("A4", "1034", "29019", "2024-02-01", "Activité bêta", "1 Bq/L", None, "7", "Bq/L", "N", "C", "C", "C")]
+    later = spark.createDataFrame(redelivery, RAW_SCHEMA)  # corrects A2, moves A4 from 2022 to 2024
+    part, whole = LayerConfig(root=tmp_root + "/part", prefix="r1_"), LayerConfig(root=tmp_root + "/whole", prefix="r2_")
+    run_medallion(spark, [covered], geography, part, WATER)
+    files = {r[0] for r in spark.table("r1_conformite_par_commune").select(F.input_file_name()).distinct().collect()}
+    res = refresh_medallion(spark, [later], geography, part, WATER)
+    run_medallion(spark, [covered, later], geography, whole, WATER)
+    for name in res.gold:
+        assert _gold(spark, part, name) == _gold(spark, whole, name)
+    assert {r[0] for r in res.silver.select("annee_prelevement").distinct().collect()} == {2022, 2024}
+    now = {r[0] for r in spark.table("r1_conformite_par_commune").select(F.input_file_name()).distinct().collect()}
+    old = {f for f in files if "annee_prelevement=2022" not in f}
+    assert old and old <= now  # other years keep their files
+    assert all("annee_prelevement=2022" in f or "annee_prelevement=2024" in f for f in now - old)
+
+
+def test_a_year_that_is_left_goes_and_a_failed_gate_publishes_nothing(spark, tmp_root, covered, geography):
+    cfg = LayerConfig(root=tmp_root, prefix="r3_")
+    run_medallion(spark, [covered], geography, cfg, WATER)
+    move = spark.createDataFrame(
+        [("E1", "1302", "35238", "2022-02-01", "pH", ">= 6,5 et <= 9", None, "7.2", "pH", "C", "C", "C", "C")], RAW_SCHEMA
+    )
+    refresh_medallion(spark, [move], geography, cfg, WATER)
+    years = lambda: {r[0] for r in spark.table("r3_conformite_par_commune").select("annee_prelevement").collect()}
+    assert years() == {2022, 2023}
+    before = _gold(spark, cfg, "conformite_par_commune")
+    with pytest.raises(QualityGateError):
+        bad = [("E7", "1340", "00000", "2021-04-01", "Nitrates", "50 mg/L", None, "60", "mg/L", "C", "N", "C", "C")]
+        refresh_medallion(spark, [spark.createDataFrame(bad, RAW_SCHEMA)], geography, cfg, WATER)
+    assert _gold(spark, cfg, "conformite_par_commune") == before
+    nothing = spark.createDataFrame([], RAW_SCHEMA)
+    assert refresh_medallion(spark, [nothing], geography, cfg, WATER) is None
+
+
 def test_failing_gate_raises_after_the_report_and_publishes_nothing(spark, tmp_root, all_raw, covered, geography):
     strict = replace(WATER, silver_suite=SILVER_SUITE_STRICT)
     cfg = LayerConfig(root=tmp_root, prefix="t3_")

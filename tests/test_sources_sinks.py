@@ -1,4 +1,4 @@
-"""Landed pages, CSV dimensions, table writes, versioned upserts, streaming."""
+"""Landed pages, CSV dimensions, table writes, publication."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import datetime as dt
 import json
 import os
 
-import pyarrow as pa
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,8 +13,17 @@ from pyspark.sql.types import StructType
 from strata.plans.layers import bronze
 from strata.session import checkpoint_root, scratch_dir
 from strata.sources.csv import read_csv_dimension, write_csv
-from strata.sources.pages import read_pages, write_pages
-from strata.sources.sinks import materialize, publish_table, read_stored, replace_load, write_table
+from strata.sources.pages import PageChainError, chain_problems, read_links, read_pages, verify_chain, write_pages
+from strata.sources.sinks import (
+    build_version,
+    materialize,
+    publish_table,
+    published_partitions,
+    read_stored,
+    replace_load,
+    switch_version,
+    write_table,
+)
 from strata.sources.tables import (
     SchemaDriftError,
     describe,
@@ -25,8 +32,6 @@ from strata.sources.tables import (
     read_declared,
     schema_inventory,
 )
-from strata.sources.versioned import VersionedTable, merge_into
-from strata.streaming.upsert import merge_batch_fn, stream_upsert
 
 
 def _plan(df) -> str:
@@ -122,12 +127,70 @@ def test_published_table_switches_to_the_complete_new_one(spark, tmp_root, sampl
     for n, df in enumerate((sample_raw, edge_raw)):
         df = df.select("code_prelevement", "code_commune")
         write_table(df, f"{tmp_root}/{n}", ["code_commune"])
-        publish_table(spark, "resultats_publies", df, f"{tmp_root}/{n}", ["code_commune"])
+        publish_table(spark, "resultats_publies", df, f"{tmp_root}/{n}", "code_commune")
         assert spark.table("resultats_publies").count() == df.count()
     assert spark.table("resultats_publies").filter("code_commune = '00000'").count() == 1
     assert read_stored(df, f"{tmp_root}/0").count() == 9  # what readers of the old one still see
 
 
+def test_readers_see_a_whole_table_while_the_next_one_is_built(spark, tmp_root):
+    """A publication that is interrupted before the switch leaves the name as it was."""
+    write = lambda n, rows: write_table(spark.createDataFrame(rows, "v string, an int"), f"{tmp_root}/{n}", ["an"])
+    frame = lambda n: spark.read.schema("v string, an int").parquet(f"{tmp_root}/{n}")
+    write(0, [("a", 2021), ("b", 2022), ("c", 2023)])
+    publish_table(spark, "suivi", frame(0), f"{tmp_root}/0", "an")
+    reader = spark.table("suivi")
+    write(1, [("B", 2022), ("D", 2024)])
+    built = build_version(spark, "suivi", frame(1), f"{tmp_root}/1", "an")  # ... and the process ends here
+    assert spark.table("suivi").count() == 3
+    spark.sql(f"DROP TABLE {built}")
+    # a later publication keeps the partitions that did not change where they are
+    kept = {v: p for v, p in published_partitions(spark, "suivi", "an").items() if v == 2021}
+    switch_version(spark, "suivi", build_version(spark, "suivi", frame(1), f"{tmp_root}/1", "an", kept))
+    assert sorted(r.v for r in spark.table("suivi").collect()) == ["B", "D", "a"]
+    assert reader.count() == 3  # began with the version before
+    assert "/0/an=2021" in published_partitions(spark, "suivi", "an")[2021]
+    assert "PartitionFilters: [isnotnull(an" in _plan(spark.table("suivi").filter("an = 2024"))
+    # the version before the last goes from the catalog
+    versions = lambda: sorted(t.name for t in spark.catalog.listTables() if t.name.startswith("suivi__"))
+    first = versions()
+    publish_table(spark, "suivi", frame(0), f"{tmp_root}/0", "an")
+    assert len(versions()) == len(first) == 2 and spark.table("suivi").count() == 3
+
+
+def test_a_whole_chain_has_no_problem_and_a_lost_page_is_found(spark, tmp_root):
+    df = _events(spark, 60)
+    write_pages(df, tmp_root, 5, "seq", F.col("d"))
+    links = read_links(spark, tmp_root).cache()
+    assert chain_problems(links).count() == 0
+    verify_chain(links)
+    problems = lambda frame: sorted(map(tuple, chain_problems(frame).collect()))
+    assert problems(links.filter("page <> 4")) == [("page absente", 4, 1), ("page sans lien", 5, 1)]
+    # of a gap of several pages its first page and the page behind it show
+    assert problems(links.filter("page NOT IN (0, 7, 8, 9)")) == [
+        ("page absente", 0, 1), ("page absente", 7, 1), ("page sans lien", 1, 1), ("page sans lien", 10, 1),
+    ]
+    assert problems(links.filter("page < 11")) == [("page absente", 11, 1)]  # cut off at the end
+    assert problems(links.union(links.filter("page = 2").limit(1)))[0][:2] == ("page repetee", 2)
+    with pytest.raises(PageChainError, match=r"page absente 4 \(1\); page sans lien 5"):
+        verify_chain(links.filter("page <> 4"))
+
+
+def test_links_that_name_no_page_or_two(spark):
+    rows = [(None, 0, "page=1"), (None, 1, "next?2"), (dt.date(2024, 1, 1), 2, "page=3"), (None, 2, "page=4"), (None, 3, None), (None, 4, None)]
+    links = spark.createDataFrame(rows, "jour date, page bigint, next string")
+    got = sorted(map(tuple, chain_problems(links).collect()))
+    assert got == [("lien illisible", 1, 1), ("liens differents", 2, 2), ("page sans lien", 2, 1)]
+    assert chain_problems(links.limit(0)).collect()[0]["probleme"] == "page absente"
+
+
+def test_pages_without_a_record_keep_the_chain_whole(spark, tmp_root):
+    df = _events(spark, 60).filter("seq < 12 OR seq >= 40")
+    write_pages(df, tmp_root, 5, "seq", F.col("d"))
+    verify_chain(read_links(spark, tmp_root))
+    assert read_pages(spark, tmp_root, df.schema).count() == 32
+
+
 def test_inventory_and_columns(spark, sample_raw):
     inv = {r.nom_table: (r.nb_lignes, r.nb_colonnes) for r in schema_inventory({"r": sample_raw}).collect()}
     assert inv == {"r": (9, 13)}
@@ -136,78 +199,6 @@ def test_inventory_and_columns(spark, sample_raw):
     assert describe(spark, sample_raw).count() == 13
 
 
-def _rows(df):
-    return sorted(map(tuple, df.collect()))
-
-
-def test_versioned_table_ignores_uncommitted_and_keeps_versions(spark, tmp_root):
-    table = VersionedTable(spark, tmp_root, "k int, v string", ["k"], buckets=4)
-    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
-    assert table.read() is None and table.versions() == []
-    assert table.commit(frame([(1, "a"), (5, "e")])) == 0
-    # a crashed writer leaves data that no commit lists
-    frame([(1, "crash")]).write.parquet(os.path.join(tmp_root, "data", "v=1"))
-    assert table.versions() == [0] and _rows(table.read()) == [(1, "a"), (5, "e")]
-    assert merge_into(table, frame([(1, "b"), (2, "c")]), ["v"]) == 1
-    assert _rows(table.read()) == [(1, "b"), (2, "c"), (5, "e")]
-    assert _rows(table.read(0)) == [(1, "a"), (5, "e")]
-    # a tagged merge that was committed is a replay
-    assert merge_into(table, frame([(9, "z")]), ["v"], tag="once") == 2
-    assert merge_into(table, frame([(9, "other")]), ["v"], tag="once") is None
-    assert _rows(table.read())[-1] == (9, "z")
-    assert table.commit(frame([])) == 3 and len(_rows(table.read())) == 4
-
-
-def _land(src, batches):
-    os.makedirs(src)
-    for i, rows in enumerate(batches):
-        path = os.path.join(src, f"part-{i}.parquet")
-        k, ver, v = zip(*rows, strict=True)
-        pq.write_table(
-            pa.table({"k": pa.array(k, pa.int32()), "ver": pa.array(ver, pa.int32()), "v": list(v)}), path
-        )
-        os.utime(path, (1_000_000 + i, 1_000_000 + i))
-
-
-def test_stream_on_a_table_with_versions_out_of_order_and_replayed(spark, tmp_root):
-    schema = StructType.fromDDL("k int, ver int, v string")
-    # newer versions land first; late files must not roll keys back
-    batches = [
-        [(1, 3, "new"), (2, 1, "x")],
-        [(1, 1, "old"), (3, 2, "y")],
-        [(2, 2, "x2"), (3, 1, "late")],
-    ]
-    src, ckpt = os.path.join(tmp_root, "src"), os.path.join(tmp_root, "ckpt")
-    _land(src, batches)
-    table = VersionedTable(spark, os.path.join(tmp_root, "table"), schema, ["k"], buckets=4)
-    before = {}
-    for n in range(3):  # three batch versions
-        merge_into(table, spark.createDataFrame([(7 + n, 0, f"batch{n}"), (1, 0, f"b{n}")], schema), ["ver"])
-        before[n] = _rows(table.read(n))
-    stream_upsert(spark, src, schema, table, ["ver"], ckpt).awaitTermination()
-    expected = [(1, 3, "new"), (2, 2, "x2"), (3, 2, "y"), (7, 0, "batch0"), (8, 0, "batch1"), (9, 0, "batch2")]
-    assert _rows(table.read()) == expected
-    assert table.versions() == [0, 1, 2, 3, 4, 5]
-    assert all(_rows(table.read(n)) == rows for n, rows in before.items())  # committed versions stay
-    # a restart from the checkpoint finds nothing new; a replayed batch changes nothing
-    stream_upsert(spark, src, schema, table, ["ver"], ckpt).awaitTermination()
-    merge_batch_fn(table, ["ver"], ckpt)(spark.createDataFrame([(1, 9, "again")], schema), 1)
-    assert _rows(table.read()) == expected and table.versions()[-1] == 5
-    # another stream on the same table has batch numbers of its own
-    other = os.path.join(tmp_root, "src2")
-    _land(other, [[(1, 4, "newer")]])
-    stream_upsert(spark, other, schema, table, ["ver"], ckpt + "2").awaitTermination()
-    assert _rows(table.read())[0] == (1, 4, "newer") and table.versions()[-1] == 6
-
-
-def test_merges_write_only_the_buckets_they_touch(spark, tmp_root):
-    table = VersionedTable(spark, tmp_root, "k int, v string", ["k"], buckets=64)
-    merge_into(table, spark.range(200).selectExpr("int(id) AS k", "'a' AS v"), ["v"])
-    version = merge_into(table, spark.createDataFrame([(5, "b")], "k int, v string"), ["v"])
-    assert len([d for d in os.listdir(os.path.join(tmp_root, "data", f"v={version}")) if "=" in d]) == 1
-    assert table.read().count() == 200 and table.read().filter("v = 'b'").count() == 1
-
-
 def test_scratch_dirs_under_checkpoint_root(spark):
     root = checkpoint_root(spark)
     a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
