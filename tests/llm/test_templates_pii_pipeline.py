@@ -182,6 +182,58 @@ def test_added_spans_do_not_overlap(spark, model):
             assert all(b <= c or d <= a for c, d in base + added[:n])
 
 
+#: Texts and the spans that the method adds to the base ones.
+ADDED = [
+    ("write to jo (at) firma (dot) org", "email_like:9:32"),
+    ("mail ann [at] example [dot] com", "email_like:5:31"),
+    ("please look at example.com", ""),
+    ("we met at noon.then left", ""),
+    ("host 10[.]1[.]2[.]3 is down", "ip_like:5:19"),
+    ("build 300[.]1[.]2[.]3", ""),
+    ("card 371449635398431", "card_like:5:20"),
+    ("paid by 3782-822463-10005 today", "card_like:8:25"),
+    ("card 371449635398432", ""),  # fails the Luhn check
+    ("order no 371449635398431", ""),  # named as a code
+    ("call (415) 555-2671", "phone_like:5:19"),
+    ("order 415-555-2671", ""),
+    ("part 115-055-2671", ""),
+]
+
+
+@pytest.mark.parametrize("source", ["small", "corpus"])
+def test_added_spans_that_are_found_and_refused(spark, model, source):
+    learned = model if source == "small" else pii.fit(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+    assert set(learned.thresholds) == set(pii.KINDS)
+    docs = documents(spark, [(i, t, None, None, 0) for i, (t, _) in enumerate(ADDED)])
+    got = {r.doc_id: r.spans for r in pii.detect(docs, learned).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(ADDED)}
+
+
+def test_overlapping_candidates_keep_the_first_and_give_way_to_base_spans(spark, model):
+    texts = ["a@b.org (at) firma (dot) org", "call 415-555-2671 415-555-2672", "jo (at) a (dot) me@firma.org"]
+    docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.spans.split(",") for r in pii.detect(docs, model).collect()}
+    assert got[0] == ["email:0:7"]
+    assert got[1] == ["phone_like:5:17", "phone_like:18:30"]
+    assert [s for s in got[2] if s.startswith("email:")] and not [s for s in got[2] if s.endswith(":28") and "_like" in s]
+
+
+def test_states_of_a_running_walk_over_several_blocks(spark):
+    n = 1000
+    df = spark.createDataFrame([(list(range(n)),), ([],), ([5],)], "a array<int>")
+    got = [r[0] for r in df.select(pii.running(F.col("a"), F.lit(3), lambda s, x: s + x)).collect()]
+    assert got == [[3 + i * (i - 1) // 2 for i in range(n)], [], [3]]
+
+
+def test_long_texts_are_redacted_in_linear_time(spark, model):
+    """A million characters with some 40,000 spans each; per-span work on the whole text would take hours."""
+    texts = ["call 415-555-2671, " * 52_000, "1234 5678," * 100_000, "jo (at) firma (dot) org; " * 40_000, "10.1.2.3 me@x.org " * 55_000]
+    docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)], extra=False)
+    got = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    assert got[0] == "call [PHONE], " * 52_000 and got[1] == texts[1]
+    assert got[2] == "[EMAIL]; " * 40_000 and got[3] == "[IP] [EMAIL] " * 55_000
+
+
 def test_pii_query_equals_the_plain_scan(spark):
     rows = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall())
     got = queries.op7_pii(spark, SF_DIR).collect()
