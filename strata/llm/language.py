@@ -9,13 +9,13 @@ language; the largest corrected share decides (ties: alphabetical order).
 
 N-grams are four consecutive bytes of the lower-cased text in which every run
 of non-letters reads as one space. A language keeps the n-grams that make up
-at least ``min_share`` of its training n-grams, so at most ``1 / min_share``
-n-grams a language reach the driver.
+at least ``min_share`` of its training documents, which count alike whatever
+their length, so at most ``1 / min_share`` n-grams a language reach the driver.
 
 Defined cases: NULL text or a text without a letter is ``und`` with score 0; a
 text whose n-grams no language knows gets the language with most training
 documents and score 0; without any training row every prediction is ``und``;
-rows with a NULL or empty language never train; repeated rows count as often
+rows with a NULL language never train; repeated rows count as often
 as they occur; a NULL id is not held out; other columns are not read.
 """
 
@@ -35,6 +35,8 @@ from strata.llm.hashing import mix
 UNKNOWN = "und"
 NGRAM = 4
 WORD_BITS = 64
+#: All n-grams of a document together.
+WHOLE = 1 << 30
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -98,8 +100,9 @@ def _gram_counts(batches):
             packed, bounds = grams(data, offsets)
             for name in set(languages[a:b]):
                 rows = np.flatnonzero(languages[a:b] == name)
-                parts = [packed[bounds[0, r] : bounds[1, r]] for r in rows]
-                counts.setdefault(name, []).append(np.unique(np.concatenate(parts), return_counts=True))
+                for r in rows:
+                    keys, times = np.unique(packed[bounds[0, r] : bounds[1, r]], return_counts=True)
+                    counts.setdefault(name, []).append((keys, times * WHOLE // max(1, times.sum())))
         for name, parts in counts.items():
             keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             total = np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(keys))
@@ -125,7 +128,7 @@ def fit(
         raise ValueError("cells must be a power of two")
     known = docs.select(
         F.lower(F.col(text)).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")
-    ).where("text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
+    ).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
     masks = np.zeros((max(1, -(-len(languages) // WORD_BITS)), cells), dtype=np.uint64)
