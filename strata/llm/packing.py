@@ -50,12 +50,32 @@ _PLAIN[127:] = False
 _PLAIN[0xC3:0xE0] = True
 
 
-def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...]) -> list[tuple[int, int]]:
+    """Where the texts hold added tokens: from the left, without overlap, the
+    longest of those that begin at one place, inside one row each."""
+    raw, found, out, end = data.tobytes(), [], [], 0
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            found.append((at, -len(token)))
+            at = raw.find(token, at + 1)
+    for at, back in sorted(found):
+        row_end = int(offsets[np.searchsorted(offsets, at, side="right")])
+        if at >= end and at - back <= row_end:
+            end = at - back
+            out.append((at, end))
+    return out
+
+
+def safe_cuts(
+    data: np.ndarray, offsets: np.ndarray, added: tuple[bytes, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of parts whose ids, joined, are the ids of the text.
 
     The tokenizer's own pattern always ends a token at these places: before a
     single space or line end between two visible characters, after such a line
-    end, and between an ASCII letter and ASCII punctuation."""
+    end, and between an ASCII letter and ASCII punctuation. An ``added`` token of
+    the tokenizer in the text is a part of its own."""
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
     if n:
@@ -73,6 +93,9 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         cut[:n] = lone & ((data == 32) | (data == 10))
         cut[1:] |= lone & (data == 10)
         cut[1:n] |= _ASCII_LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
+    for start, end in _places(data, offsets, added):
+        cut[start + 1 : end] = False
+        cut[[start, end]] = True
     cut[offsets] = True
     starts = np.flatnonzero(cut[:n])
     return starts, np.append(starts[1:], n)
@@ -83,6 +106,7 @@ class TokenCache:
 
     def __init__(self, tokenizer, most: int = 1_500_000):
         self.tokenizer, self.most = tokenizer, most
+        self.added = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
         self.clear()
 
     def clear(self) -> None:
@@ -136,15 +160,13 @@ def _cache(vocabulary: str) -> TokenCache:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        tokenizer.encode_special_tokens = True
-        _caches[vocabulary] = TokenCache(tokenizer)
+        _caches[vocabulary] = TokenCache(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
     return _caches[vocabulary]
 
 
 def token_ids(cache: TokenCache, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, and the index of each row's first id."""
-    starts, ends = safe_cuts(data, offsets)
+    starts, ends = safe_cuts(data, offsets, cache.added)
     if not len(starts):
         return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
     ids, counts = cache.lookup(data, starts, ends)

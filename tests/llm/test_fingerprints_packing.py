@@ -92,13 +92,12 @@ def _plain_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 ODD = [
     "", " ", "  ", "\n", "a\nb", "a \n b", "a\n\nb", "don't we'll 'tis it's", "x's'y", "é è\nü", "a b c d e", "日本 語\nテ",
-    "tab\tsep a\r\nb", " lead", "trail ", "a  b", "a,b ,c , d", "1,000.5 kg", "<|endoftext|> x", "🙂 🙂🙂 a🙂 b", "A.B.C...", "x-'s y", "ä, ö. ü!",
+    "tab\tsep a\r\nb", " lead", "trail ", "a  b", "a,b ,c , d", "1,000.5 kg", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y <|endoftext|", "|endoftext|> <|end", "a\n<|endoftext|>\n b.", "🙂 🙂🙂 a🙂 b", "A.B.C...", "x-'s y", "ä, ö. ü!",
     "\u0085a \u0085 b", "word" * 400, "a\x00b c", "ab́c d́ e",
 ]
 
@@ -117,6 +116,13 @@ def test_cached_parts_give_the_tokenizers_ids():
     assert got == want
 
 
+def test_added_tokens_have_ids_of_their_own():
+    cache = packing._cache("byte_bpe_50k.json")
+    data = np.frombuffer(b"a <|endoftext|> b<|endof" + b"text|>", np.uint8)
+    ids, first = packing.token_ids(cache, data, np.array([0, 24, 30]))  # the second is cut by the end of a row
+    assert ids[: first[1]].tolist()[:4] == [64, 220, 50256, 275] and 50256 not in ids[first[1] :].tolist() + ids[4:].tolist()
+
+
 def _check_packing(rows, texts_by_id, capacity=1024):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
