@@ -203,6 +203,17 @@ def silver_enriched(spark, sf_dir):
     return _without_ingest_time(bound_silver(spark, sf_dir))
 
 
+def bucketed_silver(spark, sf_dir):
+    """J1-J3 with facts and communes stored in buckets of the commune code: the
+    silver layer without an exchange of the facts at the join."""
+    path = scratch_dir(spark, "bucketed")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = L.bucketed_silver(
+        bronze_of(spark, sf_dir), B.geography(spark, sf_dir), path, f"b_{path[-12:]}", buckets, domain=B.BINDING
+    )
+    return _without_ingest_time(out)
+
+
 def _networks(spark, sf_dir) -> DataFrame:
     """Bridge sample -> network: the distinct suppliers of an order's lines."""
     links = (
@@ -279,6 +290,31 @@ def gold_nonconformity(spark, sf_dir):
     return L.gold_nonconformity(*bound_codes(spark, sf_dir))
 
 
+def _merged(spark, sf_dir, build) -> DataFrame:
+    """A gold table from the stored bit-map partials; silver is stored for the
+    numbering and the partials, with the columns that they read."""
+    codes, dims = bound_codes(spark, sf_dir)
+    verdicts = ("est_conforme_bact_limites", "est_conforme_pc_limites", "est_conforme_global")
+    codes = materialize(codes.select(W.ENTITY, *L.PARTIAL_KEYS, *verdicts), "codes")
+    partials = materialize(L.gold_partials(codes), "partials", L.GOLD_PARTITIONS)
+    return build(partials, dims)
+
+
+def merged_area_rates(spark, sf_dir):
+    """A3: G1 from mergeable exact distinct counts."""
+    return _merged(spark, sf_dir, L.merged_area_rates)
+
+
+def merged_region_quality(spark, sf_dir):
+    """A3: G3 from the same pre-aggregate."""
+    return _merged(spark, sf_dir, L.merged_region_quality)
+
+
+def merged_nonconformity(spark, sf_dir):
+    """A3: G4 from the same pre-aggregate."""
+    return _merged(spark, sf_dir, L.merged_nonconformity)
+
+
 def nested_aggregate(spark, sf_dir):
     """MIN / SUM / count of per-(commune, year) sample counts."""
     codes, _ = bound_codes(spark, sf_dir)
@@ -634,6 +670,7 @@ def queries() -> dict[str, Query]:
         "exceedance_flags": exceedance_flags,
         "conformity_flags": conformity_flags,
         "silver_enriched": silver_enriched,
+        "bucketed_silver": bucketed_silver,
         "bridge_fanout": bridge_fanout,
         "bridge_area": bridge_area,
         "dedupe_dimension": dedupe_dimension,
@@ -642,6 +679,9 @@ def queries() -> dict[str, Query]:
         "gold_parameter_evolution": gold_parameter_evolution,
         "gold_region_quality": gold_region_quality,
         "gold_nonconformity": gold_nonconformity,
+        "merged_area_rates": merged_area_rates,
+        "merged_region_quality": merged_region_quality,
+        "merged_nonconformity": merged_nonconformity,
         "nested_aggregate": nested_aggregate,
         "distinct_categories": distinct_categories,
         "serve_area": serve_area,

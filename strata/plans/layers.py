@@ -25,9 +25,11 @@ from strata.functions import (
     year_of,
 )
 from strata.operators.aggregates import entity_rates
+from strata.operators.bitmaps import EVERY, bitmap_partials, merged_counts, number_entities
 from strata.operators.dedupe import dedupe_by_key
 from strata.operators.joins import Lookup, enrich_left
 from strata.operators.quality import expect_or_drop
+from strata.operators.buckets import every_salt, join_bucketed, spread, write_bucketed
 from strata.plans import water as W
 from strata.plans.water import WATER, Domain
 
@@ -160,6 +162,26 @@ def silver(
     return with_labels(facts, dims, ("libelle_departement", "libelle_region")).select(*W.SILVER_COLUMNS)
 
 
+def bucketed_silver(
+    bronze_df: DataFrame, geography: Geography, path: str, name: str, buckets: int, salts: int = 8, domain: Domain = WATER
+) -> DataFrame:
+    """Silver whose facts are stored by commune (``name``_faits) and meet the
+    stored communes (``name``_communes) bucket by bucket, for commune tables
+    beyond broadcast size: further joins of the stored facts exchange nothing."""
+    spark, dims = bronze_df.sparkSession, geography.deduplicated()
+    kept = expect_or_drop(typed_facts(bronze_df, domain), silver_drop_rules())
+    communes = dims.communes.select(
+        F.col("com").alias(W.AREA),
+        F.col("libelle").alias("libelle_commune"),
+        F.col("dep").alias("code_departement"),
+        F.col("reg").alias("code_region"),
+    )
+    write_bucketed(kept, f"{name}_faits", f"{path}/faits", W.AREA, buckets, spread(W.ENTITY, salts))
+    write_bucketed(communes, f"{name}_communes", f"{path}/communes", W.AREA, buckets, every_salt(salts))
+    facts = join_bucketed(spark.table(f"{name}_faits"), spark.table(f"{name}_communes"), W.AREA)
+    return with_labels(facts, dims, ("libelle_departement", "libelle_region")).select(*W.SILVER_COLUMNS)
+
+
 # ------------------------------------------------------------------ gold ----
 #
 # The aggregates group by codes, which labels depend on. With ``dims``
@@ -271,6 +293,62 @@ def gold_nonconformity(silver_df: DataFrame, dims: Geography | None = None) -> D
     )
 
 
+# What G1, G3 and G4 count, from one stored pre-aggregate (operators.bitmaps).
+PARTIAL_KEYS = ("annee_prelevement", "code_commune", "code_departement", "code_region")
+
+
+def gold_partials(codes: DataFrame) -> DataFrame:
+    """Bit maps of the samples of a commune and year: all, and those with a
+    TRUE and a FALSE verdict of each kind (a NULL verdict is on neither side)."""
+    verdicts = {
+        "bact": F.col("est_conforme_bact_limites"),
+        "pc": F.col("est_conforme_pc_limites"),
+        "global": F.col("est_conforme_global"),
+    }
+    conditions = {f"conforme_{k}": v for k, v in verdicts.items()} | {f"non_conforme_{k}": ~v for k, v in verdicts.items()}
+    numbers = number_entities(codes, W.ENTITY, PARTIAL_KEYS)
+    return bitmap_partials(codes, PARTIAL_KEYS, W.ENTITY, numbers, conditions)
+
+
+def _merged_rates(
+    partials: DataFrame, dims: Geography, keys: tuple[str, ...], counts: dict[str, str], rates: dict[str, str]
+) -> DataFrame:
+    labels = tuple(k for k in keys if k in _LABELS)
+    merged = merged_counts(partials, [k for k in keys if k not in labels], {EVERY: "nb_prelevements", **counts})
+    merged = merged.withColumns({rate: pct(F.col(n), F.col("nb_prelevements")) for rate, n in rates.items()})
+    return with_labels(merged, dims, labels).select(*keys, "nb_prelevements", *counts.values(), *rates)
+
+
+def merged_area_rates(partials: DataFrame, dims: Geography) -> DataFrame:
+    """G1 from ``gold_partials``."""
+    kinds = ("bact", "pc", "global")
+    return _merged_rates(
+        partials,
+        dims,
+        AREA_KEYS,
+        {f"conforme_{k}": f"nb_conformes_{k}" for k in kinds},
+        {f"taux_{k}_pct": f"nb_conformes_{k}" for k in kinds},
+    )
+
+
+def merged_region_quality(partials: DataFrame, dims: Geography) -> DataFrame:
+    """G3 from ``gold_partials``."""
+    return _merged_rates(
+        partials, dims, REGION_KEYS, {"conforme_global": "nb_conformes"}, {"taux_conformite_pct": "nb_conformes"}
+    )
+
+
+def merged_nonconformity(partials: DataFrame, dims: Geography) -> DataFrame:
+    """G4 from ``gold_partials``."""
+    return _merged_rates(
+        partials,
+        dims,
+        NONCONFORMITY_KEYS,
+        {f"non_conforme_{k}": f"nb_non_conformes_{k}" for k in ("bact", "pc", "global")},
+        {"taux_non_conformite_pct": "nb_non_conformes_global"},
+    )
+
+
 GOLD_TABLES = {
     "conformite_par_commune": gold_area_rates,
     "evolution_temporelle_parametres": gold_parameter_evolution,
