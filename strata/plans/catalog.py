@@ -49,6 +49,7 @@ from strata.sources.keyed import KeyedTable
 from strata.sources.pages import DAY_COLUMN, chain_problems, read_links, read_pages, verify_chain, write_pages
 from strata.sources.sinks import materialize, read_stored, replace_load, write_table
 from strata.sources.tables import schema_inventory
+from strata.sources.tolerant import accept_csv
 from strata.streaming.upsert import stream_upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -540,6 +541,32 @@ def csv_dimension(spark, sf_dir):
     return read_csv_dimension(spark, path)
 
 
+CUSTOMER_COLUMNS = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+def _broken_dimension(spark, sf_dir):
+    """Customers as CSV lines; those of the lowest balances are cut off before
+    their last field, those of the highest have one field too many."""
+    customer = B.table(spark, sf_dir, "customer")
+    whole = F.concat_ws(",", *[F.col(c).cast("string") for c in CUSTOMER_COLUMNS])
+    short = F.concat_ws(",", *[F.col(c).cast("string") for c in CUSTOMER_COLUMNS[:-1]])
+    balance = F.col("c_acctbal")
+    line = F.when(balance < -800, short).when(balance > 9800, F.concat(whole, F.lit(",?"))).otherwise(whole)
+    path, stored = scratch_dir(spark, "broken-csv"), scratch_dir(spark, "accepted-csv")
+    customer.select(line.alias("value")).write.text(path)
+    return accept_csv(spark, path, stored, CUSTOMER_COLUMNS, header=False)
+
+
+def accepted_dimension(spark, sf_dir):
+    """The rows of a dimension with broken lines that fit."""
+    return _broken_dimension(spark, sf_dir).rows
+
+
+def rejected_lines(spark, sf_dir):
+    """The lines of the same dimension that were set apart."""
+    return _broken_dimension(spark, sf_dir).rejects.select("ligne")
+
+
 def schema_inventory_query(spark, sf_dir):
     """Rows and columns per table, as the files have them."""
     return schema_inventory({t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in B.TABLES})
@@ -703,6 +730,8 @@ def queries() -> dict[str, Query]:
         "paged_json_source": paged_json_source,
         "page_chain": page_chain,
         "csv_dimension": csv_dimension,
+        "accepted_dimension": accepted_dimension,
+        "rejected_lines": rejected_lines,
         "schema_inventory": schema_inventory_query,
         "partitioned_write": partitioned_write,
         "replaced_dimension": replaced_dimension,
