@@ -62,15 +62,22 @@ def template(clean: Column) -> Column:
 
 
 def _windows(words: Column, width: int, *salt: Column) -> Column:
-    """Hashes of the windows of ``width`` words, by place."""
+    """Hashes of the windows of ``width`` words, by place. Every word is hashed
+    once; two windows side by side make one of double width, and two that
+    overlap the rest, so a place costs some four hashes of two numbers."""
 
-    def hashes(w: Column) -> Column:
-        return F.when(
-            F.size(w) >= width,
-            F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(*salt, F.slice(w, i, width))),
-        ).otherwise(F.array().cast("array<bigint>"))
+    def joined(hashes: Column, by: int) -> Column:
+        return let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + by))))
 
-    return let(words, hashes)
+    def windows(w: Column) -> Column:
+        hashes, size = F.transform(w, lambda x: F.xxhash64(*salt, x)), 1
+        while 2 * size <= width:
+            hashes, size = joined(hashes, size), 2 * size
+        if size < width:
+            hashes = joined(hashes, width - size)
+        return F.slice(hashes, 1, F.greatest(F.size(w) - width + 1, F.lit(0)))
+
+    return let(words, windows)
 
 
 def _is_slot(word: Column) -> Column:
@@ -109,7 +116,7 @@ def contaminated(
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
 
     literal = F.size(F.filter(F.slice("canon", F.col("at") + 1, F.col("width")), lambda w: ~_is_slot(w)))
-    as_name = F.xxhash64(F.concat(F.array(F.lit("<name>")), F.slice("canon", 2, F.col("width") - 1)))
+    as_name = lambda w: _windows(F.concat(F.array(F.lit("<name>")), F.slice("canon", 2, w - 1)), w)[0]
     capital = F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}") & ~_is_slot(F.get("canon", F.lit(0)))
     none = docs.sparkSession.createDataFrame([], f"item {items.schema['item'].dataType.simpleString()}, at int, hash long")
 
@@ -120,8 +127,10 @@ def contaminated(
             out = out.union(part.where((2 * literal >= w) | F.lit(bool(salt))).select("item", "at", "hash"))
         return out
 
-    first = items.where(capital).select("*", F.lit(0).alias("at"), as_name.alias("hash"))
-    first = first.where(2 * literal >= F.col("width")).select("item", "at", "hash")
+    first = none
+    for w in widths:
+        part = items.where(capital & (F.col("width") == w)).select("*", F.lit(0).alias("at"), as_name(w).alias("hash"))
+        first = first.union(part.where(2 * literal >= w).select("item", "at", "hash"))
     usable = settle(windows(items, "canon", widths).union(first), "item-windows")
     with_any = usable.select("item").distinct().withColumn("any", F.lit(True))
     as_is = items.join(with_any, "item", "left").where((F.size("canon") <= width) | F.col("any").isNull())
