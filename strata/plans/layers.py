@@ -356,3 +356,11 @@ GOLD_TABLES = {
     "non_conformites_par_departement": gold_nonconformity,
 }
 GOLD_PARTITIONS = ("annee_prelevement",)
+
+
+def gold_order(name: str) -> tuple[Column, ...]:
+    """The order in which a gold table is stored inside its years: G4 by rate,
+    the worst first."""
+    if name != "non_conformites_par_departement":
+        return ()
+    return (F.col("taux_non_conformite_pct").desc_nulls_last(), F.col("code_departement").asc())

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import scratch_dir
@@ -23,13 +23,22 @@ def write_table(
     partition_by: Sequence[str] = (),
     mode: str = "overwrite",
     fmt: str = "parquet",
+    order_by: Sequence[str | Column] = (),
 ) -> dict:
     """Write ``df`` and return a load report (K8): rows written, via an
-    ``Observation`` collected during the write itself (no second pass)."""
+    ``Observation`` collected during the write itself (no second pass).
+
+    ``order_by`` stores the rows in that order (O1, K4): of a partitioned table
+    inside each partition value's files, else in files of successive ranges. A
+    filter on the leading column then skips row groups by their statistics."""
     obs = Observation("load_report")
     out = df.observe(obs, F.count(F.lit(1)).alias("rows_written"))
     if partition_by:
         out = out.hint("rebalance", *partition_by)
+    elif order_by:
+        out = out.repartitionByRange(*order_by)
+    if order_by:
+        out = out.sortWithinPartitions(*partition_by, *order_by)
     writer = out.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

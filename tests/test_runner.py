@@ -55,6 +55,13 @@ def test_a_rerun_merges_into_what_was_landed(spark, tmp_root, covered, geography
     assert spark.table("t2_conformite_par_commune").filter("annee_prelevement = 2022").agg(F.sum("nb_conformes_global")).first()[0] == 2
 
 
+def test_nonconformity_is_stored_worst_first(spark, tmp_root, covered, geography):
+    res = run_medallion(spark, [covered], geography, LayerConfig(root=tmp_root, prefix="o1_"), WATER)
+    rows = res.gold["non_conformites_par_departement"].filter("annee_prelevement = 2022").collect()
+    rates = [r.taux_non_conformite_pct for r in rows]
+    assert len(rates) == 2 and rates == sorted(rates, reverse=True)
+
+
 def _gold(spark, cfg, name):
     return sorted(map(tuple, spark.table(cfg.prefix + name).select("*").collect()), key=str)
 

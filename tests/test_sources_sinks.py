@@ -117,6 +117,36 @@ def test_write_table_partitioned_and_report(spark, tmp_root, sample_raw):
     assert stored.count() == 6
 
 
+def _scanned_rows(df) -> int:
+    """Rows that the file scan of ``df`` put out, after row groups were skipped."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while not node.nodeName().startswith("Scan parquet"):
+        node = node.children().apply(0)
+    return node.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("partition_by", [(), ("p",)])
+def test_rows_stored_in_order_let_row_groups_be_skipped(spark, tmp_root, partition_by):
+    rows = spark.range(200_000).selectExpr("pmod(xxhash64(id), 100000) AS v", "id % 2 AS p", "repeat(cast(xxhash64(id, 1) AS string), 4) AS pad")
+    options = {"parquet.block.size": "65536", "parquet.page.row.count.limit": "1000"}
+    before = {k: spark.conf.get(k, None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        write_table(rows, tmp_root + "/sorted", partition_by, order_by=["v"])
+        write_table(rows, tmp_root + "/plain", partition_by)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    few = {n: read_stored(rows, f"{tmp_root}/{n}").filter("v < 500").select("v") for n in ("sorted", "plain")}
+    assert few["sorted"].count() == few["plain"].count() > 0
+    assert _scanned_rows(few["sorted"]) < 30_000 < _scanned_rows(few["plain"])
+    if not partition_by:
+        stored = [r.v for r in read_stored(rows, tmp_root + "/sorted").collect()]
+        assert sorted(stored) == sorted(r.v for r in rows.select("v").collect())
+
+
 def test_replace_load_replaces_all_rows(spark, tmp_root, sample_raw, edge_raw):
     assert replace_load(sample_raw, tmp_root)["rows_written"] == 9
     assert replace_load(edge_raw, tmp_root)["rows_written"] == 7
