@@ -2,14 +2,20 @@
 
 Texts are cut into sentences, each normalised sentence is looked up among the
 known licence sentences, and the identifiers found, in text order, are matched
-against ordered rules. A rule is a sequence of identifiers that must follow
+against ordered rules. A text is read twice: line by line, where a line end ends a
+sentence, for notices without a stop; and by paragraphs, where a sentence goes on
+over line ends, as in wrapped licence texts and source headers (comment marks are
+no words). A sentence that both readings find stands at the same word and counts
+once. A rule is a sequence of identifiers that must follow
 each other (other sentences may stand between); an earlier rule uses up what
 it matches, so a full licence text is not also reported as its parts.
 
 Defined cases: NULL and empty texts have no sentence; a document without a
 known sentence has no row; a document whose sentences fit no rule has an empty
 ``licenses``; every row of a repeated document has its own row; other columns
-are not read. Each licence is listed once per document, in rule order.
+are not read. Each licence is listed once per document, in rule order. Rules of
+``ONLY_ALONE`` hold where no other does: "All rights reserved." stands in the
+copyright line of open licences too.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import let, running
+
 # Sentences of public licences and licence notices.
 SENTENCES: dict[str, str] = {
     "apache-notice": "Licensed under the Apache License, Version 2.0.",
@@ -72,15 +80,37 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("proprietary", ("rights-reserved",)),
 )
 
+#: Licences that are named only if the document names no other.
+ONLY_ALONE = ("proprietary",)
+
 # Everything but letters, digits, stops and line ends reads as one space.
 _NOISE = r"[^a-z0-9.!?;\n]+"
 _STOP = r"[.!?;:]+( |\n|\z)"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order (empty ones included)."""
-    plain = F.regexp_replace(F.lower(text), _NOISE, " ")
-    return F.split(F.regexp_replace(plain, _STOP, "\n"), "\n")
+#: A single line end, and the blank lines between paragraphs.
+_WRAP = r"(?<!\n)\n(?!\n)"
+
+
+def _plain(text: Column) -> Column:
+    """Lower-case words, stops and line ends, without spaces around line ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), _NOISE, " "), " ?\n ?", "\n")
+
+
+def sentences(plain: Column) -> Column:
+    """Normalised sentences of ``_plain`` text, in order (empty ones included)."""
+    return F.transform(F.split(F.regexp_replace(plain, _STOP, "\n"), "\n"), lambda x: F.trim(x))
+
+
+def _placed(plain: Column) -> Column:
+    """(place, sentence), place counting the words before."""
+
+    def with_places(all_: Column) -> Column:
+        words = F.transform(all_, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+        before = running(words, F.lit(0), lambda n, w: n + w)
+        return let(before, lambda n: F.transform(all_, lambda x, i: F.struct(F.get(n, i).alias("place"), x.alias("sentence"))))
+
+    return F.filter(let(sentences(plain), with_places), lambda x: x["sentence"] != "")
 
 
 def _normalise(sentence: str) -> str:
@@ -106,14 +136,13 @@ def recognise(
         sorted({(_normalise(s), i) for i, s in known.items()}), "sentence string, sentence_id string"
     )
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    rows = rows.select("key", "row", F.posexplode(sentences(F.col("text"))).alias("position", "sentence")).withColumn(
-        "sentence", F.trim("sentence")
-    )
+    both = let(_plain(F.col("text")), lambda p: F.array_union(_placed(p), _placed(F.regexp_replace(p, _WRAP, " "))))
     found = (
-        rows.where("sentence <> ''")
+        rows.select("key", "row", F.explode(both).alias("s"))
+        .select("key", "row", "s.*")
         .join(F.broadcast(table), "sentence")
         .groupBy("key", "row")
-        .agg(F.sort_array(F.collect_list(F.struct("position", "sentence_id"))).alias("found"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "sentence_id"))).alias("found"))
     )
     ids = F.col("found.sentence_id")
     left = F.concat(F.lit(","), F.array_join(ids, ",,"), F.lit(","))
@@ -122,7 +151,10 @@ def recognise(
         part = "".join(f",{x}," for x in sequence)
         hits[name] = hits.get(name, F.lit(False)) | left.contains(part)
         left = F.replace(left, F.lit(part), F.lit(""))
-    names = F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()])
+    other = F.lit(False)
+    for name, hit in hits.items():
+        other |= hit if name not in ONLY_ALONE else F.lit(False)
+    names = F.array(*[F.when(hit & ~other if name in ONLY_ALONE else hit, F.lit(name)) for name, hit in hits.items()])
     return found.select(
         F.col("key").alias(key),
         F.array_join(F.array_compact(names), ",").alias("licenses"),

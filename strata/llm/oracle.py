@@ -93,19 +93,36 @@ def licence_sentences() -> str:
         part = _quoted("".join(f",{x}," for x in sequence))
         hits[name].append(f"contains({left}, {part})")
         left = f"replace({left}, {part}, '')"
-    columns = ", ".join(f"CASE WHEN {' OR '.join(h)} THEN {_quoted(n)} END" for n, h in hits.items())
+    other = " OR ".join(x for n, h in hits.items() if n not in licenses.ONLY_ALONE for x in h)
+    when = lambda n, h: f"({' OR '.join(h)})" + (f" AND NOT ({other})" if n in licenses.ONLY_ALONE else "")
+    columns = ", ".join(f"CASE WHEN {when(n, h)} THEN {_quoted(n)} END" for n, h in hits.items())
     return f"""
 WITH known(sentence, sentence_id) AS (SELECT DISTINCT * FROM (VALUES {known})),
+plain AS (
+  SELECT row_number() OVER () AS rowid_, doc_id,
+         regexp_replace(regexp_replace(lower(text), '[^a-z0-9.!?;\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g') AS t
+  FROM documents
+),
+read_ AS (
+  SELECT rowid_, doc_id, 1 AS reading, t FROM plain
+  UNION ALL
+  SELECT rowid_, doc_id, 2, regexp_replace(regexp_replace(regexp_replace(t, '\\n\\n+', chr(1), 'g'), '\\n', ' ', 'g'), chr(1), chr(10), 'g')
+  FROM plain
+),
+cut AS (SELECT *, string_split(regexp_replace(t, '[.!?;:]+( |\\n|\\z)', chr(10), 'g'), chr(10)) AS parts FROM read_),
 lines AS (
-  SELECT rowid_, doc_id, unnest(string_split(regexp_replace(
-           regexp_replace(lower(text), '[^a-z0-9.!?;\\n]+', ' ', 'g'), '[.!?;:]+( |\\n|\\z)', chr(10), 'g'), chr(10))) AS line,
-         generate_subscripts(string_split(regexp_replace(
-           regexp_replace(lower(text), '[^a-z0-9.!?;\\n]+', ' ', 'g'), '[.!?;:]+( |\\n|\\z)', chr(10), 'g'), chr(10)), 1) AS place
-  FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)
+  SELECT rowid_, doc_id, reading, trim(unnest(parts)) AS line, generate_subscripts(parts, 1) AS i FROM cut
+),
+placed AS (
+  SELECT rowid_, doc_id, line,
+         sum(CASE WHEN line = '' THEN 0 ELSE len(line) - len(replace(line, ' ', '')) + 1 END) OVER (
+           PARTITION BY rowid_, reading ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place
+  FROM lines
 ),
 found AS (
   SELECT doc_id, string_agg(sentence_id, ',,' ORDER BY place, sentence_id) AS ids, count(*) AS n_sentences
-  FROM lines JOIN known ON trim(line) = sentence GROUP BY rowid_, doc_id
+  FROM (SELECT DISTINCT rowid_, doc_id, coalesce(place, 0) AS place, sentence_id FROM placed JOIN known ON line = sentence)
+  GROUP BY rowid_, doc_id
 )
 SELECT doc_id, concat_ws(',', {columns}) AS licenses, replace(ids, ',,', ',') AS sentence_ids, n_sentences FROM found"""
 

@@ -13,6 +13,7 @@ import pytest
 from cases import LONG, SF_DIR, components, documents
 from pyspark.sql import functions as F
 
+from strata.llm.common import running
 from strata.llm import boosting, pii, queries, stages, templates
 
 QUESTION = "The train left Oslo at noon and Anna waited 45 minutes, then drove 120 km to Bergen with 45 kg of luggage"
@@ -221,7 +222,7 @@ def test_overlapping_candidates_keep_the_first_and_give_way_to_base_spans(spark,
 def test_states_of_a_running_walk_over_several_blocks(spark):
     n = 1000
     df = spark.createDataFrame([(list(range(n)),), ([],), ([5],)], "a array<int>")
-    got = [r[0] for r in df.select(pii.running(F.col("a"), F.lit(3), lambda s, x: s + x)).collect()]
+    got = [r[0] for r in df.select(running(F.col("a"), F.lit(3), lambda s, x: s + x)).collect()]
     assert got == [[3 + i * (i - 1) // 2 for i in range(n)], [], [3]]
 
 

@@ -83,10 +83,58 @@ def test_url_query_covers_all_pages(spark):
     assert sorted((r.page_id, r.host) for r in got) == sorted(want)
 
 
+#: As published, wrapped; the holder's name filled in.
+BSD_3 = """Copyright (c) 2020, Jo Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_HEADER = """/*
+ * Copyright 2020 Jo Doe. All rights reserved.
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */"""
+MIT_NOTICE = """MIT License
+
+Copyright (c) 2020 Jo Doe
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+"""
+
+
+def test_wrapped_licence_texts_are_found_and_a_copyright_line_is_no_licence(spark):
+    hashed = lambda t: "\n".join(f"# {x}".rstrip() for x in t.splitlines())
+    texts = [BSD_3, hashed(BSD_3), BSD_3.split("3. ")[0], MIT_NOTICE, "Copyright Jo Doe. All rights reserved.", BSD_3.replace("\n", "\r\n")]
+    docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in licenses.recognise(docs).collect()}
+    assert got == {
+        0: ("bsd-3-clause", 5), 1: ("bsd-3-clause", 5), 2: ("bsd-2-clause", 4), 3: ("mit", 2), 4: ("proprietary", 1), 5: ("bsd-3-clause", 5),
+    }
+    (header,) = licenses.recognise(documents(spark, [(1, APACHE_HEADER, None, None, 0)])).collect()
+    assert header.licenses == "apache-2.0" and "apache-use" in header.sentence_ids
+
+
 def test_licence_rules_are_ordered_sequences(spark):
     s = licenses.SENTENCES
     texts = {
-        1: "Prose. Licensed under the Apache License,\nVersion 2.0.",  # broken over two lines: not the sentence
+        1: "Prose. Licensed under the Apache License,\n# Version 2.0.",  # goes on in the next line
         2: "Intro\nLICENSED under the apache license, version 2.0!\nMore",
         3: "\n".join([s["apache-notice-long"], "other", s["apache-use"], s["apache-copy"]]),
         4: s["bsd-source"] + " " + s["bsd-binary"],  # parts out of a rule
@@ -99,7 +147,8 @@ def test_licence_rules_are_ordered_sequences(spark):
     got = defaultdict(list)
     for r in licenses.recognise(docs).collect():
         got[r.doc_id].append((r.licenses, r.sentence_ids, r.n_sentences))
-    assert 1 not in got and 7 not in got and 9 not in got
+    assert 7 not in got and 9 not in got
+    assert got[1] == [("apache-2.0", "apache-notice", 1)]
     assert got[2] == [("apache-2.0", "apache-notice", 1)]
     assert got[3] == [("apache-2.0", "apache-notice-long,apache-use,apache-copy", 3)]
     assert got[4] == [("", "bsd-source,bsd-binary", 2)]
