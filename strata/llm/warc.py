@@ -22,6 +22,8 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from strata.llm.common import settle
 from strata.session import scratch_dir
 
 MAGIC = "WARC/1.1\r\n"
+#: What a revisit record says it is (fixed value).
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GAP = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -48,8 +52,11 @@ def write_archives(
     url: str = "url",
     payload: str = "html",
     min_revisit_bytes: int = 0,
+    date: dt.datetime | None = None,
 ) -> None:
-    """Write one record per row of ``pages`` under ``path``."""
+    """Write one record per row of ``pages`` under ``path``, dated ``date``
+    (default: now)."""
+    written = (date or dt.datetime.now(dt.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(
         F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")
     )
@@ -78,7 +85,10 @@ def write_archives(
         F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "),
         record_id(F.col("id")),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), record_id(F.col("first")))).otherwise(""),
+        F.lit(f"\r\nWARC-Date: {written}"),
+        F.when(
+            revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), record_id(F.col("first")), F.lit(f"\r\nWARC-Profile: {PROFILE}"))
+        ).otherwise(""),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
@@ -203,11 +213,13 @@ def _verified(candidates: DataFrame) -> DataFrame:
 
 def _stitched(spark: SparkSession, path: str, spanning: DataFrame, candidates: DataFrame) -> DataFrame:
     """Records that span rejected cuts, from all their pieces in file order."""
-    spans = spanning.select(
-        "file", F.col("offset").alias("owner"), (F.col("offset") + F.col("record_bytes")).alias("end")
-    )
-    inner = candidates.select("file", "block", "index", "offset").join(spans, "file")
-    wanted = settle(inner.where("offset >= owner AND offset < end"), "warc-spans")
+    spans = spanning.select("file", "offset", F.struct("offset", (F.col("offset") + F.col("record_bytes")).alias("end")).alias("own"))
+    places = candidates.select("file", "block", "index", "offset").join(spans.select("file").distinct(), "file", "left_semi")
+    # the last spanning record that begins at or before a piece
+    so_far = Window.partitionBy("file").orderBy("offset")
+    inner = places.join(spans, ["file", "offset"], "left").withColumn("own", F.last("own", ignorenulls=True).over(so_far))
+    inner = inner.where(F.col("offset") < F.col("own.end"))
+    wanted = settle(inner.select("file", "block", "index", "offset", F.col("own.offset").alias("owner")), "warc-spans")
     pieces = _pieces(spark, path).join(wanted.select("file").distinct(), "file", "left_semi")
     index = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
     pieces = pieces.withColumn("index", index).join(wanted, ["file", "block", "index"])

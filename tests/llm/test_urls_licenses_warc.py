@@ -254,3 +254,18 @@ def test_warc_query_round_trips_all_pages(spark):
 def test_base32_digest(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(warc.sha1_base32(F.col("t").cast("binary"))).first()[0]
     assert got == base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+
+
+def test_records_have_the_headers_that_other_readers_need(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.org/", "x" * 20), (2, "http://b.org/", "x" * 20), (3, None, None)], "page_id bigint, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"), date=warc.dt.datetime(2024, 5, 6, 7, 8, 9))
+    files = [f for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    heads = [x.split("\r\n\r\n")[0] for f in files for x in f.read_bytes().decode().split("WARC/1.1\r\n")[1:]]
+    assert len(heads) == 3
+    for head in heads:
+        fields = dict(line.split(": ", 1) for line in head.split("\r\n"))
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+        assert fields["WARC-Date"] == "2024-05-06T07:08:09Z"
+        revisit = fields["WARC-Type"] == "revisit"
+        assert ("WARC-Profile" in fields) == ("WARC-Refers-To" in fields) == revisit
+        assert not revisit or fields["WARC-Profile"] == warc.PROFILE
