@@ -44,10 +44,11 @@ BROADCAST_WINDOWS = 2_000_000
 
 
 def cleaned(text: Column) -> Column:
-    """Lower-case words parted by single spaces; names carry a mark."""
+    """Lower-case words parted by single spaces; names carry a mark. Patterns
+    look ahead first, which fails at most places after one character."""
     plain = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
-    plain = F.regexp_replace(plain, r",(?<=(?<![0-9])[0-9]{1,3},|,[0-9]{3},)(?=[0-9]{3}(?![0-9]))", "")
-    marked = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})", _MARK)
+    plain = F.regexp_replace(plain, r",(?=[0-9]{3}(?![0-9]))(?<=(?<![0-9])[0-9]{1,3},|,[0-9]{3},)", "")
+    marked = F.regexp_replace(plain, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;] )", _MARK)
     return F.lower(F.btrim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{_MARK}]+", " ")))
 
 
@@ -55,9 +56,9 @@ def template(clean: Column) -> Column:
     """The cleaned text with placeholders; words stay in their places."""
     units = "|".join(UNITS)
     named = F.regexp_replace(clean, rf"{_MARK}[^ ]+", "<name>")
-    numbered = F.regexp_replace(named, r"(?<![^ ])[0-9]+(?![^ ])", "<num>")
-    amounts = F.regexp_replace(numbered, rf"(?<![^ ])[0-9]+(?:{units})(?![^ ])", "<amount>")
-    measured = F.regexp_replace(amounts, rf"(?<=<num> )(?:{units})(?![^ ])", "<unit>")
+    numbered = F.regexp_replace(named, r"(?=[0-9])(?<![^ ])[0-9]+(?![^ ])", "<num>")
+    amounts = F.regexp_replace(numbered, rf"(?=[0-9])(?<![^ ])[0-9]+(?:{units})(?![^ ])", "<amount>")
+    measured = F.regexp_replace(amounts, rf"<num> (?:{units})(?![^ ])", "<num> <unit>")
     return F.when(named.rlike("[0-9]"), measured).otherwise(named)
 
 
