@@ -102,15 +102,17 @@ def sentences(plain: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(plain, _STOP, "\n"), "\n"), lambda x: F.trim(x))
 
 
-def _placed(plain: Column) -> Column:
-    """(place, sentence), place counting the words before."""
+def _placed(plain: Column, known: Column) -> Column:
+    """(place, sentence) of all sentences, place counting the words before;
+    none where no sentence is known."""
+    none = F.array().cast("array<struct<place:int,sentence:string>>")
 
     def with_places(all_: Column) -> Column:
         words = F.transform(all_, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
         before = running(words, F.lit(0), lambda n, w: n + w)
         return let(before, lambda n: F.transform(all_, lambda x, i: F.struct(F.get(n, i).alias("place"), x.alias("sentence"))))
 
-    return F.filter(let(sentences(plain), with_places), lambda x: x["sentence"] != "")
+    return let(sentences(plain), lambda x: F.when(F.arrays_overlap(x, known), with_places(x)).otherwise(none))
 
 
 def _normalise(sentence: str) -> str:
@@ -136,7 +138,11 @@ def recognise(
         sorted({(_normalise(s), i) for i, s in known.items()}), "sentence string, sentence_id string"
     )
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    both = let(_plain(F.col("text")), lambda p: F.array_union(_placed(p), _placed(F.regexp_replace(p, _WRAP, " "))))
+    listed = F.array(*[F.lit(x) for x in sorted({_normalise(s) for s in known.values()})]).cast("array<string>")
+    both = let(
+        _plain(F.col("text")),
+        lambda p: F.array_union(_placed(p, listed), _placed(F.regexp_replace(p, _WRAP, " "), listed)),
+    )
     found = (
         rows.select("key", "row", F.explode(both).alias("s"))
         .select("key", "row", "s.*")
