@@ -1,7 +1,7 @@
 """Session defaults for local runs (tests, bench) and scratch-space lookup.
 
 On a cluster the session comes from the platform; ``build_session`` is for
-local runs only. Scratch space (landed pages, versioned tables, streaming
+local runs only. Scratch space (landed pages, keyed tables, streaming
 checkpoints) always lives under the cluster's shared checkpoint directory;
 a private temporary directory is created only when none is configured, as in
 tests.
