@@ -3,12 +3,17 @@
 Documents link when ``100 * |A & B| >= percent * |A | B|``. The join runs over
 64-bit shingle hashes, over whole texts:
 
-1. One pass counts all shingles in ``2^sketch_bits`` hash buckets and digests
-   each document's set; equal sets form a class with its smallest id for all.
-2. Each class orders its shingles rare first (by bucket count, then hash: one
-   order for all) and emits its prefix, the ``n - ceil(t n) + 1`` rarest.
-   Any two linked sets share a prefix shingle. Shingles alone in one prefix go.
-3. Rounds of at most one candidate a document, a leader of its shingles' groups
+1. One pass digests each document's set; equal sets form a class with its
+   smallest id for all.
+2. A document can only link if ``ceil(t n)`` of its ``n`` shingles stand in
+   other sets too: with fewer, its rarest ``n - ceil(t n) + 1`` are its own
+   alone. Fragments of sorted, shortened hashes, dealt by hash range, count the
+   shared shingles of every document; the others leave here. (Two shingles with
+   one shortened hash count as shared: that keeps a document, and loses none.)
+3. Those that stay order their shingles rare first (by exact count among them,
+   then hash: one order for all); the ``n - ceil(t n) + 1`` rarest are the
+   prefix. Any two linked sets share a prefix shingle.
+4. Rounds of at most one candidate a document, a leader of its shingles' groups
    outside its component, verified once, merge the large groups of near copies. When few pairs from different components
    remain, all of them that pass the length, positional and suffix filters are
    verified: no pair is left out but those already connected.
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import only, settle, text_chunks
@@ -40,6 +45,9 @@ from strata.llm.hashing import mix, shingle_sets
 #: Documents to compare, with at most a thousand hubs each, broadcast to the
 #: scan of the texts where at most so many.
 BROADCAST_ROLES = 300_000
+#: Shingles in a fragment, and in the hash range that a task holds.
+FRAGMENT = 1 << 21
+RANGE = 1 << 21
 #: All remaining pairs are verified once they are at most so many a prefix row.
 PAIRS_PER_ROW = 4
 MAX_ROUNDS = 8
@@ -64,16 +72,13 @@ def _partition_counts(s: np.ndarray) -> bytes:
 _SURVEY = "id long, n long, d1 long, d2 long, counts binary"
 
 
-def _survey(k: int, sketch_bits: int):
+def _survey(k: int):
     """Rows (id, n, d1, d2, counts) of documents: size, digest and partition
-    counts of their sets; and (NULL, bucket, count, NULL, NULL) of the task."""
-    names = ["id", "n", "d1", "d2", "counts"]
+    counts of their sets."""
 
     def run(batches):
-        buckets = np.zeros(1 << sketch_bits, dtype=np.int64)
         for ids, sets in _sets(batches, k):
             flat = np.concatenate([*sets, np.empty(0, np.uint64)])
-            buckets += np.bincount((flat >> np.uint64(64 - sketch_bits)).astype(np.int64), minlength=len(buckets))
             ends = np.cumsum([len(s) for s in sets])
             digests = []
             for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
@@ -81,68 +86,147 @@ def _survey(k: int, sketch_bits: int):
                 digests.append((total[ends] - np.concatenate(([np.uint64(0)], total[ends[:-1]]))).view(np.int64))
             counts = pa.array([_partition_counts(s) for s in sets], pa.binary())
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, *map(pa.array, digests), counts], names=names)
-        used = np.flatnonzero(buckets)
-        none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, pa.array(used), pa.array(buckets[used]), none, pa.nulls(len(used), pa.binary())], names=names
-        )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), sizes, *map(pa.array, digests), counts], names=["id", "n", "d1", "d2", "counts"]
+            )
+
+    return run
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as eight planes of one byte each: the planes of leading
+    zeros cost nothing once compressed."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+_FRAGMENT = "part long, single binary, owner binary, several binary, doc binary, found binary"
+
+
+def _fragments(k: int, bits: int, parts: int):
+    """About ``FRAGMENT`` shingles at a time, one row a hash range: the hashes
+    of one document only (as sorted gaps) with its id, those of several, and,
+    in one of the rows, how many of the latter each document has. So a shingle
+    of many documents is one entry a fragment."""
+    bounds = np.array([-(-(p << bits) // parts) for p in range(parts + 1)], dtype=np.uint64)
+    names = [c.split()[0] for c in _FRAGMENT.split(", ")]
+
+    def fragment(ids: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        docs = np.concatenate(ids).astype(np.int64)
+        tokens = np.concatenate(sets) >> np.uint64(64 - bits)
+        order = np.argsort(tokens)
+        tokens = tokens[order]
+        owners = np.repeat(np.arange(len(docs)), [len(s) for s in sets])[order]
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        sizes = np.diff(np.append(starts, len(tokens)))
+        found = np.bincount(owners[np.repeat(sizes > 1, sizes)], minlength=len(docs))
+        one, many = starts[sizes == 1], starts[sizes > 1]
+        lone, common, owner = tokens[one], tokens[many], docs[owners[one]]
+        at, to = np.searchsorted(lone, bounds), np.searchsorted(common, bounds)
+        home = int(docs[0]) % parts
+        rows = []
+        for p in range(parts):
+            mine = found > 0 if p == home else np.zeros(0, bool)
+            if at[p] == at[p + 1] and to[p] == to[p + 1] and not mine.any():
+                continue
+            gaps = [
+                np.diff(x[i[p] : i[p + 1]], prepend=bounds[p]) for x, i in ((lone, at), (common, to))
+            ]
+            local = (docs[mine], found[mine]) if len(mine) else (docs[:0], found[:0])
+            rows.append((p, _planes(gaps[0]), _planes(owner[at[p] : at[p + 1]]), _planes(gaps[1]), *map(_planes, local)))
+        kinds = [pa.int64(), *[pa.binary()] * 5]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    def run(batches):
+        ids, sets, size = [], [], 0
+        for some, theirs in _sets(batches, k):
+            ids.append(some)
+            sets += theirs
+            size += sum(map(len, theirs))
+            if size >= FRAGMENT:
+                yield fragment(ids, sets)
+                ids, sets, size = [], [], 0
+        if size:
+            yield fragment(ids, sets)
 
     return run
 
 
-def _prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def _shared_counts(batches):
+    """Rows sorted by part: (id, c), the shingles of the part's range that a
+    document shares with others. One range is held at a time."""
+
+    def counted(rows: list[tuple]) -> pa.RecordBatch:
+        lone = [np.cumsum(_numbers(r[0]), dtype=np.uint64) for r in rows]
+        common = [np.cumsum(_numbers(r[2]), dtype=np.uint64) for r in rows]
+        own = np.concatenate([_numbers(r[1]) for r in rows]).view(np.int64)
+        tokens = np.concatenate([*lone, *common])
+        order = np.argsort(tokens)
+        tokens = tokens[order]
+        same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
+        if len(same):
+            same[:-1] |= same[1:]
+        shared = order[same]
+        ids, counts = np.unique(own[shared[shared < len(own)]], return_counts=True)
+        ids = np.concatenate([ids, *[_numbers(r[3]).view(np.int64) for r in rows]])
+        counts = np.concatenate([counts, *[_numbers(r[4]).view(np.int64) for r in rows]])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64))], names=["id", "c"])
+
+    at, held = None, []
+    for batch in batches:
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            if part != at and held:
+                yield counted(held)
+                held = []
+            at = part
+            held.append(tuple(batch.column(c)[i].as_py() for c in range(1, 6)))
+    if held:
+        yield counted(held)
 
 
-def _prefixes(k: int, percent: int, sketch_bits: int, shared):
+def _tokens(k: int):
+    """(token, id, n, text): ``text`` tells the texts of one id apart."""
+
     def run(batches):
-        counts = shared.value
         for ids, sets in _sets(batches, k):
-            tokens, owners, sizes, places = [], [], [], []
-            for i, s in zip(ids.tolist(), sets, strict=True):
-                n = len(s)
-                if not n:
-                    continue
-                size = _prefix_size(n, percent)
-                order = np.lexsort((s, counts[(s >> np.uint64(64 - sketch_bits)).astype(np.int64)]))[:size]
-                tokens.append(s[order])
-                owners.append(np.full(size, i, dtype=np.int64))
-                sizes.append(np.full(size, n, dtype=np.int32))
-                places.append(np.arange(size, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], owners, sizes, places)],
-                    names=["token", "id", "n", "pos"],
-                )
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            columns = [
+                pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)),
+                pa.array(np.repeat(ids, sizes).astype(np.int64)),
+                pa.array(np.repeat(sizes, sizes)),
+                pa.array(np.repeat([int(np.bitwise_xor.reduce(mix(s))) for s in sets], sizes).astype(np.uint64).view(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "text"])
 
     return run
 
 
-def _shared_only(batches):
-    """Of rows sorted by token, those whose token another row has too."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        tokens = table.column("token").to_numpy()
-        last = tokens[-1]
-        start = int(np.argmax(tokens == last))
-        # the last token may go on in the next batch: two of its rows tell as much as all
-        same = np.concatenate(([False], tokens[1:] == tokens[:-1]))
-        keep = same.copy()
-        keep[:-1] |= same[1:]
-        keep[start:] = False
-        yield from table.filter(pa.array(keep)).to_batches()
-        tail = table.slice(start)
-        if tail.num_rows > 2:  # certainly shared: all but one row go out now
-            yield from tail.slice(1).to_batches()
-            tail = pa.concat_tables([tail.slice(0, 1), tail.slice(0, 1)])
-            tail = tail.set_column(1, "id", pa.chunked_array([pa.array([tail.column("id")[0].as_py(), None], pa.int64())]))
-        held = tail.combine_chunks().to_batches()[0]
-    if held is not None and held.num_rows > 1:
-        yield held
+def _linkable(texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Ids of the documents with so many shared shingles that they may link."""
+    spark = texts.sparkSession
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
+    bits = min(56, max(16, int(total).bit_length() + 8))  # one of 256 shingles meets another by chance
+    dealt = texts.mapInArrow(_fragments(k, bits, parts), _FRAGMENT).repartition(parts, "part").sortWithinPartitions("part")
+    counts = dealt.mapInArrow(_shared_counts, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+    near = counts.join(sizes.select("id", "n"), "id").where(F.col("c") * 100 >= F.col("n") * percent).where("n > 0")
+    return settle(near.select("id").distinct(), "linkable")
+
+
+def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, id, n, pos): a set's ``n - ceil(t n) + 1`` rarest shingles with
+    their places, but for those that no other set has."""
+    tokens = settle(texts.mapInArrow(_tokens(k), "token long, id long, n long, text long"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counted = tokens.join(counts, "token", "left")
+    rank = F.row_number().over(Window.partitionBy("id", "n", "text").orderBy(F.coalesce("c", F.lit(1)), "token"))
+    prefix = F.floor(F.col("n") * (100 - percent) / 100)
+    ranked = counted.withColumn("pos", rank - 1).where((F.col("pos") <= prefix) & F.col("c").isNotNull())
+    return settle(ranked.select("token", "id", "n", "pos"), "prefixes")
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:
@@ -325,23 +409,13 @@ def _remaining(rows: DataFrame, percent: int) -> DataFrame:
     return both.select(F.col("p_id").alias("a"), F.col("q_id").alias("b")).distinct()
 
 
-def join(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80, sketch_bits: int = 16
-) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) per row; ``key`` must be an integer."""
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = source.where("id IS NOT NULL")
 
-    survey = settle(known.mapInArrow(_survey(k, sketch_bits), _SURVEY), "survey")
-    sizes = survey.where("id IS NOT NULL")
-    summary = sizes.select("id", "n", "counts")
-    sketch = np.zeros(1 << sketch_bits, dtype=np.int64)
-    for r in survey.where("id IS NULL").groupBy("n").agg(F.sum("d1").alias("c")).collect():
-        sketch[r["n"]] = r["c"]
-    shared = spark.sparkContext.broadcast(sketch)  # 2^sketch_bits numbers
-
+    sizes = settle(known.mapInArrow(_survey(k), _SURVEY), "survey")
     classes = (
         sizes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     )
@@ -352,14 +426,10 @@ def join(
     own = rows.where("id = first").select("id")  # an id may have another text that is no copy
     copies = settle(copies.join(own, "id", "left_anti"), "copies")
 
-    emitted = only(known, copies, "id", "left_anti").mapInArrow(
-        _prefixes(k, percent, sketch_bits, shared), "token long, id long, n int, pos int"
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = emitted.repartition(parts, "token").sortWithinPartitions("token")
-    prefixes = settle(
-        prefixes.mapInArrow(_shared_only, "token long, id long, n int, pos int").where("id IS NOT NULL"), "prefixes"
-    )
+    linkable = _linkable(only(known, copies, "id", "left_anti"), rows, k, percent)
+    known = settle(only(known, linkable, "id", "left_semi"), "linkable-texts")
+    summary = settle(only(sizes.select("id", "n", "counts"), linkable, "id", "left_semi"), "linkable-sizes")
+    prefixes = _prefixes(known, k, percent)
     # an id with several texts is one node: it holds their classes together
     several = rows.groupBy("id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
     same_id = rows.join(several.select("id"), "id", "left_semi").where("n > 0")

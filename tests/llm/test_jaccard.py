@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -74,21 +75,33 @@ def test_threshold_is_exact(spark):
     assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == components(rows)
 
 
-def test_shared_rows_survive_batch_borders():
-    rng = np.random.default_rng(2)
-    tokens = np.sort(rng.integers(0, 60, 300))
-    ids = np.arange(300)
-    want = {int(i) for i in ids if (tokens == tokens[i]).sum() > 1}
-    for size in (1, 2, 3, 7, 300):
-        batches = [
-            pa.RecordBatch.from_arrays(
-                [pa.array(tokens[a : a + size]), pa.array(ids[a : a + size]), pa.array([1] * len(ids[a : a + size]), pa.int32()), pa.array([0] * len(ids[a : a + size]), pa.int32())],
-                names=["token", "id", "n", "pos"],
-            )
-            for a in range(0, 300, size)
-        ]
-        got = [i for b in jaccard._shared_only(iter(batches)) for i in b.column(1).to_pylist() if i is not None]
-        assert sorted(got) == sorted(want)
+def test_shared_shingles_are_counted_over_fragments_and_ranges(monkeypatch):
+    """Against counting whole sets, for small fragments and many ranges."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(60))) for _ in range(40)]
+    ids = list(range(-7, 33))
+    sets = [set(shingles(t)) for t in texts]
+    held = Counter(x for s in sets for x in s)
+    want = {i: sum(held[x] > 1 for x in s) for i, s in zip(ids, sets, strict=True)}
+    monkeypatch.setattr(jaccard, "FRAGMENT", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + 9]), pa.array(texts[a : a + 9])], names=["id", "text"]) for a in range(0, 40, 9)]
+    for parts in (1, 3, 64):
+        dealt = pa.Table.from_batches(list(jaccard._fragments(5, 48, parts)(iter(batches)))).sort_by("part")
+        got = Counter()
+        for batch in jaccard._shared_counts(iter(dealt.to_batches(max_chunksize=2))):
+            for i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                got[i] += c
+        assert {i: got[i] for i in ids} == want
+    numbers = np.array([0, 1, 255, 256, 2**63 + 5], dtype=np.uint64)
+    assert jaccard._numbers(jaccard._planes(numbers)).tolist() == numbers.tolist()
+
+
+def test_only_documents_with_enough_shared_shingles_are_linkable(spark):
+    base = [f"t{i}" for i in range(13)]
+    rows = [(1, " ".join(base[:12])), (2, " ".join(["x", *base])), (4, " ".join(f"a{i}" for i in range(30))), (5, "")]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    sizes = spark.createDataFrame([(i, len(shingles(t))) for i, t in rows], "id bigint, n bigint")
+    assert {r.id for r in jaccard._linkable(texts, sizes, 5, 80).collect()} == {1, 2}
 
 
 def test_partition_counts_bound_the_overlap():
