@@ -12,11 +12,13 @@ Documents link when ``100 * |A & B| >= percent * |A | B|``. The join runs over
    one shortened hash count as shared: that keeps a document, and loses none.)
 3. Those that stay order their shingles rare first (by exact count among them,
    then hash: one order for all); the ``n - ceil(t n) + 1`` rarest are the
-   prefix. Any two linked sets share a prefix shingle.
-4. Rounds of at most one candidate a document, a leader of its shingles' groups
-   outside its component, verified once, merge the large groups of near copies. When few pairs from different components
-   remain, all of them that pass the length, positional and suffix filters are
-   verified: no pair is left out but those already connected.
+   prefix. Any two linked sets share a prefix shingle. Of the shingles that
+   stand in the same prefixes only the rarest is joined.
+4. Rounds of a few candidates a document, leaders of its shingles' groups
+   outside its component, verified once, merge the large groups of near copies.
+   When few pairs from different components remain, all of them that pass the
+   length, positional and suffix filters are verified: no pair is left out but
+   those already connected.
 
 The suffix filter bounds the overlap of the sets by the counts of their
 shingles in hash partitions, ``sum(min(count_a, count_b))``, before whole sets
@@ -42,15 +44,14 @@ from strata.llm.common import only, settle, text_chunks
 from strata.llm.components import components
 from strata.llm.hashing import mix, shingle_sets
 
-#: Documents to compare, with at most a thousand hubs each, broadcast to the
-#: scan of the texts where at most so many.
-BROADCAST_ROLES = 300_000
 #: Shingles in a fragment, and in the hash range that a task holds.
 FRAGMENT = 1 << 21
 RANGE = 1 << 21
 #: All remaining pairs are verified once they are at most so many a prefix row.
 PAIRS_PER_ROW = 4
 MAX_ROUNDS = 8
+#: Leaders of a token's group in a round, and candidates of a document.
+LEADERS = 16
 
 
 def _sets(batches, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -188,23 +189,30 @@ def _shared_counts(batches):
         yield counted(held)
 
 
-def _tokens(k: int):
-    """(token, id, n, text): ``text`` tells the texts of one id apart."""
+def _stored(k: int):
+    """(id, set): each text's set as sorted 64-bit hashes."""
 
     def run(batches):
         for ids, sets in _sets(batches, k):
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            columns = [
-                pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)),
-                pa.array(np.repeat(ids, sizes).astype(np.int64)),
-                pa.array(np.repeat(sizes, sizes)),
-                pa.array(np.repeat([int(np.bitwise_xor.reduce(mix(s))) for s in sets], sizes).astype(np.uint64).view(np.int64)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "id", "n", "text"])
+            raw = pa.array([s.astype("<u8", copy=False).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), raw], names=["id", "set"])
 
     return run
 
 
+def _tokens(batches):
+    """Rows (token, id, n, text) of stored sets; ``text`` tells the texts of
+    one id apart."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            ids = batch.column(0)[a : a + 256].to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)[a : a + 256]]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            texts = np.array([np.bitwise_xor.reduce(mix(s)) for s in sets], dtype=np.uint64)
+            columns = [np.concatenate(sets).view(np.int64), np.repeat(ids, sizes), np.repeat(sizes, sizes), np.repeat(texts.view(np.int64), sizes)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["token", "id", "n", "text"])
+
+
 def _linkable(texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
     """Ids of the documents with so many shared shingles that they may link."""
     spark = texts.sparkSession
@@ -217,16 +225,22 @@ def _linkable(texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataF
     return settle(near.select("id").distinct(), "linkable")
 
 
-def _prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(token, id, n, pos): a set's ``n - ceil(t n) + 1`` rarest shingles with
     their places, but for those that no other set has."""
-    tokens = settle(texts.mapInArrow(_tokens(k), "token long, id long, n long, text long"), "tokens")
+    tokens = sets.mapInArrow(_tokens, "token long, id long, n long, text long")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     counted = tokens.join(counts, "token", "left")
     rank = F.row_number().over(Window.partitionBy("id", "n", "text").orderBy(F.coalesce("c", F.lit(1)), "token"))
     prefix = F.floor(F.col("n") * (100 - percent) / 100)
     ranked = counted.withColumn("pos", rank - 1).where((F.col("pos") <= prefix) & F.col("c").isNotNull())
-    return settle(ranked.select("token", "id", "n", "pos"), "prefixes")
+    rows = settle(ranked.select("token", "id", "n", "text", "pos", "c"), "prefixes")
+    # shingles of the same texts (a passage gives hundreds) make the same pairs:
+    # the rarest stands for them, as it is the first that any two of the texts share
+    holders = [F.bit_xor(F.xxhash64(F.lit(salt), "id", "n", "text")).alias(f"h{salt}") for salt in (1, 2)]
+    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.first("c").alias("c"), *holders).where("many > 1")
+    first = groups.groupBy("many", "h1", "h2").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
+    return settle(rows.join(first.select("token"), "token", "left_semi").select("token", "id", "n", "pos"), "first-prefixes")
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:
@@ -276,31 +290,6 @@ def _suffix_filter(percent: int):
     return run
 
 
-def _deal_sets(k: int):
-    """Sets for comparison: rows (hub, salt, own, id, set) for each role that a
-    document has, ``own`` where it is the hub."""
-
-    def run(batches):
-        for batch in batches:
-            roles = batch.column(2).to_pylist()
-            ids = batch.column(0).to_pylist()
-            for a, b, data, offsets in text_chunks(batch.column(1)):
-                for i, s in zip(range(a, b), shingle_sets(data, offsets, k), strict=True):
-                    raw, mine = s.astype("<u8", copy=False).tobytes(), roles[i]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([r["hub"] for r in mine], pa.int64()),
-                            pa.array([r["salt"] for r in mine], pa.int64()),
-                            pa.array([r["own"] for r in mine], pa.bool_()),
-                            pa.array([ids[i]] * len(mine), pa.int64()),
-                            pa.array([raw] * len(mine), pa.binary()),
-                        ],
-                        names=["hub", "salt", "own", "id", "set"],
-                    )
-
-    return run
-
-
 def _compare(percent: int):
     """Rows sorted by hub and salt, the hub's own first: the linked pairs. One
     hub's sets are held at a time."""
@@ -328,7 +317,7 @@ def _compare(percent: int):
     return run
 
 
-def _split(rows: DataFrame, key: str, other: str, name: str, most: int = 1000) -> DataFrame:
+def _split(rows: DataFrame, key: str, other: str, name: str, most: int = 100) -> DataFrame:
     """Adds ``name``: the part of its ``key``'s rows that a row falls into, so
     that parts hold about ``most`` rows however many a key has."""
     sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts__"))
@@ -338,27 +327,20 @@ def _split(rows: DataFrame, key: str, other: str, name: str, most: int = 1000) -
     ).drop("parts__")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, summary: DataFrame, k: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``, each compared once. Sets are made
-    from the texts again, for the pairs that pass the suffix filter only, and
-    travel once: a pair's second set to its first."""
-    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    small = only(summary, ids, "id", "left_semi")
-    left = small.select(F.col("id").alias("a"), F.col("counts").alias("x"), "n")
-    right = small.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.col("n").alias("m"))
+def _verified(pairs: DataFrame, stored: DataFrame, summary: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of ``pairs(a, b)``, each compared once. A set travels
+    only for pairs that pass the suffix filter: a pair's second set to its
+    first, whose own set goes once to each part of its pairs."""
+    left = summary.select(F.col("id").alias("a"), F.col("counts").alias("x"), "n")
+    right = summary.select(F.col("id").alias("b"), F.col("counts").alias("y"), F.col("n").alias("m"))
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
     near = settle(near.mapInArrow(_suffix_filter(percent), "a long, b long").distinct(), "near-pairs")
 
     dealt = _split(near, "a", "b", "salt")
     members = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), "salt", F.lit(False).alias("own"))
     hubs = dealt.select(F.col("a").alias("id"), F.col("a").alias("hub"), "salt", F.lit(True).alias("own")).distinct()
-    roles = _split(settle(members.union(hubs), "roles"), "id", "hub", "chunk")
-    roles = roles.groupBy("id", "chunk").agg(F.collect_list(F.struct("hub", "salt", "own")).alias("roles"))
-    roles = settle(roles.select("id", "roles"), "role-lists")
-    few = roles.count() <= BROADCAST_ROLES
-    wanted = known.join(F.broadcast(roles) if few else roles, "id").select("id", "text", "roles")
-    sets = wanted.mapInArrow(_deal_sets(k), "hub long, salt long, own boolean, id long, set binary")
-    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = members.union(hubs).join(stored, "id").select("hub", "salt", "own", "id", "set")
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = sets.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", F.desc("own"))
     return settle(sets.mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
 
@@ -382,21 +364,22 @@ def _cross_pairs(rows: DataFrame, percent: int) -> float:
 
 
 def _proposals(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each document one partner outside its component: every token's
-    group has two leaders, the least and the greatest by a hash that changes
-    each turn; a document proposes the leader it meets most often. So a group
-    of near copies gathers around few documents and its links form stars."""
-    hashed = rows.withColumn("h", F.xxhash64("id", F.lit(turn)))
-    leaders = hashed.groupBy("token").agg(
-        *[f(c, "h").alias(f"{side}_{c}") for side, f in (("lo", F.min_by), ("hi", F.max_by)) for c in ("id", "n", "comp")]
-    )
-    leader = F.explode(
-        F.array(*[F.struct(*[F.col(f"{side}_{c}").alias(f"p_{c}") for c in ("id", "n", "comp")]) for side in ("lo", "hi")])
-    )
-    met = rows.join(settle(leaders, "leaders"), "token").select("id", "n", "comp", leader.alias("l")).select("id", "n", "comp", "l.*")
+    """For each document up to ``LEADERS`` partners outside its component:
+    every token's group has as many leaders, the least and greatest by hashes
+    that change each turn; a document proposes those it meets most often. So a
+    group of near copies gathers around few documents, its links form stars,
+    and a document that is far from one leader is near another."""
+    seeds = range(turn * LEADERS, turn * LEADERS + LEADERS // 2)
+    sides = [(f"{side}{i}", f, F.xxhash64("id", F.lit(i))) for i in seeds for side, f in (("lo", F.min_by), ("hi", F.max_by))]
+    row = F.struct(*[F.col(c).alias(f"p_{c}") for c in ("id", "n", "comp")])
+    leaders = rows.groupBy("token").agg(*[f(row, h).alias(name) for name, f, h in sides])
+    leaders = leaders.select("token", F.array_distinct(F.array(*[name for name, _, _ in sides])).alias("leaders"))
+    met = rows.join(settle(leaders, "leaders"), "token").select("id", "n", "comp", F.explode("leaders").alias("l"))
+    met = met.select("id", "n", "comp", "l.*")
     near = F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent
     pairs = met.where((F.col("comp") != F.col("p_comp")) & near).groupBy("id", "p_id").agg(F.count(F.lit(1)).alias("c"))
-    best = pairs.groupBy("id").agg(F.max_by("p_id", F.struct("c", "p_id")).alias("p_id"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "p_id"))
+    best = pairs.withColumn("place", place).where(F.col("place") <= LEADERS)
     return best.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
 
 
@@ -427,9 +410,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     copies = settle(copies.join(own, "id", "left_anti"), "copies")
 
     linkable = _linkable(only(known, copies, "id", "left_anti"), rows, k, percent)
-    known = settle(only(known, linkable, "id", "left_semi"), "linkable-texts")
+    stored = settle(only(known, linkable, "id", "left_semi").mapInArrow(_stored(k), "id long, set binary"), "sets")
     summary = settle(only(sizes.select("id", "n", "counts"), linkable, "id", "left_semi"), "linkable-sizes")
-    prefixes = _prefixes(known, k, percent)
+    prefixes = _prefixes(stored, percent)
     # an id with several texts is one node: it holds their classes together
     several = rows.groupBy("id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo <> hi")
     same_id = rows.join(several.select("id"), "id", "left_semi").where("n > 0")
@@ -444,7 +427,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
             break
         last = turn == MAX_ROUNDS or turn > 0 and left <= PAIRS_PER_ROW * total
         pairs = _remaining(mixed, percent) if last else _proposals(mixed, turn, percent)
-        found = _verified(settle(pairs, "pairs"), known, summary, k, percent)
+        found = _verified(settle(pairs, "pairs"), stored, summary, percent)
         known_edges = same_id if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
         edges = found.union(known_edges)
         labels = settle(components(edges), "labels")
