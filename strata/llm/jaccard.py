@@ -419,13 +419,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, p
     same_id = settle(same_id.select(F.col("id").alias("a"), F.col("first").alias("b")), "same-id")
 
     total = prefixes.count()
-    labels = None
+    labels, before = None, 0.0
     for turn in range(MAX_ROUNDS + 1):
         mixed = _labelled(prefixes, labels)
         left = _cross_pairs(mixed, percent)
         if turn and not left:  # all that could be linked is
             break
-        last = turn == MAX_ROUNDS or turn > 0 and left <= PAIRS_PER_ROW * total
+        # a round that leaves half has met documents that are not linked: more rounds would not settle them
+        last = turn == MAX_ROUNDS or turn > 0 and (left <= PAIRS_PER_ROW * total or left > before / 2)
+        before = left
         pairs = _remaining(mixed, percent) if last else _proposals(mixed, turn, percent)
         found = _verified(settle(pairs, "pairs"), stored, summary, percent)
         known_edges = same_id if labels is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
