@@ -71,3 +71,14 @@ def test_no_rows_and_no_entities(spark):
     assert merged_counts(_partials(spark, empty), ["area"], NAMES).collect() == []
     none = spark.createDataFrame([("a", 2021, None, True)], SCHEMA)
     assert _sorted(merged_counts(_partials(spark, none), ["area"], NAMES)) == [("a", 0, 0, 0)]
+
+
+def test_a_key_with_few_entities_costs_a_word(spark):
+    """Many keys of one entity each: no state or row holds the bits of a whole block."""
+    rows = spark.range(1000).select(
+        F.concat(F.lit("A"), "id").alias("area"), F.lit(2021).alias("year"), F.concat(F.lit("E"), "id").alias("entity"), F.lit(True).alias("ok")
+    )
+    partials = _partials(spark, rows)
+    assert {kind for name, kind in partials.dtypes if name in NAMES} == {"bigint"}
+    assert partials.count() == 1000
+    assert _sorted(merged_counts(partials, ["year"], NAMES)) == [(2021, 1000, 1000, 0)]
