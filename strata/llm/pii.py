@@ -9,9 +9,8 @@ them; of overlapping ones the first by place, then the longest, stays, and none
 may overlap a base span. Added spans have kinds of their own (``email_like``
 and so on), so the base kinds' figures are the base spans' figures.
 
-The trees learn from a bounded sample, drawn for each kind from the documents
-that hold candidates of it, of the candidates of both the base patterns and the
-generators. There are no true labels; a candidate counts as personal if it passes
+The trees learn from the candidates of both the base patterns and the generators
+in all documents. There are no true labels; a candidate counts as personal if it passes
 the check that fits its format (Luhn for 15 and 16 digits, parts up to 255, area
 codes, brackets or spelled dots before a known domain ending) and is not
 introduced as a code. A few example phrases of every kind, ``EXAMPLES``, take part, so
@@ -236,32 +235,19 @@ def _labelled(text: Column, kind: str) -> Column:
     return F.concat(base, F.transform(_spans(text, EXTRA[kind], _EXTRA_NEEDS[kind]), one(True)))
 
 
-def fit(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = 5000, precision: float = 0.95
-) -> SpanModel:
-    """Learn from the candidates of about ``sample_docs`` documents a kind, and
-    as many with candidates of its generator, chosen by a hash of the id; half of
-    them calibrate the thresholds: per kind the least score above which at least
-    ``precision`` of the generator's candidates are personal."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    holds = {(kind, extra): t.rlike(needs[kind]) for extra, needs in enumerate((_NEEDS, _EXTRA_NEEDS)) for kind in KINDS}
-    sizes = docs.agg(F.count(F.lit(1)), *[F.count_if(h) for h in holds.values()]).first()
-    if not sizes[0]:
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", precision: float = 0.95) -> SpanModel:
+    """Learn from all candidates of all documents. The documents are halved by a
+    hash of the id; one half calibrates the thresholds: per kind the least score
+    above which at least ``precision`` of the generator's candidates are personal."""
+    if docs.isEmpty():
         return SpanModel(boosting.Boosted(0.0, ()), {})
-    share = {k: min(1.0, sample_docs / max(n, 1)) for k, n in zip(holds, sizes[1:], strict=True)}
     hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000))
-    drawn = docs.select(t.alias("t"), hashed.alias("draw"))
-    t, draw = F.col("t"), F.col("draw")
-    wanted = {
-        kind: F.lit(False) | (t.rlike(_NEEDS[kind]) & (draw < 1_000_000 * share[kind, 0]))
-        | (t.rlike(_EXTRA_NEEDS[kind]) & (draw < 1_000_000 * share[kind, 1]))
-        for kind in KINDS
-    }
+    halved = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), (hashed % 2).alias("half"))
+    t = F.col("t")
     none = F.array().cast("array<struct<x:array<int>,y:int>>")
-    rows = [F.when(wanted[kind], _labelled(t, kind)).otherwise(none) for kind in KINDS]
     counted = lambda df, *by: df.groupBy(*by, "c.x", "c.y").agg(F.count(F.lit(1)).alias("n")).collect()
-    sampled = drawn.where(draw < 1_000_000 * max(share.values()))
-    counts = counted(sampled.select((draw % 2).alias("half"), F.explode(F.concat(*rows)).alias("c")), "half")
+    rows = [_labelled(t, kind) for kind in KINDS]
+    counts = counted(halved.select("half", F.explode(F.concat(*rows)).alias("c")), "half")
     examples = docs.sparkSession.createDataFrame(EXAMPLES, "kind string, t string, y int")
 
     def example(kind: str) -> Column:

@@ -210,6 +210,20 @@ def test_added_spans_that_are_found_and_refused(spark, model, source):
     assert got == {i: want for i, (_, want) in enumerate(ADDED)}
 
 
+def test_every_candidate_counts_in_learning(spark, monkeypatch):
+    """Also of more documents than a sample would hold: weights follow the counts of all of one half."""
+    seen, fit = {}, pii.boosting.fit
+    monkeypatch.setattr(pii.boosting, "fit", lambda x, y, w, **how: seen.update(x=x, w=w) or fit(x, y, w, **how))
+    half = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1_000_000)) % 2
+    docs = spark.range(15_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 40 == 0, "to a@b.org").otherwise("zz longer-name@example.org").alias("text")
+    )
+    pii.fit(docs)
+    want = sorted(r["count"] for r in docs.where(half == 0).groupBy("text").count().collect())
+    few, many = sorted(seen["w"][seen["x"][:, 0] == 0])
+    assert abs(many / few - want[1] / want[0]) < 1e-9
+
+
 def test_overlapping_candidates_keep_the_first_and_give_way_to_base_spans(spark, model):
     texts = ["a@b.org (at) firma (dot) org", "call 415-555-2671 415-555-2672", "jo (at) a (dot) me@firma.org"]
     docs = documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
