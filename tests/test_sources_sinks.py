@@ -17,6 +17,7 @@ from strata.sources.pages import PageChainError, chain_problems, read_links, rea
 from strata.sources.sinks import (
     build_version,
     materialize,
+    materialize_buckets,
     publish_table,
     published_partitions,
     read_stored,
@@ -259,3 +260,19 @@ def test_materialize_cuts_lineage_in_shared_folder(spark, sample_raw):
     files = m.inputFiles()
     assert files and all(checkpoint_root(spark).split("://")[-1] in f for f in files)
     assert "FileScan parquet" in _plan(m.select("code_prelevement"))
+
+
+def test_pages_of_rows_stored_in_buckets_need_no_exchange(spark, tmp_root):
+    days = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 3).cast("int"))
+    rows = spark.range(100).select(F.col("id").alias("seq"), days.alias("d"), F.floor(F.col("id") / 20).alias("lot"))
+    stored = materialize_buckets(rows, "lot")
+    grouped = stored.groupBy("d", "lot", "seq").count()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    plain = rows.drop("lot")
+    write_pages(plain, f"{tmp_root}/plain", 10, "seq", F.col("d"))
+    write_pages(stored, f"{tmp_root}/stored", 10, "seq", F.col("d"), stored_by="lot")
+    read = lambda path: sorted(map(tuple, read_pages(spark, path, plain.schema).collect()))
+    assert read(f"{tmp_root}/stored") == read(f"{tmp_root}/plain") == sorted(map(tuple, plain.collect()))
+    links = [sorted(map(str, read_links(spark, f"{tmp_root}/{path}").collect())) for path in ("plain", "stored")]
+    assert links[0] == links[1]
+    verify_chain(read_links(spark, f"{tmp_root}/stored"))
