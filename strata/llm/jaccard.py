@@ -20,9 +20,10 @@ Documents link when ``100 * |A & B| >= percent * |A | B|``. The join runs over
    length, positional and suffix filters are verified: no pair is left out but
    those already connected.
 
-The suffix filter bounds the overlap of the sets by the counts of their
-shingles in hash partitions, ``sum(min(count_a, count_b))``, before whole sets
-are compared.
+The suffix filter bounds the overlap of two sets before they are compared: a
+shingle whose hash partition holds none of the other set is in one set only.
+There are two to four partitions to a shingle, one bit each, so that of the pairs
+in a large group of near copies few pass but those that link.
 
 Defined cases: NULL and empty texts, and texts of white space only, have an
 empty set and link with nothing; texts of fewer than ``k`` words have their
@@ -45,8 +46,8 @@ from strata.llm.components import components
 from strata.llm.hashing import mix, shingle_sets
 
 #: Shingles in a fragment, and in the hash range that a task holds.
-FRAGMENT = 1 << 21
-RANGE = 1 << 21
+FRAGMENT = 1 << 20
+RANGE = 1 << 20
 #: All remaining pairs are verified once they are at most so many a prefix row.
 PAIRS_PER_ROW = 4
 MAX_ROUNDS = 8
@@ -63,19 +64,20 @@ def _sets(batches, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
 
 
 def _partition_counts(s: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each hash partition, about four
-    hashes to a partition, up to 255 each."""
-    bits = max(0, len(s).bit_length() - 3)
-    part = (s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
-    return np.minimum(np.bincount(part, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """A set's size, four bytes, and which hash partitions hold any of its
+    hashes, one bit each: two to four partitions to a hash."""
+    parts = 1 << max(3, len(s).bit_length() + 1)
+    held = np.zeros(parts, np.uint8)
+    held[(s & np.uint64(parts - 1)).astype(np.int64)] = 1
+    return len(s).to_bytes(4, "little") + np.packbits(held, bitorder="little").tobytes()
 
 
 _SURVEY = "id long, n long, d1 long, d2 long, counts binary"
 
 
 def _survey(k: int):
-    """Rows (id, n, d1, d2, counts) of documents: size, digest and partition
-    counts of their sets."""
+    """Rows (id, n, d1, d2, counts) of documents: size, digest and held
+    partitions of their sets."""
 
     def run(batches):
         for ids, sets in _sets(batches, k):
@@ -268,14 +270,16 @@ def _indexed(n: Column, at: Column, percent: int) -> Column:
 
 
 def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Upper bound of the overlap from the partition counts of two sets."""
-    if (a == 255).any() or (b == 255).any():
-        return 1 << 62
+    """Upper bound of the overlap from the partition counts of two sets: each
+    partition that only one of them holds has at least one hash of it alone."""
+    a, b = a.astype(np.uint8, copy=False), b.astype(np.uint8, copy=False)
+    n, m, a, b = *(int.from_bytes(x[:4].tobytes(), "little") for x in (a, b)), a[4:], b[4:]
     while len(a) > len(b):
-        a = a.reshape(-1, 2).sum(axis=1)
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
     while len(b) > len(a):
-        b = b.reshape(-1, 2).sum(axis=1)
-    return int(np.minimum(a, b).sum())
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    both = a & b
+    return min(n - int(np.bitwise_count(a ^ both).sum()), m - int(np.bitwise_count(b ^ both).sum()))
 
 
 def _suffix_filter(percent: int):
@@ -283,7 +287,7 @@ def _suffix_filter(percent: int):
         for batch in batches:
             keep = []
             for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                bound = most_overlap(np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64))
+                bound = most_overlap(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
                 keep.append(bound * (100 + percent) >= percent * (n + m))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -336,7 +340,7 @@ def _verified(pairs: DataFrame, stored: DataFrame, summary: DataFrame, percent:
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
     near = settle(near.mapInArrow(_suffix_filter(percent), "a long, b long").distinct(), "near-pairs")
 
-    dealt = _split(near, "a", "b", "salt")
+    dealt = settle(_split(near, "a", "b", "salt"), "dealt")
     members = dealt.select(F.col("b").alias("id"), F.col("a").alias("hub"), "salt", F.lit(False).alias("own"))
     hubs = dealt.select(F.col("a").alias("id"), F.col("a").alias("hub"), "salt", F.lit(True).alias("own")).distinct()
     sets = members.union(hubs).join(stored, "id").select("hub", "salt", "own", "id", "set")

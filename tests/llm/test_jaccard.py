@@ -114,6 +114,27 @@ def test_partition_counts_bound_the_overlap():
             assert jaccard.most_overlap(a, b) >= len(np.intersect1d(x, y))
 
 
+def test_few_unlinked_pairs_of_a_group_of_near_copies_are_compared():
+    """Sets of one group that share 70 % do not pass the suffix filter; linked ones do."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+
+    def passing(changed: int) -> float:
+        sets = []
+        for _ in range(40):
+            s = base.copy()
+            s[rng.choice(150, changed, replace=False)] = rng.integers(0, 2**64, changed, dtype=np.uint64)
+            sets.append(np.sort(s))
+        pairs = [(i, j) for i in range(40) for j in range(i)]
+        counts = [jaccard._partition_counts(s) for s in sets]
+        columns = [[i for i, _ in pairs], [j for _, j in pairs], [counts[i] for i, _ in pairs], [counts[j] for _, j in pairs], [150] * len(pairs), [150] * len(pairs)]
+        batch = pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=list("abxynm"))
+        return sum(b.num_rows for b in jaccard._suffix_filter(80)(iter([batch]))) / len(pairs)
+
+    assert passing(14) < 0.1
+    assert passing(8) == 1  # at least 134 of 166 shared
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, j) for j in range(101, 140)] + [(7, 7), (200, 200), (41, 40)]
     got = dict(spark_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
