@@ -37,6 +37,8 @@ NGRAM = 4
 WORD_BITS = 64
 #: All n-grams of a document together.
 WHOLE = 1 << 30
+#: Texts lower-cased at once.
+LOWERED = 256
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -228,12 +230,12 @@ def keep(docs: DataFrame, filters: LanguageFilters, min_score: float, text: str
     if not filters.languages:
         return lettered
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    at = docs.columns.index(text)
 
-    def run(batches):
-        for batch in batches:
-            column = pc.utf8_lower(batch.column(at))
-            _, scores = score_batch(shared.value, column, np.ones(batch.num_rows, dtype=bool))
-            yield batch.filter(pa.array(scores >= min_score))
+    # the texts alone go to Python, and one number each comes back
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        parts = (pc.utf8_lower(column[a : a + LOWERED]) for a in range(0, len(column), LOWERED))
+        scores = [score_batch(shared.value, part, np.ones(len(part), dtype=bool))[1] for part in parts]
+        return pa.array(np.concatenate([*scores, np.zeros(0)]))
 
-    return lettered.mapInArrow(run, docs.schema)
+    return lettered.where(score(text) >= min_score)

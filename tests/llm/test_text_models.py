@@ -43,6 +43,20 @@ def test_language_without_training_rows(spark):
     assert sorted(r.doc_id or 0 for r in language.keep(documents(spark), nothing, 0.1).collect()) == [0, 1, 1, 2, 6, 7, 8, 8]
 
 
+def test_kept_documents_do_not_pass_through_python(spark):
+    """Only texts go to Python, cut into runs; the rows kept are those of enough score."""
+    words = (("Thé", "fr"), ("the", "en"), ("xqzv", None))
+    rows = [(i, f"{w} {w} {i}", lang, "web", i) for i in range(300) for w, lang in words]
+    docs = documents(spark, rows)
+    filters = language.fit(docs.where("doc_id % 3 = 0 AND lang IS NOT NULL"))
+    kept = language.keep(docs, filters, 0.6)
+    assert "MapInArrow" not in kept._jdf.queryExecution().executedPlan().toString()
+    scores = language.predict(docs.withColumn("doc_id", docs.text), filters)
+    enough = {r.doc_id for r in scores.collect() if r.score >= 0.6}
+    want = [r for r in docs.collect() if r.text in enough]
+    assert sorted(map(str, kept.collect())) == sorted(map(str, want)) and 0 < len(want) < len(rows)
+
+
 def test_more_languages_than_bits_in_a_word(spark):
     word = lambda i: f"{chr(97 + i // 12)}{chr(98 + i % 12)}" * 3
     docs = documents(spark, [(i, f"{word(i)} {word(i)}", f"l{i:03}", "", 1) for i in range(140)])
