@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import only, settle, text_chunks
+from strata.llm.common import SMALL_CHUNK_BYTES, only, settle, text_chunks
 from strata.llm.components import components
 from strata.llm.hashing import mix, shingle_sets
 
@@ -59,7 +59,7 @@ def _sets(batches, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Ids and shingle sets, chunk by chunk; rows without an id are left out."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in text_chunks(batch.column(1)):
+        for a, b, data, offsets in text_chunks(batch.column(1), SMALL_CHUNK_BYTES):
             yield ids[a:b], shingle_sets(data, offsets, k)
 
 

@@ -37,8 +37,8 @@ NGRAM = 4
 WORD_BITS = 64
 #: All n-grams of a document together.
 WHOLE = 1 << 30
-#: Texts lower-cased at once.
-LOWERED = 256
+#: N-grams whose cells are looked up at once.
+LOOKED_UP = 1 << 16
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -94,6 +94,15 @@ def _cells(keys: np.ndarray, hashes: int, size: int) -> list[np.ndarray]:
     return [((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64) for i in range(hashes)]
 
 
+def _masks(keys: np.ndarray, cells: np.ndarray, hashes: int) -> np.ndarray:
+    """Of each n-gram the languages that may contain it, by one word of the cells."""
+    masks = np.empty(len(keys), dtype=np.uint64)
+    for a in range(0, len(keys), LOOKED_UP):
+        at = _cells(keys[a : a + LOOKED_UP], hashes, len(cells))
+        masks[a : a + LOOKED_UP] = np.bitwise_and.reduce([cells[x] for x in at])
+    return masks
+
+
 def _gram_counts(batches):
     for batch in batches:
         languages = np.array(batch.column(1).to_pylist(), dtype=object)
@@ -180,15 +189,11 @@ def score_batch(
     for a, b, data, offsets in text_chunks(column):
         packed, (first, last) = grams(data, offsets)
         has_letter = with_letter[a:b]
-        at = _cells(packed, filters.hashes, filters.cells.shape[1])
         total = np.maximum(1, last - first)
         share = np.zeros((n_languages, len(first)))
         for i in range(n_languages):
             if i % WORD_BITS == 0:  # the next word of the masks
-                cells = filters.cells[i // WORD_BITS]
-                mask = cells[at[0]]
-                for x in at[1:]:
-                    mask &= cells[x]
+                mask = _masks(packed, filters.cells[i // WORD_BITS], filters.hashes)
             seen = np.concatenate(([0], np.cumsum(mask >> np.uint64(i % WORD_BITS) & np.uint64(1), dtype=np.int64)))
             share[i] = (seen[last] - seen[first]) / total
             share[i] = np.clip((share[i] - filters.rates[i]) / max(1e-9, 1 - filters.rates[i]), 0, 1)
@@ -234,8 +239,6 @@ def keep(docs: DataFrame, filters: LanguageFilters, min_score: float, text: str
     # the texts alone go to Python, and one number each comes back
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        parts = (pc.utf8_lower(column[a : a + LOWERED]) for a in range(0, len(column), LOWERED))
-        scores = [score_batch(shared.value, part, np.ones(len(part), dtype=bool))[1] for part in parts]
-        return pa.array(np.concatenate([*scores, np.zeros(0)]))
+        return pa.array(score_batch(shared.value, pc.utf8_lower(column), np.ones(len(column), dtype=bool))[1])
 
     return lettered.where(score(text) >= min_score)

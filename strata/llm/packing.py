@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import settle, text_chunks
+from strata.llm.common import SMALL_CHUNK_BYTES, settle, text_chunks
 from strata.llm.hashing import SPACE, span_hashes
 
 END_ID = 2
@@ -186,7 +186,7 @@ def pieces(
         cache, task = _cache(vocabulary), TaskContext.get().partitionId()
         made = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(1), SMALL_CHUNK_BYTES):
                 ids, first = token_ids(cache, data, offsets)
                 ids = ids.astype("<u4", copy=False)
                 rows = []

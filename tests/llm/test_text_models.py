@@ -44,7 +44,7 @@ def test_language_without_training_rows(spark):
 
 
 def test_kept_documents_do_not_pass_through_python(spark):
-    """Only texts go to Python, cut into runs; the rows kept are those of enough score."""
+    """Only texts go to Python; the rows kept are those of enough score."""
     words = (("Thé", "fr"), ("the", "en"), ("xqzv", None))
     rows = [(i, f"{w} {w} {i}", lang, "web", i) for i in range(300) for w, lang in words]
     docs = documents(spark, rows)
