@@ -19,6 +19,7 @@ from strata.plans.layers import (
     silver,
     silver_codes,
 )
+from strata.sources.sinks import materialize
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +136,17 @@ def test_two_stage_plan_has_no_expand(silver_rows):
         "n",
     )
     assert "Expand" in textbook._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evolution_moves_a_fact_once(spark, silver_rows):
+    """Facts go to their (group, sample); what follows there needs no further exchange of them."""
+    stored = materialize(silver_rows, "silver")
+    plan = gold_parameter_evolution(stored)._jdf.queryExecution().executedPlan().toString()
+    moves = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moves) == 2 and "code_prelevement" not in moves[0] and "code_prelevement" in moves[1]
+    # a sample without a number counts as no sample, its measures count
+    unnumbered = stored.withColumn("code_prelevement", F.lit(None).cast("string"))
+    rows = lambda df: {(r.libelle_parametre, r.annee_prelevement): r for r in gold_parameter_evolution(df).collect()}
+    before, after = rows(stored), rows(stored.unionByName(unnumbered))
+    assert {k: r.nb_prelevements for k, r in after.items()} == {k: r.nb_prelevements for k, r in before.items()}
+    assert all(after[k].nb_mesures_avec_limite == 2 * r.nb_mesures_avec_limite and after[k].moyenne == r.moyenne for k, r in before.items())
